@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import chart, filters  # noqa: F401
+from . import chart, filters, ingest  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

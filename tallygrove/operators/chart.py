@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ranking import quantiles
 from ..semantics import MISSING, OTHER, RATE_LIKE, aggregate, change, col, label, natural_key, total
 from .filters import Days, bucket, split_periods
 
@@ -78,6 +79,10 @@ def viewer_chart(df: DataFrame, x: str, y: str, agg: str, by: str | None = None,
                  max_series: int = 10, max_labels: int = 200) -> DataFrame:
     """Table-viewer chart: dates cut to the day, missing keys labelled, at most 10 series and 200 labels (largest first)."""
     key = label(F.col(x).cast("date") if is_date else x, MISSING).alias("label")
+    if by is None and agg == "median":
+        counts = df.select(key, F.col(y).cast("double").alias("v")).groupBy("label", "v").agg(F.count(F.lit(1)).alias("_n"))
+        out = quantiles(counts, ["label"], "v", {"value": 0.5}).drop("rows")
+        return out.orderBy(F.col("value").desc_nulls_last(), "label").limit(max_labels)
     if by is None:
         out = df.groupBy(key).agg(aggregate(agg, y).cast("double").alias("value"))
         return out.orderBy(F.col("value").desc_nulls_last(), "label").limit(max_labels)

@@ -111,8 +111,8 @@ def _strings(df: DataFrame) -> list[str]:
 # name of the count -> SQL test for one text column
 _TYPE_TESTS = {
     "present": "{q}",
-    "as_bigint": "try_cast({q} as bigint)",
-    # the pattern comes first: a failing double cast costs an exception per value
+    # the patterns come first: a failing number cast costs an exception per value
+    "as_bigint": "case when {q} rlike '^\\\\s*[-+]?\\\\d+\\\\s*$' then try_cast({q} as bigint) end",
     "as_double": "case when {q} rlike '^(?i)\\\\s*[-+]?((\\\\d+\\\\.?\\\\d*|\\\\.\\\\d+)(e[-+]?\\\\d+)?|nan|inf|infinity)\\\\s*$' then try_cast({q} as double) end",
     "as_boolean": "case when lower({q}) in ('true', 'false') then 1 end",
     "as_date": "try_cast({q} as date)",

@@ -12,17 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..semantics import finite  # noqa: F401  (re-exported for callers that clean before saving)
+from ..semantics import join_on
 from .shape import keep_one
 
 
-def _same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def with_columns_for(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Key columns the table does not have yet are added as empty text."""
     for k in names:
@@ -38,11 +31,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Seq
     """
     target = with_columns_for(target, keys)
     one = keep_one(source, keys, list(order)) if order else source.dropDuplicates(list(keys))
-    marks = one.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    kept = target.join(marks, cond, "left_anti")
+    kept = join_on(target, one.select(*keys), keys, "left_anti")
     return kept.unionByName(one, allowMissingColumns=True)
 
 
@@ -64,11 +53,7 @@ def tenant_slices(source: DataFrame, previous: DataFrame | None, tenant: str = "
 
 def replace_slices(target: DataFrame, source: DataFrame, slices: DataFrame) -> DataFrame:
     """Like ``replace_where`` with the slices as a table, null-safe, so any number of businesses works."""
-    marks = slices.select(*[F.col(c).alias(f"_s_{c}") for c in slices.columns])
-    cond = F.lit(True)
-    for c in slices.columns:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    return target.join(marks, cond, "left_anti").unionByName(source, allowMissingColumns=True)
+    return join_on(target, slices, slices.columns, "left_anti").unionByName(source, allowMissingColumns=True)
 
 
 def update_where(df: DataFrame, cond: str, changes: dict[str, str]) -> DataFrame:

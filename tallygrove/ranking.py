@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .semantics import join_on
 from .session import cut_lineage
 
 _LOW = (1 << 33) - 1  # monotonically_increasing_id keeps the row index in the low 33 bits
@@ -57,17 +58,39 @@ def running_total(df: DataFrame, order: Sequence[Column], amount: str, name: str
     )
 
 
-def _value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """(groups, value) -> rows with a smaller value in the group, rows with this value, rows in the group."""
-    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+def positions(counts: DataFrame, groups: list[str], value: str, n: str = "_n") -> DataFrame:
+    """For counted values: rows of the group with a smaller value (``_smaller``), with this value (``_n``), in all (``_size``).
+
+    ``counts`` holds one row per (groups, value) with its row count, so equal values never travel as single rows.
+    """
     order = [F.col(g).asc_nulls_first() for g in groups] + [F.col(value).asc_nulls_first()]
-    run = running_total(counts, order, "_n", "_cum").withColumn("_low", F.col("_cum") - F.col("_n"))
+    run = running_total(counts.select(*groups, value, F.col(n).alias("_n")), order, "_n", "_cum")
+    run = run.withColumn("_low", F.col("_cum") - F.col("_n"))
+    if not groups:
+        return run.select(value, F.col("_low").alias("_smaller"), "_n", run.agg(F.sum("_n")).scalar().alias("_size"))
     sums = run.groupBy(*groups).agg(F.min("_low").alias("_start"), F.sum("_n").alias("_size"))
-    cond = [run[g].eqNullSafe(sums[g]) for g in groups]
-    joined = run.join(sums, cond, "inner") if groups else run.join(sums)
-    return joined.select(
-        *[run[g] for g in groups], run[value], (F.col("_low") - F.col("_start")).alias("_smaller"), F.col("_n"), F.col("_size")
-    )
+    return join_on(run, sums, groups).select(*groups, value, (F.col("_low") - F.col("_start")).alias("_smaller"), "_n", "_size")
+
+
+def _value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    return positions(df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n")), groups, value)
+
+
+def quantiles(counts: DataFrame, groups: list[str], value: str, points: dict[str, float], n: str = "_n") -> DataFrame:
+    """Exact quantiles with linear interpolation per group, from counted values.
+
+    The built-in exact percentile keeps every distinct value of a group in one task; here a group may be
+    spread over any number of tasks.  ``points`` maps result name -> quantile; ``rows`` is the group size.
+    """
+    pos = positions(counts.where(F.col(value).isNotNull()), groups, value, n)
+    at = lambda k: F.max(F.when((F.col("_smaller") <= k) & (k < F.col("_smaller") + F.col("_n")), F.col(value)))
+    aggs = []
+    for name, q in points.items():
+        exact = (F.col("_size") - 1) * F.lit(q)
+        aggs += [at(F.floor(exact)).alias(f"_lo_{name}"), at(F.ceil(exact)).alias(f"_hi_{name}"), F.max(exact - F.floor(exact)).alias(f"_f_{name}")]
+    g = pos.groupBy(*groups).agg(*aggs, F.sum("_n").alias("rows"))
+    mix = lambda name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")
+    return g.select(*groups, "rows", *[mix(name).alias(name) for name in points])
 
 
 def percent_ranks(df: DataFrame, key: list[str], groups: list[str], measures: dict[str, str]) -> DataFrame:
@@ -79,10 +102,9 @@ def percent_ranks(df: DataFrame, key: list[str], groups: list[str], measures: di
     pairs = ", ".join(f"'{out}', cast(`{src}` as double)" for out, src in measures.items())
     long = df.select(*key, *groups, F.expr(f"stack({len(measures)}, {pairs}) as (_m, _v)"))
     pos = _value_positions(long, [*groups, "_m"], "_v")
-    cond = [long[c].eqNullSafe(pos[c]) for c in [*groups, "_m", "_v"]]
-    ranked = long.join(pos, cond, "inner").select(
-        *[long[k] for k in key],
-        long["_m"],
+    ranked = join_on(long, pos, [*groups, "_m", "_v"]).select(
+        *key,
+        "_m",
         F.when(F.col("_size") > 1, F.col("_smaller") / (F.col("_size") - 1)).otherwise(F.lit(0.0)).alias("_pr"),
     )
     return ranked.groupBy(*key).agg(*[F.max(F.when(F.col("_m") == out, F.col("_pr"))).alias(out) for out in measures])
@@ -94,8 +116,7 @@ def average_ranks(df: DataFrame, key: list[str], columns: list[str], groups: lis
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.select(*key, *groups, F.expr(f"stack({len(columns)}, {pairs}) as (_m, _v)")).where("_v is not null")
     pos = _value_positions(long, [*groups, "_m"], "_v")
-    cond = [long[c].eqNullSafe(pos[c]) for c in [*groups, "_m", "_v"]]
-    ranked = long.join(pos, cond, "inner").select(
-        *[long[k] for k in key], *[long[g] for g in groups], long["_m"], (F.col("_smaller") + (F.col("_n") + 1) / 2).alias("_r")
+    ranked = join_on(long, pos, [*groups, "_m", "_v"]).select(
+        *key, *groups, "_m", (F.col("_smaller") + (F.col("_n") + 1) / 2).alias("_r")
     )
     return ranked.groupBy(*key, *groups).agg(*[F.max(F.when(F.col("_m") == c, F.col("_r"))).alias(c) for c in columns])

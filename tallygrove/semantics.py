@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed display labels.
@@ -17,7 +19,7 @@ RATE_LIKE = (
     r"latency|sla|ticket|occupancy"
 )
 
-AGGS = ("sum", "avg", "count", "countd", "min", "max", "none", "median")
+AGGS = ("sum", "avg", "count", "countd", "min", "max", "none")
 
 
 def col(c) -> Column:
@@ -73,7 +75,6 @@ def aggregate(kind: str, c=None) -> Column:
         "min": lambda: F.min(c),
         "max": lambda: F.max(c),
         "none": lambda: F.min(c),
-        "median": lambda: F.percentile(c, F.lit(0.5)),
     }[kind]()
 
 
@@ -92,6 +93,20 @@ def middle_median(values: Column) -> Column:
     return F.when(n > 0, (hi + lo) / 2)
 
 
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on same-named columns where NULL matches NULL; the key columns come from the left side.
+
+    The right keys get their own names first, so both sides may stem from the same DataFrame.
+    """
+    names = {k: f"_r_{i}_{k}" for i, k in enumerate(on)}
+    r = right.select(*[F.col(k).alias(names[k]) if k in names else F.col(k) for k in right.columns])
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & F.col(k).eqNullSafe(F.col(names[k]))
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
+
+
 # Fixed calendar orders, Monday and January first.
 WEEKDAYS = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

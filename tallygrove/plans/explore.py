@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import explore as E
 from ..operators import profile as P
 from ..operators import quality as Q
+from ..session import cut_lineage
 from .fixtures import rnd, table
 from .registry import query
 
@@ -111,7 +112,7 @@ def _profile(spark, sf, prefix="shop."):
         df = table(spark, sf, t)
         pos = F.coalesce(*[F.when(F.col("column") == c.split(":")[0], F.lit(i)) for i, c in enumerate(cols)])
         one.append(E.table_profile(df, exact=True).select(F.lit(prefix + t).alias("table"), "column", pos.alias("position"), "type", "rows", "distinct", "min", "max", F.lit(None).cast("string").alias("sample")))
-    return reduce(lambda a, b: a.unionByName(b), one)
+    return cut_lineage(reduce(lambda a, b: a.unionByName(b), one))  # the stored profile: one row per column
 
 
 @query("a36_table_profile_exact", """

@@ -45,6 +45,13 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     )
 
 
+def group_row_number(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "row_number") -> DataFrame:
+    """1-based position inside each group, without gathering a group in one task."""
+    ranked = global_row_number(df, [*[F.col(g).asc_nulls_first() for g in groups], *order], "_all")
+    first = ranked.groupBy(*groups).agg(F.min("_all").alias("_first"))
+    return join_on(ranked, first, groups).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
+
+
 def running_total(df: DataFrame, order: Sequence[Column], amount: str, name: str) -> DataFrame:
     """Sum of ``amount`` over this row and all earlier rows."""
     rows = _range_sorted(df, order)

@@ -66,7 +66,7 @@ def _day(c="trade_date"):
     return F.col(c).cast("string").alias(c)
 
 
-def _cols(name, cols, digits=10):
+def _cols(name, cols, digits=12):
     sql = IND + f" SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {', '.join(f'round({c}, {digits}) AS {c}' for c in cols)} FROM ind"
 
     @query(name, sql)

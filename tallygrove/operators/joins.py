@@ -79,6 +79,22 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
     return out.select(*[F.col(f"_row.{c}").alias(c) for c in cols], "_hit.matched_at", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], time: str, value: str, name: str, chunk: str = "day") -> DataFrame:
+    """The value of the row before (by time) of the same key.
+
+    Rows are ordered inside (key, time chunk); the first row of a chunk takes the last value of the
+    nearest earlier chunk, found on one row per chunk.  A hot key is spread over its chunks.
+    """
+    d = df.withColumn("_chunk", F.date_trunc(chunk, time))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(time, value)
+    edges = d.groupBy(*keys, "_chunk").agg(F.max(F.struct(time, value)).alias("_e"))
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = edges.select(*keys, "_chunk", F.lag(f"_e.{value}").over(across).alias("_carry"))
+    d = d.withColumns({"_in": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
+    out = d.join(carry, [*keys, "_chunk"])
+    return out.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_in"))).drop("_chunk", "_in", "_first", "_carry")
+
+
 def shifted_self_join(df: DataFrame, day: str, n: int, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Each row with the values of the same key ``n`` days earlier."""
     back = df.select(*keys, F.date_add(F.col(day), n).alias(day), *[F.col(v).alias(f"prev_{v}") for v in values])

@@ -15,13 +15,13 @@ from .registry import query
 
 SPLIT_DAY = dt.date(1998, 6, 1)
 
-EOD = f"""WITH eod0 AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS trade_date, 10000 + floor(max(l_extendedprice)) AS close, 10000 + floor(max(l_extendedprice)) AS high, 10000 + floor(min(l_extendedprice)) AS low,
+EOD = f"""WITH eod0 AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS trade_date, 10000.37::DOUBLE + floor(max(l_extendedprice)) AS close, 10000.37::DOUBLE + floor(max(l_extendedprice)) AS high, 10000.37::DOUBLE + floor(min(l_extendedprice)) AS low,
  sum(l_quantity) AS volume, sum(l_extendedprice) AS traded_value, avg(l_discount) * 100 AS delivery_pct FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 eod AS (SELECT *, lag(close) OVER w AS lc, lag(close) OVER w * CASE WHEN trade_date >= DATE '{SPLIT_DAY}' AND lag(trade_date) OVER w < DATE '{SPLIT_DAY}' THEN 0.5 ELSE 1 END AS prev_close FROM eod0 WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
 fac AS (SELECT *, CASE WHEN prev_close / lc BETWEEN 0.02 AND 0.998 THEN prev_close / lc ELSE 1 END AS factor FROM eod),
 adj0 AS (SELECT *, exp(coalesce(sum(ln(factor)) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS adjust FROM fac),
 adj AS (SELECT *, round(close * adjust, 4) AS adj_close, round(high * adjust, 4) AS adj_high, round(low * adjust, 4) AS adj_low, volume / adjust AS adj_volume FROM adj0),
-idx AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, 10000 + floor(max(l_extendedprice - 1000 * l_discount)) AS close FROM lineitem GROUP BY 1),
+idx AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, 10000.37::DOUBLE + floor(max(l_extendedprice - 1000 * l_discount)) AS close FROM lineitem GROUP BY 1),
 mkt AS (SELECT trade_date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS mkt_ret FROM idx)"""
 
 IND = EOD + """,
@@ -44,7 +44,7 @@ def _unit():
 
 def _eod(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    level = lambda c: F.lit(10000.0) + F.floor(c)
+    level = lambda c: F.lit(10000.37) + F.floor(c)
     g = li.groupBy(F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
         level(F.max("l_extendedprice")).alias("close"), level(F.max("l_extendedprice")).alias("high"), level(F.min("l_extendedprice")).alias("low"), F.sum("l_quantity").alias("volume"),
         F.sum("l_extendedprice").alias("traded_value"), (F.avg("l_discount") * 100).alias("delivery_pct"))
@@ -55,7 +55,7 @@ def _eod(spark, sf):
 
 def _index(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.lit("ALL ").alias("index_name"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
-        (F.lit(10000.0) + F.floor(F.max(F.col("l_extendedprice") - 1000 * F.col("l_discount")))).alias("close"))
+        (F.lit(10000.37) + F.floor(F.max(F.col("l_extendedprice") - 1000 * F.col("l_discount")))).alias("close"))
 
 
 def _ind(spark, sf):
@@ -66,7 +66,7 @@ def _day(c="trade_date"):
     return F.col(c).cast("string").alias(c)
 
 
-def _cols(name, cols, digits=12):
+def _cols(name, cols, digits=9):
     sql = IND + f" SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {', '.join(f'round({c}, {digits}) AS {c}' for c in cols)} FROM ind"
 
     @query(name, sql)

@@ -108,25 +108,35 @@ def _strings(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in ("source_file", "_source_file")]
 
 
-# name of the count -> SQL test for one text column
-_TYPE_TESTS = {
-    "present": "{q}",
-    # the patterns come first: a failing number cast costs an exception per value
-    "as_bigint": "case when {q} rlike '^\\\\s*[-+]?\\\\d+\\\\s*$' then try_cast({q} as bigint) end",
-    "as_double": "case when {q} rlike '^(?i)\\\\s*[-+]?((\\\\d+\\\\.?\\\\d*|\\\\.\\\\d+)(e[-+]?\\\\d+)?|nan|inf|infinity)\\\\s*$' then try_cast({q} as double) end",
-    "as_boolean": "case when lower({q}) in ('true', 'false') then 1 end",
-    "as_date": "try_cast({q} as date)",
-    "as_timestamp": "try_cast({q} as timestamp)",
-    "zero_led": "case when {q} rlike '^0[0-9]' then 1 end",
-    "with_colon": "case when {q} rlike ':' then 1 end",
-}
+# Number text; special values are listed, because a failing number cast costs an exception per value.
+NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+INTEGER = r"^\s*[-+]?\d+\s*$"
+NUMBER_WORDS = ["nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
+
+
+def _type_tests(q: Column) -> dict[str, Column]:
+    """Name of the count -> column that is not NULL for values that fit. Cheap tests run before casts and patterns."""
+    first, second = F.substring(q, 1, 1), F.substring(q, 2, 1)
+    digit = lambda c: (c >= "0") & (c <= "9")
+    number_like = digit(first) | first.isin("+", "-", ".", " ")
+    one = F.lit(1)
+    return {
+        "present": q,
+        "as_bigint": F.when(number_like & q.rlike(INTEGER), q.try_cast("bigint")),
+        "as_double": F.when(number_like & q.rlike(NUMBER), q.try_cast("double")).otherwise(F.when(~digit(first) & F.lower(F.trim(q)).isin(NUMBER_WORDS), 0.0)),
+        "as_boolean": F.when(F.lower(q).isin("true", "false"), one),
+        "as_date": q.try_cast("date"),
+        "as_timestamp": q.try_cast("timestamp"),
+        "zero_led": F.when((first == "0") & digit(second), one),
+        "with_colon": F.when(F.contains(q, F.lit(":")), one),
+    }
 
 
 def type_counts(df: DataFrame) -> DataFrame:
     """One row per text column: how many values fit each type. A single scan, however many columns."""
     cols = _strings(df)
     parts = [
-        F.struct(F.lit(c).alias("column"), *[F.expr(f"count({t.format(q=f'`{c}`')})").alias(n) for n, t in _TYPE_TESTS.items()])
+        F.struct(F.lit(c).alias("column"), *[F.count(t).alias(n) for n, t in _type_tests(F.col(f"`{c}`")).items()])
         for c in cols
     ]
     return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
@@ -159,9 +169,6 @@ def infer_types(df: DataFrame) -> DataFrame:
 # Fixed vocabularies of uploaded files.
 TRUE_WORDS = ["true", "yes", "y", "t", "1"]
 FALSE_WORDS = ["false", "no", "n", "f", "0"]
-NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
-
-
 def parse_when(text: Column) -> Column:
     """Timestamp without zone from ISO text, or from day-first text (31/12/2024, 31-Dec-2024), NULL if neither fits.
 
@@ -177,8 +184,17 @@ def parse_when(text: Column) -> Column:
     )
 
 
-def clean_number(text: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(F.trim(text), ",", ""), r"^[₹$€£]\s*", "")
+# Fixed currency signs that may lead an amount.
+CURRENCY = ["₹", "$", "€", "£"]
+
+
+def plain_number_text(text: Column) -> Column:
+    """Without thousands commas and one leading currency sign."""
+    t = F.trim(F.replace(text, F.lit(","), F.lit("")))
+    return F.when(F.substring(t, 1, 1).isin(CURRENCY), F.ltrim(F.substring(t, 2, 2**31 - 1))).otherwise(t)
+
+
+def clean_number(plain: Column) -> Column:
     return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
@@ -187,7 +203,7 @@ def tolerant_type_ratios(df: DataFrame) -> DataFrame:
     parts = []
     for c in _strings(df):
         t = F.when(~is_blank(f"`{c}`"), F.trim(F.col(f"`{c}`")))
-        low, bare = F.lower(t), F.regexp_replace(t, ",", "")
+        low, bare = F.lower(t), F.replace(t, F.lit(","), F.lit(""))
         plain = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
         when = parse_when(t)
         n = F.count(t)
@@ -217,16 +233,26 @@ def tolerant_types(ratios: DataFrame) -> DataFrame:
     return ratios.withColumn("type", t)
 
 
-def converted(c: str, t: str) -> Column:
-    """A text column as type ``t``; values that do not fit become NULL."""
-    text = F.when(~is_blank(c), F.trim(F.col(c)))
+def _prepare(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
+    """Helper columns for the conversion, one projection per step so that no expensive text work is repeated:
+    ``_t_`` trimmed text or NULL when blank, ``_n_`` its number.
+    """
+    d = df.withColumns({f"_t_{c}": F.when(~is_blank(f"`{c}`"), F.trim(F.col(f"`{c}`"))) for c in types})
+    numeric = [c for c, t in types.items() if t in ("bigint", "double") or t.startswith("decimal")]
+    if numeric:
+        d = d.withColumns({f"_p_{c}": plain_number_text(F.col(f"_t_{c}")) for c in numeric})
+        d = d.withColumns({f"_n_{c}": clean_number(F.col(f"_p_{c}")) for c in numeric})
+    return d
+
+
+def _converted(c: str, t: str) -> Column:
+    text, number = F.col(f"_t_{c}"), F.col(f"_n_{c}")
     if t == "string":
-        return F.when(~is_blank(c), F.col(c))
+        return F.when(text.isNotNull(), F.col(f"`{c}`"))
     if t == "bigint":
-        n = clean_number(text)
-        return F.when(n % 1 == 0, n.try_cast("bigint"))
+        return F.when(number % 1 == 0, number.try_cast("bigint"))
     if t == "double" or t.startswith("decimal"):
-        return clean_number(text).try_cast(t)
+        return number.try_cast(t)
     if t == "boolean":
         low = F.lower(text)
         return F.when(low.isin(TRUE_WORDS), True).when(low.isin(FALSE_WORDS), False)
@@ -234,14 +260,16 @@ def converted(c: str, t: str) -> Column:
 
 
 def convert(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    return df.select(*[converted(c, types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+    """Text columns as typed columns; values that do not fit become NULL."""
+    return _prepare(df, types).select(*[_converted(c, types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns])
 
 
 def reject_counts(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Per column how many non-blank values the conversion would lose."""
+    d = _prepare(df, types)
     parts = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"),
-                      F.count_if(~is_blank(c) & converted(c, t).isNull()).alias("rejected")) for c, t in types.items()]
-    return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
+                      F.count_if(F.col(f"_t_{c}").isNotNull() & _converted(c, t).isNull()).alias("rejected")) for c, t in types.items()]
+    return d.agg(F.array(*parts).alias("r")).select(F.inline("r"))
 
 
 # ---------------------------------------------------------------- rows

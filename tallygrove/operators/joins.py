@@ -66,10 +66,12 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
         hit = F.last("_obs", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         edge, carry = F.max("_obs"), F.last("_edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
     else:
-        first = Window.partitionBy(*part, "_chunk").orderBy("_t", "_side", F.col("_obs").desc_nulls_last())
-        hit = F.first("_obs", ignorenulls=True).over(first.rowsBetween(0, Window.unboundedFollowing))
+        # newest first, so that the frame only grows
+        back = Window.partitionBy(*part, "_chunk").orderBy(F.col("_t").desc(), F.col("_side").desc(), F.col("_obs").asc_nulls_first())
+        hit = F.last("_obs", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
         edge = F.max_by("_obs", F.when(F.col("_obs").isNotNull(), F.struct(-F.unix_micros(F.col("_t").cast("timestamp")), F.col("_obs"))))
-        carry = F.first("_edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
+        ahead = Window.partitionBy(*part).orderBy(F.col("_chunk").desc())
+        carry = F.last("_edge", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
     edges = both.groupBy(*part, "_chunk").agg(edge.alias("_edge")).select(*part, "_chunk", carry.alias("_carry"))
     out = both.withColumn("_in", hit).where(F.col("_row").isNotNull()).join(edges, [*part, "_chunk"], "left")
     out = out.withColumn("_hit", F.coalesce("_in", "_carry"))

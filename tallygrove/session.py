@@ -18,6 +18,8 @@ def get_spark(app: str = "tallygrove", master: str | None = None, **conf) -> Spa
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # small but CPU-heavy stages (long window frames) keep their parallelism
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }

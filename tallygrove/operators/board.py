@@ -85,9 +85,9 @@ def history_days(span: int, entities: int, items: Sequence[int] = ()) -> int:
 
 
 def _kept(fact: DataFrame, c: Column, keep: DataFrame, name: str) -> DataFrame:
-    """The column mapped to the kept list or "Other"; the list comes from a LIMIT (at most 300 rows)."""
+    """The column mapped to the kept list or "Other". Lists that come from a LIMIT are broadcast by their statistics."""
     k = keep.select(F.col(keep.columns[0]).alias("_k"))
-    return fact.withColumn("_v", c).join(F.broadcast(k), F.col("_v") == F.col("_k"), "left").withColumn(name, F.coalesce("_k", F.lit(OTHER))).drop("_v", "_k")
+    return fact.withColumn("_v", c).join(k, F.col("_v") == F.col("_k"), "left").withColumn(name, F.coalesce("_k", F.lit(OTHER))).drop("_v", "_k")
 
 
 def board_cube(fact: DataFrame, r: Roles, days: Days, keep: DataFrame) -> DataFrame:

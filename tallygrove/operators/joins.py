@@ -113,9 +113,9 @@ def days_in_windows(fact: DataFrame, day: str, windows: DataFrame, start: str, e
 
 
 def in_top(df: DataFrame, c: str, top: DataFrame, other: str = "Other") -> DataFrame:
-    """Values outside the kept list become one label; ``top`` holds one column and comes from a LIMIT."""
+    """Values outside the kept list become one label. A list that comes from a LIMIT is broadcast by its statistics."""
     keep = top.select(F.col(top.columns[0]).alias("_keep"))
-    return df.join(F.broadcast(keep), F.col(c) == F.col("_keep"), "left").withColumn(c, F.coalesce("_keep", F.lit(other))).drop("_keep")
+    return df.join(keep, F.col(c) == F.col("_keep"), "left").withColumn(c, F.coalesce("_keep", F.lit(other))).drop("_keep")
 
 
 # Fixed suffix words that are ignored when a place name has no direct match.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -36,16 +37,6 @@ def _(spark, sf):
     return TB.run_sql(spark, script, limit=4, params={"size": 10}, part=table(spark, sf, "part"))
 
 
-@query("s03_jdbc_incremental")
-def _(spark, sf):
-    """Embedded Derby inside this process: orders written and read back over JDBC by partitions."""
-    url = f"jdbc:derby:memory:tg{abs(hash(scratch_path(spark, 'derby'))) % 10**9};create=true"
-    opts = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    o.coalesce(4).write.format("jdbc").option("url", url).option("dbtable", "ORDERS").options(**opts).option("batchsize", 5000).save()
-    return DB.read_jdbc(spark, url, table="ORDERS", cursor="o_orderkey", watermark=100, partition=("o_orderkey", 0, 20000, 4), **opts)
-
-
 def _files(spark, sf, fmt, **options):
     path = scratch_path(spark, f"files-{fmt}")
     d = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -150,7 +141,7 @@ def _(spark, sf):
 @query("s10_paged_source", "SELECT c_custkey, c_name FROM customer")
 def _(spark, sf):
     """Customers written as a folder of JSON pages, read back page by page in parallel."""
-    path = scratch_path(spark, "pages")
+    path = re.sub("^file:/+", "/", scratch_path(spark, "pages"))
     c = table(spark, sf, "customer")
     page = F.floor(F.col("c_custkey") / 250).cast("int")
     c.withColumn("page", page).repartition("page").write.partitionBy("page").json(path)
@@ -246,22 +237,26 @@ def _(spark, sf):
 
 
 @query("s16_demo_sales_daily", """
-WITH n AS (SELECT unnest(generate_series(0, (SELECT count(*) FROM orders) - 1)) AS i),
-d AS (SELECT CAST(DATE '2024-01-01' + CAST(i * 31 % 365 AS INTEGER) AS VARCHAR) AS order_date, (['North','South','East','West'])[i * 3 % 4 + 1] AS region,
-  (i * 7 % 5 + 1) AS q, 50 + i * 13 % 950 AS p, i FROM n)
+WITH d AS (SELECT CAST(DATE '2024-01-01' + CAST(o_orderkey * 31 % 365 AS INTEGER) AS VARCHAR) AS order_date, (['North','South','East','West'])[o_orderkey * 3 % 4 + 1] AS region,
+  (o_orderkey * 7 % 5 + 1) AS q, 50 + o_orderkey * 13 % 950 AS p, o_orderkey AS i FROM orders)
 SELECT order_date, region, count(*) AS orders, round(sum(round(q * p - round(CAST((i % 4) * 5 * q * p AS DOUBLE) / 100, 2), 2)), 2) AS net_sales FROM d GROUP BY 1, 2""")
 def _(spark, sf):
-    n = table(spark, sf, "orders").count()  # as many demo rows as there are orders
-    d = TB.sales_daily(TB.demo_sales(spark, n)).groupBy("order_date", "region").agg(F.sum("orders").alias("orders"), F.round(F.sum("net_sales"), 2).alias("net_sales"))
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    d = TB.sales_daily(TB.demo_sales(ids)).groupBy("order_date", "region").agg(F.sum("orders").alias("orders"), F.round(F.sum("net_sales"), 2).alias("net_sales"))
     return d.withColumn("order_date", F.col("order_date").cast("string"))
 
 
 @query("s17_catalog_columns", """
-SELECT 'tg_orders' AS "table", column_name AS "column", CAST(ordinal_position - 1 AS INTEGER) AS position FROM (
-  SELECT column_name, row_number() OVER () AS ordinal_position FROM (DESCRIBE SELECT * FROM orders))""")
+SELECT 'tg_orders' AS "table", 'o_orderkey' AS "column", 0 AS position, count(DISTINCT o_orderkey) AS "distinct" FROM orders UNION ALL SELECT 'tg_orders', 'o_custkey', 1, count(DISTINCT o_custkey) FROM orders
+UNION ALL SELECT 'tg_orders', 'o_orderstatus', 2, count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'tg_orders', 'o_totalprice', 3, count(DISTINCT o_totalprice) FROM orders
+UNION ALL SELECT 'tg_orders', 'o_orderdate', 4, count(DISTINCT o_orderdate) FROM orders UNION ALL SELECT 'tg_orders', 'o_orderpriority', 5, count(DISTINCT o_orderpriority) FROM orders""")
 def _(spark, sf):
+    """The catalog's columns with the distinct values found in their table."""
+    from ..operators.explore import table_profile
+
     table(spark, sf, "orders").createOrReplaceTempView("tg_orders")
-    return TB.catalog_columns(spark, "default").where(F.col("table") == "tg_orders").select("table", "column", "position")
+    c = TB.catalog_columns(spark, "default").where(F.col("table") == "tg_orders")
+    return c.join(table_profile(spark.table("tg_orders"), exact=True).select("column", "distinct"), "column").select("table", "column", "position", "distinct")
 
 
 @query("s18_preview", "SELECT s_suppkey, s_name, true AS truncated FROM supplier ORDER BY s_suppkey LIMIT 7")

@@ -39,14 +39,14 @@ def lookup(df: DataFrame, order: Sequence[str | Column], first_row_only: bool =
     return df.orderBy(*order).limit(1 if first_row_only else limit)
 
 
-def demo_sales(spark: SparkSession, n: int, start: str = "2024-01-01") -> DataFrame:
-    """A repeatable order table of any size, made on the executors from a range."""
+def demo_sales(ids: DataFrame, start: str = "2024-01-01") -> DataFrame:
+    """A repeatable order table from a column ``id`` (such as ``spark.range(n)``), made on the executors."""
     i = F.col("id")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.pmod(i * k, F.lit(len(names))) + 1).cast("int"))
     qty = (F.pmod(i * 7, F.lit(5)) + 1).cast("int")
     price = F.round(50 + F.pmod(i * 13, F.lit(950)) / 1.0, 2)
     disc = F.round(F.pmod(i, F.lit(4)) * 0.05 * qty * price, 2)
-    return spark.range(n).select(
+    return ids.select(
         i.alias("order_id"), F.date_add(F.lit(start).cast("date"), F.pmod(i * 31, F.lit(365)).cast("int")).alias("order_date"),
         pick(["North", "South", "East", "West"], 3).alias("region"), pick(["Store", "Online", "Partner"], 5).alias("channel"),
         pick(["Grocery", "Home", "Fashion", "Toys", "Books"], 11).alias("category"),

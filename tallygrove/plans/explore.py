@@ -59,7 +59,7 @@ def _(spark, sf):
 def _profile_part(c: str) -> str:
     return f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct", round(min({c}), 4) AS min, round(max({c}), 4) AS max,
  round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3,
- count_if({c} = 0) AS zeros, (SELECT count(*) FROM d, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM d) WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outliers,
+ CAST(count_if({c} = 0) AS BIGINT) AS zeros, (SELECT count(*) FROM d, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM d) WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outliers,
  (SELECT round(sum(pow(({c} - m) / s, 3)) / count({c}), 6) FROM d, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM d)) AS skew FROM d"""
 
 
@@ -73,7 +73,7 @@ def _(spark, sf):
 
 
 @query("a35_text_profile", """
-SELECT 'o_orderstatus' AS "column", count(*) AS rows, 0 AS missing, count(DISTINCT o_orderstatus) AS "distinct", (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_value,
+SELECT 'o_orderstatus' AS "column", count(*) AS rows, CAST(0 AS BIGINT) AS missing, count(DISTINCT o_orderstatus) AS "distinct", (SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_value,
  (SELECT count(*) FROM orders GROUP BY o_orderstatus ORDER BY 1 DESC LIMIT 1) AS top_count FROM orders
 UNION ALL SELECT 'o_orderpriority', count(*), 0, count(DISTINCT o_orderpriority), (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), (SELECT count(*) FROM orders GROUP BY o_orderpriority ORDER BY 1 DESC LIMIT 1) FROM orders""")
 def _(spark, sf):
@@ -255,7 +255,7 @@ def _(spark, sf):
 
 
 @query("q19_score_tables", f"""
-WITH {PROFILE}, s AS (SELECT "table", (CASE WHEN "table" LIKE '%orders%' THEN 5 ELSE 0 END) + CASE WHEN "table" = 'shop.customer' THEN 5 + 6 ELSE 0 END + 2 * count_if("column" = 'o_totalprice') + 0 AS score FROM prof GROUP BY 1)
+WITH {PROFILE}, s AS (SELECT "table", (CASE WHEN "table" LIKE '%orders%' THEN 5 ELSE 0 END) + CASE WHEN "table" = 'shop.customer' THEN 5 + 6 ELSE 0 END + 2 * CAST(count_if("column" = 'o_totalprice') AS BIGINT) + 0 AS score FROM prof GROUP BY 1)
 SELECT "table", CAST(score AS BIGINT) AS score FROM s WHERE score > 0""")
 def _(spark, sf):
     recent = spark.createDataFrame([("shop.customer",)], "table string")
@@ -280,16 +280,16 @@ def _rules():
 
 
 _RULES_SQL = """WITH n AS (SELECT count(*) AS n FROM part), r AS (
-SELECT 'brand set' AS rule, 'not_null' AS kind, 'p_brand' AS "column", count_if(p_brand IS NULL OR trim(p_brand) = '') AS bad, 'fail' AS sev, 0 AS tol FROM part
-UNION ALL SELECT 'size range', 'between', 'p_size', count_if(p_size < 3 OR p_size > 45), 'warn', 0 FROM part
-UNION ALL SELECT 'type list', 'in_set', 'p_type', count_if(p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO')), 'fail', 0 FROM part
-UNION ALL SELECT 'brand shape', 'regex', 'p_brand', count_if(NOT regexp_matches(p_brand, '^Brand#[0-9]+$')), 'fail', 0 FROM part
-UNION ALL SELECT 'price positive', 'expression', NULL, count_if(NOT coalesce(p_retailprice > 950, false)), 'fail', 60 FROM part
+SELECT 'brand set' AS rule, 'not_null' AS kind, 'p_brand' AS "column", CAST(count_if(p_brand IS NULL OR trim(p_brand) = '') AS BIGINT) AS bad, 'fail' AS sev, 0 AS tol FROM part
+UNION ALL SELECT 'size range', 'between', 'p_size', CAST(count_if(p_size < 3 OR p_size > 45) AS BIGINT), 'warn', 0 FROM part
+UNION ALL SELECT 'type list', 'in_set', 'p_type', CAST(count_if(p_type NOT IN ('ECONOMY', 'STANDARD', 'PROMO')) AS BIGINT), 'fail', 0 FROM part
+UNION ALL SELECT 'brand shape', 'regex', 'p_brand', CAST(count_if(NOT regexp_matches(p_brand, '^Brand#[0-9]+$')) AS BIGINT), 'fail', 0 FROM part
+UNION ALL SELECT 'price positive', 'expression', NULL, CAST(count_if(NOT coalesce(p_retailprice > 950, false)) AS BIGINT), 'fail', 60 FROM part
 UNION ALL SELECT 'key unique', 'unique', 'p_partkey', count(p_partkey) - count(DISTINCT p_partkey), 'fail', 0 FROM part
 UNION ALL SELECT 'brand unique', 'unique', 'p_brand', count(p_brand) - count(DISTINCT p_brand), 'warn', 0 FROM part),
 v AS (SELECT rule, kind, "column", bad, round(100.0 * bad / n, 3) AS pct, CAST(NULL AS VARCHAR) AS value, CASE WHEN bad = 0 OR 100.0 * bad / n <= tol THEN 'pass' ELSE sev END AS status FROM r, n
 UNION ALL SELECT 'enough rows', 'row_count', NULL, NULL, NULL, CAST(n AS VARCHAR), 'pass' FROM n
-UNION ALL SELECT 'no free parts', 'custom_sql', NULL, count_if(p_retailprice <= 0), NULL, NULL, CASE WHEN count_if(p_retailprice <= 0) = 0 THEN 'pass' ELSE 'fail' END FROM part)"""
+UNION ALL SELECT 'no free parts', 'custom_sql', NULL, CAST(count_if(p_retailprice <= 0) AS BIGINT), NULL, NULL, CASE WHEN CAST(count_if(p_retailprice <= 0) AS BIGINT) = 0 THEN 'pass' ELSE 'fail' END FROM part)"""
 
 
 @query("q09_run_rules", _RULES_SQL + " SELECT * FROM v")
@@ -297,8 +297,8 @@ def _(spark, sf):
     return Q.run_rules(table(spark, sf, "part"), _rules())
 
 
-@query("q09_run_status", _RULES_SQL + """ SELECT count_if(status = 'pass') AS passed, count_if(status = 'warn') AS warned, count_if(status = 'fail') AS failed,
- CASE WHEN count_if(status = 'fail') > 0 THEN 'FAILED' WHEN count_if(status = 'warn') > 0 THEN 'WARN' ELSE 'PASSED' END AS status FROM v""")
+@query("q09_run_status", _RULES_SQL + """ SELECT CAST(count_if(status = 'pass') AS BIGINT) AS passed, CAST(count_if(status = 'warn') AS BIGINT) AS warned, CAST(count_if(status = 'fail') AS BIGINT) AS failed,
+ CASE WHEN CAST(count_if(status = 'fail') AS BIGINT) > 0 THEN 'FAILED' WHEN CAST(count_if(status = 'warn') AS BIGINT) > 0 THEN 'WARN' ELSE 'PASSED' END AS status FROM v""")
 def _(spark, sf):
     return Q.run_status(Q.run_rules(table(spark, sf, "part"), _rules()))
 
@@ -309,16 +309,16 @@ def _one_rule(name, sql, rule, t, as_of=None):
         return Q.run_rules(table(spark, sf, t), [rule], as_of).select("rule", "bad", "status")
 
 
-_one_rule("q01_rule_not_null", "SELECT 'r' AS rule, count_if(text IS NULL OR trim(text) = '') AS bad, CASE WHEN count_if(text IS NULL OR trim(text) = '') = 0 THEN 'pass' ELSE 'fail' END AS status FROM documents",
+_one_rule("q01_rule_not_null", "SELECT 'r' AS rule, CAST(count_if(text IS NULL OR trim(text) = '') AS BIGINT) AS bad, CASE WHEN CAST(count_if(text IS NULL OR trim(text) = '') AS BIGINT) = 0 THEN 'pass' ELSE 'fail' END AS status FROM documents",
           Q.Rule("r", "not_null", "text"), "documents")
 _one_rule("q02_rule_unique", "SELECT 'r' AS rule, count(l_orderkey) - count(DISTINCT l_orderkey) AS bad, 'fail' AS status FROM lineitem", Q.Rule("r", "unique", "l_orderkey"), "lineitem")
-_one_rule("q03_rule_between", "SELECT 'r' AS rule, count_if(value > 400) AS bad, 'warn' AS status FROM events", Q.Rule("r", "between", "value", {"max": 400}, "warn"), "events")
-_one_rule("q04_rule_in_set", "SELECT 'r' AS rule, count_if(event_type NOT IN ('click', 'view')) AS bad, 'fail' AS status FROM events", Q.Rule("r", "in_set", "event_type", {"values": ["click", "view"]}), "events")
-_one_rule("q05_rule_regex", "SELECT 'r' AS rule, count_if(regexp_extract(url, '^https://', 0) = '') AS bad, 'fail' AS status FROM pages", Q.Rule("r", "regex", "url", {"pattern": "^https://"}), "pages")
+_one_rule("q03_rule_between", "SELECT 'r' AS rule, CAST(count_if(value > 400) AS BIGINT) AS bad, 'warn' AS status FROM events", Q.Rule("r", "between", "value", {"max": 400}, "warn"), "events")
+_one_rule("q04_rule_in_set", "SELECT 'r' AS rule, CAST(count_if(event_type NOT IN ('click', 'view')) AS BIGINT) AS bad, 'fail' AS status FROM events", Q.Rule("r", "in_set", "event_type", {"values": ["click", "view"]}), "events")
+_one_rule("q05_rule_regex", "SELECT 'r' AS rule, CAST(count_if(regexp_extract(url, '^https://', 0) = '') AS BIGINT) AS bad, 'fail' AS status FROM pages", Q.Rule("r", "regex", "url", {"pattern": "^https://"}), "pages")
 _one_rule("q06_rule_row_count", "SELECT 'r' AS rule, CAST(NULL AS BIGINT) AS bad, CASE WHEN count(*) <= 100 THEN 'pass' ELSE 'fail' END AS status FROM orders", Q.Rule("r", "row_count", None, {"max": 100}), "orders")
 _one_rule("q07_rule_freshness", "SELECT 'r' AS rule, CAST(NULL AS BIGINT) AS bad, CASE WHEN date_diff('second', max(ts), TIMESTAMP '2024-01-31 12:00:00') <= 12.5 * 3600 THEN 'pass' ELSE 'fail' END AS status FROM events",
           Q.Rule("r", "freshness", "ts", {"max_hours": 12.5}), "events", "2024-01-31 12:00:00")
-_one_rule("q08_rule_expression", "SELECT 'r' AS rule, count_if(NOT coalesce(s_acctbal > 0, false)) AS bad, CASE WHEN count_if(NOT coalesce(s_acctbal > 0, false)) = 0 THEN 'pass' ELSE 'fail' END AS status FROM supplier", Q.Rule("r", "expression", None, {"expr": "s_acctbal > 0"}), "supplier")
+_one_rule("q08_rule_expression", "SELECT 'r' AS rule, CAST(count_if(NOT coalesce(s_acctbal > 0, false)) AS BIGINT) AS bad, CASE WHEN CAST(count_if(NOT coalesce(s_acctbal > 0, false)) AS BIGINT) = 0 THEN 'pass' ELSE 'fail' END AS status FROM supplier", Q.Rule("r", "expression", None, {"expr": "s_acctbal > 0"}), "supplier")
 
 
 @query("q09_bad_samples", "SELECT p_partkey, p_size FROM part WHERE p_size < 3 OR p_size > 45 ORDER BY p_partkey LIMIT 5")
@@ -333,7 +333,7 @@ def _(spark, sf):
 
 @query("a40_rules_lineitem_one_pass", """
 SELECT 'line unique' AS rule, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS bad FROM lineitem
-UNION ALL SELECT 'qty', count_if(l_quantity > 45) FROM lineitem UNION ALL SELECT 'disc', count_if(NOT coalesce(l_discount < 0.09, false)) FROM lineitem""")
+UNION ALL SELECT 'qty', CAST(count_if(l_quantity > 45) AS BIGINT) FROM lineitem UNION ALL SELECT 'disc', CAST(count_if(NOT coalesce(l_discount < 0.09, false)) AS BIGINT) FROM lineitem""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("line", F.concat_ws("-", "l_orderkey", "l_linenumber"))
     rules = [Q.Rule("line unique", "unique", "line"), Q.Rule("qty", "between", "l_quantity", {"max": 45}), Q.Rule("disc", "expression", None, {"expr": "l_discount < 0.09D"})]

@@ -96,9 +96,9 @@ def _(spark, sf):
 
 
 @query("p18_column_conditions", """
-SELECT count_if(l_quantity > 40) AS gt, count_if(CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30') AS between_days,
- count_if(NOT contains(lower(l_returnflag), 'a')) AS notcontains, count_if(starts_with(lower(l_linestatus), 'o')) AS starts,
- count_if(l_returnflag IN ('R', '(empty)')) AS vals, count_if(l_comment = '' OR l_comment IS NULL) AS empties
+SELECT CAST(count_if(l_quantity > 40) AS BIGINT) AS gt, CAST(count_if(CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30') AS BIGINT) AS between_days,
+ CAST(count_if(NOT contains(lower(l_returnflag), 'a')) AS BIGINT) AS notcontains, CAST(count_if(starts_with(lower(l_linestatus), 'o')) AS BIGINT) AS starts,
+ CAST(count_if(l_returnflag IN ('R', '(empty)')) AS BIGINT) AS vals, CAST(count_if(l_comment = '' OR l_comment IS NULL) AS BIGINT) AS empties
 FROM (SELECT *, CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 4 THEN '' ELSE 'x' END AS l_comment FROM lineitem)""")
 def _(spark, sf):
     li = _li(spark, sf).withColumn("l_comment", F.when(F.col("l_linenumber") == 4, "").when(F.col("l_linenumber") != 3, "x"))

@@ -17,7 +17,7 @@ from ..sources import jdbc as DB
 from ..sources import paged as PG
 from ..sources import sections as SC
 from ..sources import tables as TB
-from .fixtures import FACT, fact, i64, rnd, table
+from .fixtures import FACT, fact, rnd, table
 from .registry import query
 
 # ---------------------------------------------------------------- sources
@@ -384,7 +384,7 @@ def _(spark, sf):
 
 
 @query("k09_layout_advice", """
-SELECT source, count(*) AS files, sum(n_chars) AS bytes, round(avg(n_chars), 6) AS average, count(*) >= 50 AND avg(n_chars) < 33554432 AS compact FROM documents GROUP BY 1""")
+SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, round(avg(n_chars), 6) AS average, count(*) >= 50 AND avg(n_chars) < 33554432 AS compact FROM documents GROUP BY 1""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("source", F.col("n_chars").alias("length"))
     return K.layout_advice(d, ["source"]).withColumn("average", F.round("average", 6))
@@ -488,9 +488,9 @@ def _messy(spark, sf):
 
 @query("p07_infer_type_counts", """
 WITH m AS (SELECT CAST(l_orderkey AS VARCHAR) AS k, lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS code, l_returnflag AS s FROM lineitem)
-SELECT 'k' AS "column", count(*) AS present, count(*) AS as_bigint, 0 AS as_date, count_if(regexp_matches(k, '^0[0-9]')) AS zero_led, 'bigint' AS type FROM m
+SELECT 'k' AS "column", count(*) AS present, count(*) AS as_bigint, 0 AS as_date, CAST(count_if(regexp_matches(k, '^0[0-9]')) AS BIGINT) AS zero_led, 'bigint' AS type FROM m
 UNION ALL SELECT 'q', count(*), 0, 0, 0, 'double' FROM m
-UNION ALL SELECT 'code', count(*), count(*), 0, count_if(regexp_matches(code, '^0[0-9]')), 'string' FROM m
+UNION ALL SELECT 'code', count(*), count(*), 0, CAST(count_if(regexp_matches(code, '^0[0-9]')) AS BIGINT), 'string' FROM m
 UNION ALL SELECT 'd', count(*), 0, count(*), 0, 'date' FROM m
 UNION ALL SELECT 't', count(*), 0, count(*), 0, 'timestamp' FROM m
 UNION ALL SELECT 'b', count(*), 0, 0, 0, 'boolean' FROM m
@@ -530,9 +530,9 @@ def _dirty(spark, sf):
 
 
 @query("p08_tolerant_types", """
-SELECT 'price' AS "column", count_if(l_linenumber <> 7 OR l_orderkey % 100 = 3) AS present, 0 AS numbers, 0 AS dates, 'string' AS type FROM lineitem
+SELECT 'price' AS "column", CAST(count_if(l_linenumber <> 7 OR l_orderkey % 100 = 3) AS BIGINT) AS present, 0 AS numbers, 0 AS dates, 'string' AS type FROM lineitem
 UNION ALL SELECT 'flag', count(*), 0, 0, 'string' FROM lineitem
-UNION ALL SELECT 'day', count(*), 0, count_if(l_linenumber <> 2), 'string' FROM lineitem
+UNION ALL SELECT 'day', count(*), 0, CAST(count_if(l_linenumber <> 2) AS BIGINT), 'string' FROM lineitem
 UNION ALL SELECT 'qty', count(*), count(*), 0, 'double' FROM lineitem""")
 def _(spark, sf):
     r = S.tolerant_types(S.tolerant_type_ratios(_dirty(spark, sf)))
@@ -541,16 +541,16 @@ def _(spark, sf):
 
 
 @query("p09_convert_rejects", """
-SELECT 'price' AS "column", 'bigint' AS type, count_if(l_orderkey % 100 = 3) AS rejected FROM lineitem
-UNION ALL SELECT 'flag', 'boolean', count_if(l_linenumber % 3 = 2) FROM lineitem
-UNION ALL SELECT 'day', 'date', count_if(l_linenumber = 2) FROM lineitem
-UNION ALL SELECT 'qty', 'bigint', count_if(l_linenumber = 5) FROM lineitem""")
+SELECT 'price' AS "column", 'bigint' AS type, CAST(count_if(l_orderkey % 100 = 3) AS BIGINT) AS rejected FROM lineitem
+UNION ALL SELECT 'flag', 'boolean', CAST(count_if(l_linenumber % 3 = 2) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'day', 'date', CAST(count_if(l_linenumber = 2) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'qty', 'bigint', CAST(count_if(l_linenumber = 5) AS BIGINT) FROM lineitem""")
 def _(spark, sf):
     return S.reject_counts(_dirty(spark, sf), {"price": "bigint", "flag": "boolean", "day": "date", "qty": "bigint"})
 
 
 @query("p09_converted_totals", f"""
-WITH {_DIRTY} SELECT l_linenumber, CAST(sum(try_cast(replace(replace(price, '₹ ', ''), ',', '') AS BIGINT)) AS BIGINT) AS price, count_if(flag = 'Yes') AS yes, strftime(max(try_strptime(day, '%d/%m/%Y')), '%Y-%m-%d') AS day,
+WITH {_DIRTY} SELECT l_linenumber, CAST(sum(try_cast(replace(replace(price, '₹ ', ''), ',', '') AS BIGINT)) AS BIGINT) AS price, CAST(count_if(flag = 'Yes') AS BIGINT) AS yes, strftime(max(try_strptime(day, '%d/%m/%Y')), '%Y-%m-%d') AS day,
   CAST(sum(CASE WHEN qty <> '1.5' THEN CAST(qty AS BIGINT) END) AS BIGINT) AS qty FROM m GROUP BY 1""")
 def _(spark, sf):
     d = S.convert(_dirty(spark, sf), {"price": "bigint", "flag": "boolean", "day": "date", "qty": "bigint"})
@@ -565,7 +565,7 @@ def _(spark, sf):
 
 @query("p11_preview_stats", """
 SELECT 'c_name' AS "column", 0 AS nulls, count(DISTINCT c_name) AS "distinct", 'c_name' AS name FROM customer
-UNION ALL SELECT 'Segment Name', count_if(c_nationkey = 1), count(DISTINCT c_mktsegment) + 1, 'segment_name' FROM customer
+UNION ALL SELECT 'Segment Name', CAST(count_if(c_nationkey = 1) AS BIGINT), count(DISTINCT c_mktsegment) + 1, 'segment_name' FROM customer
 UNION ALL SELECT 'c_nationkey', 0, count(DISTINCT c_nationkey), 'c_nationkey' FROM customer""")
 def _(spark, sf):
     c = table(spark, sf, "customer").select("c_name", "c_nationkey", F.when(F.col("c_nationkey") == 1, "").otherwise(F.col("c_mktsegment")).alias("Segment Name"))

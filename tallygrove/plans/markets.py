@@ -141,7 +141,7 @@ def _(spark, sf):
     return M.sector_returns(_scores(spark, sf))
 
 
-@query("a43_breadth", SCORES + """ SELECT CAST(i.trade_date AS VARCHAR) AS trade_date, count_if(i.ret_1d > 0) AS advancing, count_if(i.ret_1d < 0) AS declining, round(100 * avg(CASE WHEN i.sma200 IS NOT NULL THEN CAST(i.adj_close > i.sma200 AS INTEGER) END), 1) AS pct_above_200dma
+@query("a43_breadth", SCORES + """ SELECT CAST(i.trade_date AS VARCHAR) AS trade_date, CAST(count_if(i.ret_1d > 0) AS BIGINT) AS advancing, CAST(count_if(i.ret_1d < 0) AS BIGINT) AS declining, round(100 * avg(CASE WHEN i.sma200 IS NOT NULL THEN CAST(i.adj_close > i.sma200 AS INTEGER) END), 1) AS pct_above_200dma
  FROM ind i WHERE i.days_back <= 400 AND i.symbol IN (SELECT symbol FROM scores WHERE eligible) GROUP BY 1""")
 def _(spark, sf):
     return M.breadth(_ind(spark, sf), _scores(spark, sf).where("eligible")).select(_day(), "advancing", "declining", "pct_above_200dma")

@@ -14,7 +14,7 @@ from ..operators import cost as CO
 from ..operators import govern as G
 from ..operators import lineage as L
 from ..operators.markets import band
-from .fixtures import rnd, table
+from .fixtures import i64, rnd, table
 from .registry import query
 
 # ---------------------------------------------------------------- lineage
@@ -230,9 +230,9 @@ SELECT o_orderkey, lower(o_orderpriority) AS lo, upper(o_orderstatus) AS up, len
 def _(spark, sf):
     p, d, t = F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice")
     return table(spark, sf, "orders").select(
-        "o_orderkey", FEED["tolower"](p).alias("lo"), FEED["toupper"](F.col("o_orderstatus")).alias("up"), FEED["length"](p).alias("len"), FEED["year"](d).alias("y"), FEED["month"](d).alias("m"), FEED["day"](d).alias("d"),
-        FEED["hour"](d).alias("h"), FEED["minute"](d).alias("mi"), FEED["date"](d).cast("string").alias("dt"), FEED["floor"](t).alias("fl"), FEED["ceiling"](t).alias("ce"), FEED["contains"](p, F.lit("IG")).alias("co"),
-        FEED["startswith"](p, F.lit("5")).alias("st"), FEED["endswith"](p, F.lit("LOW")).alias("en"), FEED["indexof"](p, F.lit("-")).alias("ix"), FEED["concat"](F.col("o_orderstatus"), p).alias("cc"))
+        "o_orderkey", FEED["tolower"](p).alias("lo"), FEED["toupper"](F.col("o_orderstatus")).alias("up"), i64(FEED["length"](p), "len"), i64(FEED["year"](d), "y"), i64(FEED["month"](d), "m"), i64(FEED["day"](d), "d"),
+        i64(FEED["hour"](d), "h"), i64(FEED["minute"](d), "mi"), FEED["date"](d).cast("string").alias("dt"), FEED["floor"](t).alias("fl"), FEED["ceiling"](t).alias("ce"), FEED["contains"](p, F.lit("IG")).alias("co"),
+        FEED["startswith"](p, F.lit("5")).alias("st"), FEED["endswith"](p, F.lit("LOW")).alias("en"), i64(FEED["indexof"](p, F.lit("-")), "ix"), FEED["concat"](F.col("o_orderstatus"), p).alias("cc"))
 
 
 @query("f03_date_functions", """
@@ -251,7 +251,7 @@ def _(spark, sf):
     b, n = F.col("p_brand"), F.col("p_name")
     return table(spark, sf, "part").select(
         "p_partkey", F.concat(b, F.lit("|"), "p_type").alias("a"), F.trim(F.concat(F.lit("  "), n, F.lit(" "))).alias("b"), F.replace(n, F.lit(" "), F.lit("_")).alias("c"), D.substring_from(n, 2, 4).alias("d"),
-        F.split(n, " ")[0].alias("e"), D.starts_with(b, F.lit("BRAND#1")).alias("f"), D.ends_with(F.col("p_type"), F.lit("MY")).alias("g"), D.index_of(b, F.lit("RAND")).alias("h"), D.index_of(b, F.lit("zz")).alias("i"),
+        F.split(n, " ")[0].alias("e"), D.starts_with(b, F.lit("BRAND#1")).alias("f"), D.ends_with(F.col("p_type"), F.lit("MY")).alias("g"), i64(D.index_of(b, F.lit("RAND")), "h"), i64(D.index_of(b, F.lit("zz")), "i"),
         F.base64(n.cast("binary")).alias("j"), F.url_encode(b).alias("k"))
 
 

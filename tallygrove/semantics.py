@@ -93,6 +93,11 @@ def middle_median(values: Column) -> Column:
     return F.when(n > 0, (hi + lo) / 2)
 
 
+def literal_for(df: DataFrame, name: str, value) -> Column:
+    """A literal of the column's own type; text keeps a zone-less time free of the session's time zone."""
+    return F.lit(value if isinstance(value, (int, float)) else str(value)).cast(df.schema[name].dataType)
+
+
 def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join on same-named columns where NULL matches NULL; the key columns come from the left side.
 

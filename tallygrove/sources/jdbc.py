@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..semantics import literal_for
+
 
 def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, cursor: str | None = None,
               watermark=None, partition: tuple[str, int, int, int] | None = None, fetch_size: int = 50_000, **options) -> DataFrame:
@@ -23,7 +25,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
         c, lo, hi, n = partition
         r = r.option("partitionColumn", c).option("lowerBound", lo).option("upperBound", hi).option("numPartitions", n)
     df = r.load()
-    return df.where(F.col(cursor) > F.lit(watermark)) if cursor and watermark is not None else df
+    return df.where(F.col(cursor) > literal_for(df, cursor, watermark)) if cursor and watermark is not None else df
 
 
 # Fixed names of the staging schema's bookkeeping columns.
@@ -34,7 +36,7 @@ STAGED_META = ["_airbyte_raw_id", "_airbyte_meta", "_airbyte_generation_id"]
 def land(staged: DataFrame, mark=None) -> DataFrame:
     """Rows newer than the mark, with ``_synced_at`` instead of the bookkeeping columns."""
     if mark is not None:
-        staged = staged.where(F.col(STAGED_AT) > F.lit(mark))
+        staged = staged.where(F.col(STAGED_AT) > literal_for(staged, STAGED_AT, mark))
     return staged.drop(*STAGED_META).withColumnRenamed(STAGED_AT, "_synced_at")
 
 

@@ -16,14 +16,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import parse_cursor
 from ..operators.write import save
+from ..semantics import literal_for
 
 # ---------------------------------------------------------------- batch increments
 
 
 def increment(source: DataFrame, cursor: str, watermark=None) -> tuple[DataFrame, DataFrame]:
     """Rows above the watermark, and the new watermark (the old one when nothing arrived)."""
-    rows = source.where(F.col(cursor) > F.lit(watermark)) if watermark is not None else source
-    return rows, rows.agg(F.coalesce(F.max(cursor), F.lit(watermark)).alias("watermark"))
+    if watermark is None:
+        return source, source.agg(F.max(cursor).alias("watermark"))
+    mark = literal_for(source, cursor, watermark)
+    rows = source.where(F.col(cursor) > mark)
+    return rows, rows.agg(F.coalesce(F.max(cursor), mark).alias("watermark"))
 
 
 def missing_days(source_days: DataFrame, loaded: DataFrame, day: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -96,9 +100,10 @@ def stream_upsert(stream: DataFrame, target: str, keys: Sequence[str], order: st
 def stream_daily_summary(stream: DataFrame, time: str, keys: Sequence[str], aggs: Sequence[Column], target: str, checkpoint: str,
                          late: str = "2 days", every: str | None = None) -> StreamingQuery:
     """Daily summary kept up to date: each batch rewrites only the changed days (partitions) of the target."""
-    day = F.window(time, "1 day")
-    g = stream.withWatermark(time, late).groupBy(day.alias("w"), *keys).agg(*aggs)
-    g = g.withColumn("day", F.col("w.start").cast("date")).drop("w")
+    # days of the wall clock: windows over a zoned timestamp would start at midnight UTC
+    local = stream.withColumn("_local", F.from_utc_timestamp(time, F.current_timezone()))
+    g = local.withWatermark("_local", late).groupBy(F.window("_local", "1 day").alias("w"), *keys).agg(*aggs)
+    g = g.withColumn("day", F.to_utc_timestamp("w.start", F.current_timezone()).cast("date")).drop("w")
 
     def batch(df: DataFrame, _: int) -> None:
         changed = df.select("day").distinct()

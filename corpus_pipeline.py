@@ -1,32 +1,57 @@
-"""The corpus pipeline: language ID, near duplicates, repeated passages, mixing, encoding; each stage written as Parquet."""
+"""The corpus pipeline: language ID, near duplicates, repeated passages, mixing, encoding; each stage written as Parquet.
+
+Columns of ``documents`` pass through; ``n_chars`` stays as it was read.  A document has its id once in the input; rows
+with a null id are judged like any others.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrove.llm import bpe, langid, mixing
+from tallygrove.llm import bpe, jaccard, langid, mixing, suffixes
 from tallygrove.llm.queries import RANKS
 from tallygrove.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: null text, or no letter."""
+    """Documents without a recognised language go: null text, or no letter.  The model learns from all labelled rows."""
     langs, model = langid.train(docs)
-    found = langid.identify(docs, langs, model, keep=docs.columns + [])
+    found = langid.identify(docs, langs, model, keep=docs.columns)
     return found.where(found["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays; documents that link with nothing stay, and so do rows that repeat its id."""
+    found = jaccard.jaccard_join(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes that stand elsewhere too are cut out; a document of which nothing visible is left goes.
+
+    A character cut in two at the edge of a passage goes as a whole.
+    """
+    cut = suffixes.without_repeats(docs, keep=docs.columns).drop("n_bytes", "n_spans", "kept_sha256")
+    left = F.col("kept").cast("string")
+    text = F.when(F.col("n_removed") == 0, F.col("text")).when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("\uFFFD"), F.lit("")))
+    kept = cut.withColumn("text", text)
+    return kept.where(F.length(F.trim("text")) > 0).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the mix, each as often as it is taken."""
     return mixing.mixed_rows(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text and what they decode to, as digests."""
     return bpe.digests(docs, public_tokenizers.path(RANKS))
 
 
-STAGES = [("language_id", identify_language), ("mix_sources", mix), ("byte_bpe", tokenise)]
+STAGES = [("language_id", identify_language), ("ngram_jaccard", drop_near_copies), ("suffix_repeats", cut_repeats), ("mix_sources", mix), ("byte_bpe", tokenise)]
 #: SQL has no form for the language model, the pair merges and the byte spans: tested against brute force instead
 ORACLE_SQL = None
 

@@ -2,6 +2,7 @@
 
 A document is the sorted array of its shingle hashes and a bitmap of 512 bits (parity of the hashes in each bit).  Two
 bitmaps that differ in x bits prove that at least x shingles are in one set only, which bounds the overlap from above.
+Pairs that pass are tried again with a bitmap of four bits for each shingle, as long as the size band asks for.
 Documents meet in tiles: a tile holds the documents with one shingle in the part of their set that two similar
 documents must share (the first fifth, common shingles last), ordered by set size so that only sizes within the
 threshold are paired.  What size, position and bitmap leave is decided by intersecting the sorted arrays.
@@ -79,7 +80,7 @@ def _features(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, w
     """Per row: id, hash of the text, class (hash of the whole set, null without words), size, first part of the set, bitmap, minimum hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     longs = [*_WORDS, *[f"k{i}" for i in range(KEYS)]]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in longs]])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.BinaryType()), T.StructField("sig", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in longs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.append(shared.value, np.uint64((1 << 64) - 1))
@@ -87,7 +88,7 @@ def _features(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, w
             h, first = shingle_sets(piece.column("_text"), width)
             sizes = np.diff(first)
             late = often[np.searchsorted(often[:-1], h)] == h
-            heads, classes = [], []
+            heads, classes, signatures = [], [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 own, last, n = h[a:b], late[a:b], b - a
                 need = n - -(-n * percent // 100) + 1 if n else 0
@@ -95,6 +96,7 @@ def _features(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, w
                 if len(front) < need:
                     front = np.concatenate([front, own[last][: need - len(front)]])
                 heads.append(front.tobytes())
+                signatures.append(_signature(own))
                 classes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
             rows = np.repeat(np.arange(len(sizes)), sizes)
             parity = np.bincount(rows * BITS + (h & np.uint64(BITS - 1)).astype(np.int64), minlength=len(sizes) * BITS) & 1
@@ -105,7 +107,7 @@ def _features(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, w
                 if len(full):
                     lows[j, full] = np.minimum.reduceat(mix(h * _ODD[20 + j]), first[full])
             keys = [mix(lows[2 * i] * _ODD[40] + lows[2 * i + 1] * _ODD[41] + _ODD[42 + i]).view(np.int64) for i in range(KEYS)]
-            yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("th"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), *[pa.array(np.ascontiguousarray(bitmap[:, i])) for i in range(BITS // 64)], *[pa.array(k) for k in keys]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("th"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.binary()), pa.array(signatures, pa.binary()), *[pa.array(np.ascontiguousarray(bitmap[:, i])) for i in range(BITS // 64)], *[pa.array(k) for k in keys]], names=schema.names)
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("th")).mapInArrow(run, schema)
 
@@ -117,6 +119,33 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & ((na + nb - differ) * (100 + percent) >= (na + nb) * (2 * percent))
 
 
+def _signature(h: np.ndarray) -> bytes:
+    """Parity bitmap with at least four bits for each shingle: its length goes with the set's size band."""
+    bits = 1 << max(8, (4 * len(h) - 1).bit_length())
+    parity = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sieved(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the long bitmaps leave open; a longer one is folded to the other's length first."""
+    side = lambda c, n, sig: members.select(F.col("cls").alias(c), F.col("n").alias(n), F.col("sig").alias(sig))
+    both = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if len(x) < len(y):
+                    x, y = y, x
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                keep.append((na + nb - int(np.bitwise_count(x ^ y).sum())) * (100 + percent) >= (na + nb) * 2 * percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs of classes (``a``, ``b``) that link, by exact intersection of their sorted arrays."""
     need = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
@@ -218,10 +247,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = _common_shingles(docs, text_col, id_col, width)
     rows = stored(_features(docs, common, id_col, text_col, width, percent), "shingles")
     full = rows.where("n > 0")
-    members = stored(full.select("cls", "n", *_WORDS, *[f"k{i}" for i in range(KEYS)]).dropDuplicates(["cls"]), "classes")
+    members = stored(full.select("cls", "n", "sig", *_WORDS, *[f"k{i}" for i in range(KEYS)]).dropDuplicates(["cls"]), "classes")
     reps = full.groupBy("cls").agg(F.min(F.struct("th", "id")).alias("rep"))
-    check = lambda pairs: stored(_verified(pairs, docs, reps, id_col, text_col, width, percent), "links")
-    first = check(stored(_near_copies(members, percent), "pairs"))
+    check = lambda pairs: stored(_verified(stored(_sieved(pairs, members, percent), "pairs"), docs, reps, id_col, text_col, width, percent), "links")
+    first = check(_near_copies(members, percent))
     groups = components(first, "a", "b").withColumnRenamed("node", "cls")
     grouped = full.select("cls", "n", "head").join(groups, "cls", "left").select(F.coalesce("root", "cls").alias("grp"), "n", "head")
     met = stored(_tile_pairs(_tile_rows(grouped), percent), "tiles")
@@ -229,7 +258,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = lambda p: slim.select([F.col(c).alias(p + c) for c in slim.columns])
     left = met.join(side("x_"), F.col("ga") == F.col("x_grp"))
     open_pairs = left.join(side("y_"), (F.col("gb") == F.col("y_grp")) & _may_link("x_", "y_", percent)).select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
-    second = check(stored(open_pairs, "pairs"))
+    second = check(open_pairs)
     roots = components(first.union(second), "a", "b")
     out = rows.select("id", "cls", "n").join(roots, rows["cls"] == roots["node"], "left").withColumn("root", F.coalesce("root", "cls"))
     out = stored(out.select("id", "cls", "n", "root"), "roots")

@@ -128,17 +128,18 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
     input other than ``keep`` are left out.
     """
     kept = keep or [id_col]
+    text_at = f"_k{kept.index(text_col)}" if text_col in kept else "_text"
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = shared.value
-        for piece in slices(batches, "_text"):
-            shares, sets = infer(piece.column("_text"), logs, rounds, most, penalty)
+        for piece in slices(batches, text_at):
+            shares, sets = infer(piece.column(text_at), logs, rounds, most, penalty)
             order = np.argsort(-shares, axis=1, kind="stable")
             sets = sets.tolist()
             chosen = [[names[j] for j in o[:k]] for o, k in zip(order.tolist(), sets, strict=True)]
             parts = [s[o[:k]].tolist() for s, o, k in zip(shares, order, sets, strict=True)]
             yield pa.RecordBatch.from_arrays([*[piece.column(f"_k{i}") for i in range(len(kept))], pa.array([c[0] if c else UNKNOWN for c in chosen], pa.string()), pa.array([min(1.0, p[0]) if p else 0.0 for p in parts], pa.float64()), pa.array(chosen, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))], names=schema.names)
 
-    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(kept)], *([] if text_col in kept else [F.col(text_col).alias("_text")])).mapInArrow(run, schema)

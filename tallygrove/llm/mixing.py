@@ -7,12 +7,13 @@ in an epoch.  A budget of 2.3 times a source is two complete epochs and a weight
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ranking import running_total
 from ..semantics import join_on
 from ..session import cut_lineage
+from .store import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 QUALITY_WEIGHT = {1: 2.0, 0: 0.5}
@@ -41,15 +42,17 @@ def source_targets(sources: DataFrame, weights: list[float], cap: float) -> Data
     return s.select("_source", "_size", target.alias("_target"))
 
 
-def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, weight_col: str | None) -> DataFrame:
-    """``docs`` with ``_words`` (its size) and ``_rank``, the total order in which a source gives its documents."""
-    weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    weight = F.when(weight > 0, weight).otherwise(F.lit(1.0))
+def _measured(docs: DataFrame, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_words`` (its size) and ``_drawn``, a uniform number that depends on id and seed alone."""
     hexed = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
-    drawn = (F.conv(hexed, 16, 10).cast("long") + 1) / F.lit(float((1 << 52) + 1))
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("_words", words).withColumn(
-        "_rank", F.struct((-F.log(drawn) / weight).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col("_words").alias("words")))
+    return docs.withColumns({"_words": words, "_drawn": (F.conv(hexed, 16, 10).cast("long") + 1) / F.lit(float((1 << 52) + 1))})
+
+
+def _ranked(measured: DataFrame, id_col: str, weight: Column) -> DataFrame:
+    """With ``_rank``, the total order in which a source gives its documents: exponential key scaled by weight, id, size."""
+    weight = F.when(weight > 0, weight).otherwise(F.lit(1.0))
+    return measured.withColumn("_rank", F.struct((-F.log("_drawn") / weight).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col("_words").alias("words")))
 
 
 def mix_plan(sized: DataFrame, weights: list[float], cap: float, source_col: str) -> DataFrame:
@@ -73,34 +76,35 @@ def _with_plan(sized: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:
     return planned.withColumn("_copies", F.when(F.col("_words") > 0, F.col("_epochs") + extra).otherwise(0))
 
 
-def mix_sources(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: id, source, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``.
 
     ``copies`` is how often the mix holds the document and ``taken = copies * size``.  Whole documents only: at the
-    edge of a budget the document that crosses it is taken when that ends nearer to the budget.  Null text has size 0
-    and is never taken; a null source is a source of its own; a null or non-positive weight counts as 1; equal keys
-    are ordered by id and size, so rows that still tie are interchangeable.  Other columns of the input are left out,
-    whatever their names.  An empty table gives an empty result.
+    edge of a budget the document that crosses it is taken when that ends nearer to the budget.  ``quality`` has a
+    weight (``_weight``) for some ids (``_labelled``, once each); the others weigh 1, as do null and non-positive
+    weights.  Null text has size 0 and is never taken; a null source is a source of its own; equal keys are ordered by
+    id and size, so rows that still tie are interchangeable.  Other columns of the input are left out, whatever their
+    names.  An empty table gives an empty result.
     """
-    slim = cut_lineage(_sized(docs, seed, id_col, text_col, source_col, weight_col).select(F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), "_words", "_rank"))
-    both = _with_plan(slim, mix_plan(slim, list(weights), cap, "_of"), "_of")
+    slim = stored(_measured(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), F.col(text_col).alias("_text")), seed, "_id", "_text").drop("_text"), "sizes")
+    if quality is not None:
+        slim = slim.join(quality, slim["_id"] == quality["_labelled"], "left").drop("_labelled")
+    ranked = stored(_ranked(slim, "_id", F.col("_weight") if quality is not None else F.lit(1.0)).select("_id", "_of", "_words", "_rank"), "ranks")
+    both = _with_plan(ranked, mix_plan(ranked, list(weights), cap, "_of"), "_of")
     return both.select(
         F.col("_id").alias(id_col), F.col("_of").alias(source_col), F.col("_words").alias("size"), F.col("_size").alias("source_size"),
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_words")).alias("taken"), F.col("_copies").cast("int").alias("copies"))
 
 
-def mixed_rows(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mix_sources`` takes it; texts do not move by key."""
-    sized = _sized(docs, seed, id_col, text_col, source_col, weight_col)
-    slim = cut_lineage(sized.select(source_col, "_words", "_rank"))
-    plan = mix_plan(slim, list(weights), cap, source_col)
-    copies = _with_plan(sized, plan, source_col).where("_copies > 0")
+    ranked = _ranked(_measured(docs, seed, id_col, text_col), id_col, F.lit(1.0))
+    plan = mix_plan(stored(ranked.select(source_col, "_words", "_rank"), "ranks"), list(weights), cap, source_col)
+    copies = _with_plan(ranked, plan, source_col).where("_copies > 0")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
 
 
-def quality_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", out: str = "_weight") -> DataFrame:
-    """``docs`` with a weight from the quality label: 2 for good, 0.5 for poor, 1 where there is none."""
-    best = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
-    joined = docs.join(best, docs[id_col] == best["_labelled"], "left")
-    value = F.when(F.col("_quality") == 1, QUALITY_WEIGHT[1]).when(F.col("_quality") == 0, QUALITY_WEIGHT[0]).otherwise(1.0)
-    return joined.withColumn(out, value).drop("_labelled", "_quality")
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Weight of every labelled document: 2 for good, 0.5 for poor; several labels of one document count as the best."""
+    best = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("_quality"))
+    return best.select("_labelled", F.when(F.col("_quality") == 1, QUALITY_WEIGHT[1]).when(F.col("_quality") == 0, QUALITY_WEIGHT[0]).alias("_weight"))

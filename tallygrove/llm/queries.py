@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, suffixes
+from . import bpe, jaccard, langid, lm, mixing, quality, suffixes, toxicity
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,8 +51,7 @@ SELECT doc_id, source, size::BIGINT AS size, n AS source_size, target,
 FROM o
 """)
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = mixing.quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix_sources(weighted, weight_col="_weight")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), quality=mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
 @query("op2_ngram_jaccard", r"""
@@ -64,13 +63,26 @@ x AS (SELECT doc_id, unnest(sh) AS h FROM s),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.at = l.a)
-SELECT doc_id, n AS n_shingles, min(at) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL
+r AS (SELECT doc_id, doc_id AS near FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.near = l.a)
+SELECT doc_id, n AS n_shingles, min(near) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL
 """)
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_kneser_ney_quality")
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
+    return quality.classify(table(spark, sf_dir, "documents"), good)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
 @query("op6_suffix_repeats")
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
@@ -83,6 +95,13 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langs, model).withColumn("held_out", fold("doc_id", 4) == 2)
 
 
+@query("op9_attention_scores")
+def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = lm.score(docs, docs.where(fold("doc_id", 10) != 0), public_tokenizers.path(RANKS))
+    return scores.withColumn("held_out", fold("doc_id", 10) == 0)
+
+
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))

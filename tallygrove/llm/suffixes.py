@@ -279,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: list[str] = ()) -> DataFrame:
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(extra)])
+    return docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(extra) if c != text_col])
 
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -290,6 +290,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     names = keep or [id_col]
     spans = repeated_spans(docs, length, id_col, text_col)
     joined = _keyed(docs, id_col, text_col, names).join(spans, "rid", "left")
+    place = ["_text" if c == text_col else f"_c{i}" for i, c in enumerate(names)]
     schema = T.StructType([*[T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(names)], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +306,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
                 kept.append(b"".join([*parts, text[at:]]))
                 count.append(len(own or []))
             sizes = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([*[piece.column(f"_c{i}") for i in range(len(names))], pa.array(kept, pa.binary()), pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], np.int64)), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in place], pa.array(kept, pa.binary()), pa.array(sizes), pa.array(sizes - np.array([len(k) for k in kept], np.int64)), pa.array(count, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=schema.names)
 
-    out = joined.select("_text", "spans", *[f"_c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+    out = joined.select("spans", *dict.fromkeys(["_text", *place])).mapInArrow(run, schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, mixing, quality, suffixes, toxicity
+from . import bpe, jaccard, langid, lm, mixing, quality, suffixes, toxicity, vectors
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), good)
 
 
+@query("op4_projection_forest")
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -95,6 +100,16 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langs, model).withColumn("held_out", fold("doc_id", 4) == 2)
 
 
+@query("op8_pivot_top_k", """
+WITH v AS (SELECT vec_id, [floor(256.0::DOUBLE * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""")
+def op8_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_attention_scores")
 def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

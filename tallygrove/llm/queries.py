@@ -102,7 +102,7 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pivot_top_k", """
 WITH v AS (SELECT vec_id, [floor(256.0::DOUBLE * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """)

@@ -17,6 +17,8 @@ def norm_name(c) -> Column:
     return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
-def slug(c, size: int = 48) -> Column:
-    s = F.substring(F.regexp_replace(norm_name(c), "[^a-z0-9]+", "-"), 1, size)
+def slug(c, size: int | None = None) -> Column:
+    """Lower case with hyphens; cut only where a ``size`` is given, since two long names could then share one."""
+    s = F.regexp_replace(norm_name(c), "[^a-z0-9]+", "-")
+    s = F.substring(s, 1, size) if size else s
     return F.when(s == "", "x").otherwise(s)

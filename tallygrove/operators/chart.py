@@ -76,21 +76,24 @@ def group_measures(df: DataFrame, keys: Sequence[str], measures: Mapping[str, tu
 
 
 def viewer_chart(df: DataFrame, x: str, y: str, agg: str, by: str | None = None, is_date: bool = False,
-                 max_series: int = 10, max_labels: int = 200) -> DataFrame:
-    """Table-viewer chart: dates cut to the day, missing keys labelled, at most 10 series and 200 labels (largest first)."""
-    key = label(F.col(x).cast("date") if is_date else x, MISSING).alias("label")
-    if by is None and agg == "median":
-        counts = df.select(key, F.col(y).cast("double").alias("v")).groupBy("label", "v").agg(F.count(F.lit(1)).alias("_n"))
-        out = quantiles(counts, ["label"], "v", {"value": 0.5}).drop("rows")
-        return out.orderBy(F.col("value").desc_nulls_last(), "label").limit(max_labels)
-    if by is None:
-        out = df.groupBy(key).agg(aggregate(agg, y).cast("double").alias("value"))
-        return out.orderBy(F.col("value").desc_nulls_last(), "label").limit(max_labels)
-    cells = df.groupBy(key, label(by, MISSING).alias("series")).agg(
-        aggregate(agg, y).cast("double").alias("value"), F.count(F.lit(1)).alias("_n")
-    )
-    kept = cells.groupBy("series").agg(F.sum("_n").alias("_n")).orderBy(F.col("_n").desc(), "series").limit(max_series)
-    return cells.drop("_n").join(kept.select("series"), "series", "left_semi").select("label", "series", "value")
+                 max_series: int | None = None, max_labels: int | None = None) -> DataFrame:
+    """Table-viewer chart: dates cut to the day, missing keys labelled, largest first; all series and labels unless limits are given."""
+    keys = [label(F.col(x).cast("date") if is_date else x, MISSING).alias("label")] + ([label(by, MISSING).alias("series")] if by else [])
+    names = ["label", "series"] if by else ["label"]
+    if agg == "median":
+        counts = df.select(*keys, F.col(y).cast("double").alias("v")).groupBy(*names, "v").agg(F.count(F.lit(1)).alias("_n"))
+        out = quantiles(counts, names, "v", {"value": 0.5}).drop("rows")
+        if by and max_series:
+            out = out.join(counts.groupBy(*names).agg(F.sum("_n").alias("_n")), names)
+    else:
+        out = df.groupBy(*keys).agg(aggregate(agg, y).cast("double").alias("value"), F.count(F.lit(1)).alias("_n"))
+    if not by:
+        out = out.select("label", "value").orderBy(F.col("value").desc_nulls_last(), "label")
+        return out.limit(max_labels) if max_labels else out
+    if max_series:
+        kept = out.groupBy("series").agg(F.sum("_n").alias("_n")).orderBy(F.col("_n").desc(), "series").limit(max_series)
+        out = out.join(kept.select("series"), "series", "left_semi")
+    return out.select("label", "series", "value")
 
 
 def kpi(df: DataFrame, y: str | None, agg: str = "sum", name: str = "value") -> DataFrame:
@@ -241,22 +244,24 @@ def funnel(df: DataFrame, stage: str, y: str | None, agg: str = "sum", top: int
     )
 
 
-def heatmap(df: DataFrame, x: Column | str, y: Column | str, value: str | None, agg: str = "sum", max_x: int = 60, max_y: int = 40) -> DataFrame:
-    """Cells for the first 60 x 40 axis values in calendar or natural order, zero where a cell has no value."""
+def heatmap(df: DataFrame, x: Column | str, y: Column | str, value: str | None, agg: str = "sum", max_x: int | None = None, max_y: int | None = None) -> DataFrame:
+    """The matrix of all axis values (the first ``max_x`` by ``max_y`` in calendar or natural order if given), zero where a cell has no value."""
     cells = df.groupBy(label(x).alias("x"), label(y).alias("y")).agg(aggregate(agg, value).cast("double").alias("value"))
-    xs = cells.select("x").distinct().orderBy(*natural_key("x")).limit(max_x)
-    ys = cells.select("y").distinct().orderBy(*natural_key("y")).limit(max_y)
-    return (cells.join(F.broadcast(xs), "x", "left_semi").join(F.broadcast(ys), "y", "left_semi")  # 60 and 40 rows
-            .withColumn("value", F.coalesce("value", F.lit(0.0))))
+    axis = lambda c, n: (lambda d: d.orderBy(*natural_key(c)).limit(n) if n else d)(cells.select(c).distinct())
+    # every row label gets the column labels as one array: the matrix asked for, not a join of rows
+    columns = axis("y", max_y).agg(F.collect_list("y").alias("ys")).scalar()
+    grid = axis("x", max_x).select("x", F.explode(columns).alias("y"))
+    return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def flows(df: DataFrame, source: str, target: str, y: str, agg: str = "sum", top: int = 80, self_loops: bool = True) -> DataFrame:
-    """Positive source -> target sums, largest first."""
+def flows(df: DataFrame, source: str, target: str, y: str, agg: str = "sum", top: int | None = None, self_loops: bool = True) -> DataFrame:
+    """Positive source -> target sums, largest first; all of them unless ``top`` is given."""
     g = df.groupBy(label(source).alias("source"), label(target).alias("target")).agg(aggregate(agg, y).cast("double").alias("value"))
     g = g.where("value > 0")
     if not self_loops:
         g = g.where("source <> target")
-    return g.orderBy(F.col("value").desc(), "source", "target").limit(top)
+    g = g.orderBy(F.col("value").desc(), "source", "target")
+    return g.limit(top) if top else g
 
 
 def bubbles(df: DataFrame, name: str, x: str, y: str, size: str | None = None, agg: str = "sum", agg_x: str | None = None,
@@ -284,8 +289,8 @@ def map_points(df: DataFrame, lat: str, lon: str, name: str, y: str, agg: str =
     return df.where(ok).groupBy(F.col(lat).alias("lat"), F.col(lon).alias("lon"), label(name).alias("name")).agg(*aggs)
 
 
-def play_frames(df: DataFrame, time: str, x: str, y: str, agg: str = "sum", grain: str = "month", cumulative: bool = True, last: int = 120) -> DataFrame:
-    """Every category at every time step: running (default) or per step.
+def play_frames(df: DataFrame, time: str, x: str, y: str, agg: str = "sum", grain: str = "month", cumulative: bool = True, last: int | None = None) -> DataFrame:
+    """Every category at every time step (of the ``last`` steps if given): running (default) or per step.
 
     Sums and counts run over the grouped cells.  Other aggregations are not additive over
     steps: min and max run as windows, and the average runs on its sum and count.
@@ -302,7 +307,8 @@ def play_frames(df: DataFrame, time: str, x: str, y: str, agg: str = "sum", grai
     # axis: the step list is bounded by the calendar; one array per category, then exploded
     axis = steps.agg(F.sort_array(F.collect_set("step")).alias("steps")).scalar()
     labels = df.select(label(x).alias("label")).distinct()
-    grid = labels.withColumn("step", F.explode(axis))
+    recent = F.slice(axis, F.greatest(F.size(axis) - last + 1, F.lit(1)), last) if last else axis
+    grid = labels.withColumn("step", F.explode(axis if cumulative else recent))
     full = grid.join(cells, ["label", "step"], "left")
     w = Window.partitionBy("label").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # calendar-bounded
     if cumulative:
@@ -311,7 +317,6 @@ def play_frames(df: DataFrame, time: str, x: str, y: str, agg: str = "sum", grai
     else:
         s, c = F.col("s"), F.col("c")
     value = F.when(c > 0, s / c) if agg == "avg" else s
-    recent = F.slice(axis, F.greatest(F.size(axis) - last + 1, F.lit(1)), last)
     return (full.withColumn("value", F.coalesce(value, F.lit(0.0)))
             .where(F.array_contains(recent, F.col("step"))).select("step", "label", "value"))
 
@@ -331,9 +336,10 @@ def grouped_table(df: DataFrame, by: str, ys: Sequence[str], agg: str = "sum") -
     return body.unionByName(foot)
 
 
-def filter_options(df: DataFrame, c: str, limit: int = 500) -> DataFrame:
-    """Distinct non-null values for a filter list, in order."""
-    return df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct().orderBy("value").limit(limit)
+def filter_options(df: DataFrame, c: str, limit: int | None = None) -> DataFrame:
+    """Distinct non-null values for a filter list, in order; all of them unless a limit is given."""
+    values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct().orderBy("value")
+    return values.limit(limit) if limit else values
 
 
 def chart_facts(points: DataFrame, time: bool) -> DataFrame:

@@ -83,9 +83,10 @@ def throttled_audit(reads: DataFrame, keys: Sequence[str], time: str, seconds: i
         jump = cut_lineage(join_on(jump, far, [*keys, "_n"]).select(*keys, "_t", F.col("_far").alias("_n")))
 
 
-def search_audit(audit: DataFrame, text: str = "", user: str | None = None, limit: int = 200) -> DataFrame:
+def search_audit(audit: DataFrame, text: str = "", user: str | None = None, limit: int | None = None) -> DataFrame:
     """Audit rows of a user that contain a text in any column, newest first. ``audit`` has ts and username."""
     d = audit.where(F.col("username") == user) if user else audit
     if text:
         d = d.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in d.columns])), F.lit(text.lower())))
-    return d.orderBy(F.col("ts").desc(), *[c for c in d.columns if c != "ts"]).limit(limit)
+    found = d.orderBy(F.col("ts").desc(), *[c for c in d.columns if c != "ts"])
+    return found.limit(limit) if limit else found

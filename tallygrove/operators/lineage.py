@@ -20,11 +20,12 @@ NOT_TABLES = ["values", "range", "unnest", "lateral", "select"]
 
 
 def blank_literals(sql: Column) -> Column:
-    """Comments and the content of quoted text removed, so that names inside them do not count."""
-    s = F.regexp_replace(sql, r"(?s)/\*.*?\*/", " ")
-    s = F.regexp_replace(s, r"'(?:[^'\\]|\\.)*'", "''")
-    s = F.regexp_replace(s, r'"(?:[^"\\]|\\.)*"', '""')
-    return F.regexp_replace(s, r"--[^\n]*", " ")
+    """Comments and the content of quoted text removed, so that names inside them do not count.
+
+    One scan finds whichever begins first: a quote inside a comment opens no text, a comment mark inside a text no comment.
+    """
+    text = lambda q: rf"({q})(?:[^{q}\\]++|\\.)*+{q}"
+    return F.regexp_replace(sql, rf"(?s)--[^\n]*|/\*.*?\*/|{text(chr(39))}|{text(chr(34))}", " $1$1$2$2 ")
 
 
 def table_name(raw: Column) -> Column:
@@ -111,8 +112,9 @@ def impact(edges: DataFrame, start: str, depth: int = 10) -> DataFrame:
     return down.withColumn("kind", F.split("node", ":")[0]).groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def column_mentions(texts: DataFrame, key: str, text: str, column: str, lines: int = 5) -> DataFrame:
-    """The first lines of each text that mention a column as a whole word (not as part of a dotted or longer name)."""
+def column_mentions(texts: DataFrame, key: str, text: str, column: str, lines: int | None = None) -> DataFrame:
+    """The lines of each text (the first ``lines`` if given) that mention a column as a whole word, not as part of a dotted or longer name; ``n`` counts all."""
     word = rf"(?i)(^|[^\w.]){column}([^\w]|$)"
     hit = F.filter(F.split(text, "\n"), lambda ln: ln.rlike(word))
-    return texts.select(key, F.transform(F.slice(hit, 1, lines), lambda ln: F.substring(F.trim(ln), 1, 160)).alias("mentions"), F.size(hit).alias("n")).where("n > 0")
+    shown = hit if lines is None else F.slice(hit, 1, lines)
+    return texts.select(key, F.transform(shown, lambda ln: F.trim(ln)).alias("mentions"), F.size(hit).alias("n")).where("n > 0")

@@ -249,8 +249,10 @@ def _converted(c: str, t: str) -> Column:
     text, number = F.col(f"_t_{c}"), F.col(f"_n_{c}")
     if t == "string":
         return F.when(text.isNotNull(), F.col(f"`{c}`"))
-    if t == "bigint":
-        return F.when(number % 1 == 0, number.try_cast("bigint"))
+    if t == "bigint":  # digits are read as they are: a double holds 53 bits only
+        plain = F.col(f"_p_{c}")
+        digits = plain.rlike(r"^[+-]?\d+(\.0*)?$")
+        return F.when(digits, F.regexp_replace(plain, r"\.0*$", "").try_cast("bigint")).when(number % 1 == 0, number.try_cast("bigint"))
     if t == "double" or t.startswith("decimal"):
         return number.try_cast(t)
     if t == "boolean":

@@ -27,10 +27,10 @@ def with_columns_for(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """Rows of ``source`` replace rows with the same key (NULL equals NULL); other rows stay; new columns are added.
 
-    ``source`` is reduced to one row per key first.  The anti join needs only the source keys.
+    ``source`` is reduced to one row per key first, by ``order`` or else by the largest values of its columns.  The anti join needs only the source keys.
     """
     target = with_columns_for(target, keys)
-    one = keep_one(source, keys, list(order)) if order else source.dropDuplicates(list(keys))
+    one = keep_one(source, keys, list(order) if order else [F.col(c).desc_nulls_last() for c in source.columns if c not in keys] or [F.lit(1)])
     kept = join_on(target, one.select(*keys), keys, "left_anti")
     return kept.unionByName(one, allowMissingColumns=True)
 

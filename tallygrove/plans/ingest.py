@@ -296,7 +296,7 @@ def _(spark, sf):
     return TB.lookup(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")])
 
 
-@query("s22_lookup_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5000")
+@query("s22_lookup_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 def _(spark, sf):
     return TB.lookup(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], first_row_only=False)
 
@@ -557,6 +557,12 @@ def _(spark, sf):
     return d.groupBy("l_linenumber").agg(F.sum("price").alias("price"), F.count_if("flag").alias("yes"), F.max("day").cast("string").alias("day"), F.sum("qty").alias("qty"))
 
 
+@query("p09_convert_large_integers", "SELECT o_orderkey, o_orderkey + 9007199254740993 AS number FROM orders")
+def _(spark, sf):
+    d = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") + 9007199254740993).cast("string").alias("number"))
+    return S.convert(d, {"number": "bigint"})
+
+
 @query("p10_drop_empty_and_duplicates", "SELECT DISTINCT CASE WHEN l_linenumber <= 4 THEN l_returnflag END AS f, CASE WHEN l_linenumber <= 5 THEN l_linestatus END AS s FROM lineitem WHERE l_linenumber <= 5")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") <= 4, F.col("l_returnflag")).alias("f"), F.when(F.col("l_linenumber") <= 5, F.col("l_linestatus")).otherwise(" ").alias("s"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import markets as M
 from ..operators.filters import run_with_params
-from ..operators.shape import keep_latest
 from .fixtures import rnd, table
 from .registry import query
 
@@ -104,7 +103,7 @@ def _(spark, sf):
 
 
 SCORES = IND + """,
-lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM ind) WHERE rn = 1),
+lat AS (SELECT * FROM ind WHERE trade_date = (SELECT max(trade_date) FROM ind)),
 uni AS (SELECT p_brand AS symbol, min(p_type) AS industry FROM part WHERE p_brand <> 'Brand#7' GROUP BY 1),
 e AS (SELECT lat.*, industry, coalesce(n >= 252 AND avg_value_3m >= 20000 AND industry IS NOT NULL, false) AS eligible, adj_close / sma200 AS dist200, -max_drawdown_1y AS neg_dd FROM lat LEFT JOIN uni USING (symbol)),
 pr AS (SELECT *, percent_rank() OVER (PARTITION BY eligible ORDER BY dist200 NULLS FIRST) AS p_dist, percent_rank() OVER (PARTITION BY eligible ORDER BY ret_3m NULLS FIRST) AS p3, percent_rank() OVER (PARTITION BY eligible ORDER BY ret_6m NULLS FIRST) AS p6,
@@ -119,7 +118,8 @@ scores AS (SELECT *, CASE WHEN score >= 75 THEN 'Strong' WHEN score >= 60 THEN '
 
 
 def _scores(spark, sf):
-    latest = keep_latest(_ind(spark, sf), ["symbol"], "trade_date")
+    ind = _ind(spark, sf)
+    latest = ind.where(F.col("trade_date") == ind.agg(F.max("trade_date")).scalar())
     uni = table(spark, sf, "part").where("p_brand <> 'Brand#7'").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_type").alias("industry"))
     return M.stock_scores(latest, uni, 20_000.0)
 
@@ -141,8 +141,8 @@ def _(spark, sf):
     return M.sector_returns(_scores(spark, sf))
 
 
-@query("a43_breadth", SCORES + """ SELECT CAST(i.trade_date AS VARCHAR) AS trade_date, CAST(count_if(i.ret_1d > 0) AS BIGINT) AS advancing, CAST(count_if(i.ret_1d < 0) AS BIGINT) AS declining, round(100 * avg(CASE WHEN i.sma200 IS NOT NULL THEN CAST(i.adj_close > i.sma200 AS INTEGER) END), 1) AS pct_above_200dma
- FROM ind i WHERE i.days_back <= 400 AND i.symbol IN (SELECT symbol FROM scores WHERE eligible) GROUP BY 1""")
+@query("a43_breadth", SCORES + """ SELECT CAST(i.trade_date AS VARCHAR) AS trade_date, CAST(coalesce(count_if(i.ret_1d > 0), 0) AS BIGINT) AS advancing, CAST(coalesce(count_if(i.ret_1d < 0), 0) AS BIGINT) AS declining, round(100 * avg(CASE WHEN i.sma200 IS NOT NULL THEN CAST(i.adj_close > i.sma200 AS INTEGER) END), 1) AS pct_above_200dma
+ FROM ind i WHERE i.symbol IN (SELECT symbol FROM scores WHERE eligible) GROUP BY 1""")
 def _(spark, sf):
     return M.breadth(_ind(spark, sf), _scores(spark, sf).where("eligible")).select(_day(), "advancing", "declining", "pct_above_200dma")
 

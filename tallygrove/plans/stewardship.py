@@ -29,6 +29,13 @@ def _(spark, sf):
     return r.select("n_nationkey", F.array_join("reads", ",").alias("reads"), F.array_join("writes", ",").alias("writes"))
 
 
+@query("l01_sql_refs_quotes_in_comments", "SELECT n_nationkey, 'default.a' || n_nationkey || ',default.b' || n_nationkey || ',default.c' AS reads FROM nation")
+def _(spark, sf):
+    q = table(spark, sf, "nation").select("n_nationkey", F.concat(
+        F.lit("SELECT '/*' FROM a"), "n_nationkey", F.lit(" -- it's\nJOIN b"), "n_nationkey", F.lit(" ON x = '1' /* isn't */ JOIN c ON y = \"--\" AND z = 'from d'")).alias("sql"))
+    return L.sql_refs(q, "sql").select("n_nationkey", F.array_join("reads", ",").alias("reads"))
+
+
 def _events(spark, sf):
     """A query log derived from orders: priority jobs copy from status tables into customer-group tables."""
     o = table(spark, sf, "orders")
@@ -83,8 +90,8 @@ def _(spark, sf):
 
 
 @query("l05_column_mentions", """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT doc_id, substr(trim(ln, ' '), 1, 160) AS ln, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM l WHERE regexp_matches(ln, '(?i)(^|[^a-zA-Z0-9_.])the([^a-zA-Z0-9_]|$)'))
-SELECT doc_id, count(*) AS n, string_agg(ln, '|' ORDER BY rn) FILTER (rn <= 5) AS mentions FROM h GROUP BY 1""")
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT doc_id, trim(ln, ' ') AS ln, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM l WHERE regexp_matches(ln, '(?i)(^|[^a-zA-Z0-9_.])the([^a-zA-Z0-9_]|$)'))
+SELECT doc_id, count(*) AS n, string_agg(ln, '|' ORDER BY rn) AS mentions FROM h GROUP BY 1""")
 def _(spark, sf):
     m = L.column_mentions(table(spark, sf, "documents"), "doc_id", "text", "the")
     return m.select("doc_id", F.col("n").cast("bigint").alias("n"), F.array_join("mentions", "|").alias("mentions"))
@@ -129,7 +136,7 @@ def _(spark, sf):
 
 
 @query("q22_audit_search", """
-SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE CAST(user_id AS VARCHAR) = '7' AND (contains(lower(event_type), 'ic') OR contains(lower(props), 'ic')) ORDER BY ts DESC LIMIT 200""")
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE CAST(user_id AS VARCHAR) = '7' AND (contains(lower(event_type), 'ic') OR contains(lower(props), 'ic'))""")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("username"), "event_type", "props")
     return G.search_audit(e, "IC", "7").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

@@ -7,6 +7,7 @@ page; cursor and next-link modes learn the next page from the last one and read
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -24,9 +25,9 @@ def records_at(body, path: str):
 
 
 class _Slice(InputPartition):
-    def __init__(self, params: dict, first: int, pages: int | None):
+    def __init__(self, params: dict, first: int, pages: int | None, open_end: bool = False):
         super().__init__(first)
-        self.params, self.first, self.pages = params, first, pages
+        self.params, self.first, self.pages, self.open_end = params, first, pages, open_end
 
 
 class _PagedReader(DataSourceReader):
@@ -41,11 +42,15 @@ class _PagedReader(DataSourceReader):
         slices = o["slices"] or [{}]
         if o["mode"] in ("page", "offset") and o["pages"]:
             return [_Slice(s, i, 1) for s in slices for i in range(o["pages"])]
-        return [_Slice(s, 0, 1 if o["mode"] == "none" else o["max_pages"]) for s in slices]
+        return [_Slice(s, 0, 1 if o["mode"] == "none" else o["max_pages"], o["mode"] != "none") for s in slices]
 
     def read(self, part: _Slice) -> Iterator[tuple]:
         o, cursor = self.o, None
-        for i in range(part.first, part.first + part.pages):
+        for i in itertools.count(part.first):
+            if part.pages is not None and i >= part.first + part.pages:
+                if part.open_end:
+                    raise RuntimeError(f"the source has more than {part.pages} pages")
+                return
             req = dict(part.params)
             if o["mode"] == "page":
                 req["page"] = o["first_page"] + i
@@ -79,8 +84,11 @@ class PagedSource(DataSource):
 
 
 def read_paged(spark: SparkSession, fetch: Callable[[dict], object], mode: str = "page", records: str = "", next_path: str = "next",
-               size: int = 100, pages: int | None = None, first_page: int = 1, max_pages: int = 10_000, slices: list[dict] | None = None) -> DataFrame:
-    """(slice, record) JSON texts of every page. Modes: none, page, offset, next_url, cursor."""
+               size: int = 100, pages: int | None = None, first_page: int = 1, max_pages: int | None = None, slices: list[dict] | None = None) -> DataFrame:
+    """(slice, record) JSON texts of every page. Modes: none, page, offset, next_url, cursor.
+
+    ``max_pages`` guards against a source that never ends: a read that reaches it fails instead of stopping early.
+    """
     import base64
 
     spark.dataSource.register(PagedSource)
@@ -90,12 +98,12 @@ def read_paged(spark: SparkSession, fetch: Callable[[dict], object], mode: str =
     return spark.read.format("tallygrove_paged").option("spec", json.dumps(spec)).option("fetch", packed).load()
 
 
-def window_slices(partitions: DataFrame, start: str, now: str, step_days: int, lookback_minutes: int = 0, cap_days: int = 30) -> DataFrame:
+def window_slices(partitions: DataFrame, start: str, now: str, step_days: int, lookback_minutes: int = 0) -> DataFrame:
     """One row per (partition, time window) to read: windows of ``step_days`` from start minus the look-back up to now.
 
     Ends are exclusive, one second after the last covered moment; overlap is removed by the upsert that follows.
     """
-    step = min(step_days, cap_days)
+    step = step_days
     begin = F.to_timestamp_ntz(F.lit(start)) - F.expr(f"INTERVAL {int(lookback_minutes)} MINUTES")
     stop = F.to_timestamp_ntz(F.lit(now))
     d = partitions.withColumn("window_start", F.explode(F.sequence(begin, stop, F.expr(f"INTERVAL {step} DAYS"))))

@@ -35,8 +35,10 @@ def run_sql(spark: SparkSession, script: str, limit: int | None = None, params:
     return out.limit(limit) if limit else out
 
 
-def lookup(df: DataFrame, order: Sequence[str | Column], first_row_only: bool = True, limit: int = 5000) -> DataFrame:
-    return df.orderBy(*order).limit(1 if first_row_only else limit)
+def lookup(df: DataFrame, order: Sequence[str | Column], first_row_only: bool = True, limit: int | None = None) -> DataFrame:
+    """Rows in order: the first, the first ``limit``, or all."""
+    rows = df.orderBy(*order)
+    return rows.limit(1) if first_row_only else rows.limit(limit) if limit else rows
 
 
 def demo_sales(ids: DataFrame, start: str = "2024-01-01") -> DataFrame:

@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import parse_cursor
-from ..operators.write import save
-from ..semantics import literal_for
+from ..operators.shape import keep_latest
+from ..operators.write import read_version, save, versions
+from ..semantics import join_on, literal_for
+from ..session import cut_lineage
 
 # ---------------------------------------------------------------- batch increments
 
@@ -42,12 +44,13 @@ def append_new_days(source: DataFrame, loaded: DataFrame, day: str) -> DataFrame
     return source.where(last.isNull() | (F.col(day) > last))
 
 
-def window_table(spark: SparkSession, start: str, freq: str, now: str, last_end: str | None = None, limit: int = 5) -> DataFrame:
-    """The next [start, end) windows to run: complete ones after the last finished end, at most ``limit`` per tick."""
+def window_table(spark: SparkSession, start: str, freq: str, now: str, last_end: str | None = None, limit: int | None = None) -> DataFrame:
+    """The next [start, end) windows to run: all complete ones after the last finished end, or the first ``limit``."""
     begin = F.to_timestamp_ntz(F.lit(last_end or start))
     step = F.expr(f"INTERVAL {freq}")
     s = spark.range(1).select(F.explode(F.sequence(begin, F.to_timestamp_ntz(F.lit(now)), step)).alias("window_start"))
-    return s.withColumn("window_end", F.col("window_start") + step).where(F.col("window_end") <= F.to_timestamp_ntz(F.lit(now))).orderBy("window_start").limit(limit)
+    s = s.withColumn("window_end", F.col("window_start") + step).where(F.col("window_end") <= F.to_timestamp_ntz(F.lit(now))).orderBy("window_start")
+    return s.limit(limit) if limit else s
 
 
 def run_windows(df: DataFrame, time: str, windows: DataFrame, freq_seconds: int, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
@@ -88,11 +91,17 @@ def stream_append(stream: DataFrame, target: str, checkpoint: str, every: str |
 
 
 def stream_upsert(stream: DataFrame, target: str, keys: Sequence[str], order: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the newest row per key. Re-reading the same files is harmless: an upsert repeats to the same state."""
-    def batch(df: DataFrame, _: int) -> None:
-        from ..operators.shape import keep_latest
+    """Keep the newest row per key, in whatever order files arrive: a stored row gives way only to a newer one.
 
-        save(keep_latest(df, keys, order, [c for c in df.columns if c not in (*keys, order)]), target, "merge", keys=keys)
+    Re-reading the same files is harmless: an upsert repeats to the same state.
+    """
+    def batch(df: DataFrame, _: int) -> None:
+        ties = [c for c in df.columns if c not in (*keys, order)]
+        new = keep_latest(df, keys, order, ties)
+        if versions(df.sparkSession, target):
+            stored = join_on(read_version(df.sparkSession, target), new.select(*keys), list(keys), "left_semi")
+            new = keep_latest(new.unionByName(stored, allowMissingColumns=True), keys, order, ties)
+        save(new, target, "merge", keys=keys)
 
     return _start(stream, checkpoint, batch, every)
 
@@ -106,6 +115,7 @@ def stream_daily_summary(stream: DataFrame, time: str, keys: Sequence[str], aggs
     g = g.withColumn("day", F.to_utc_timestamp("w.start", F.current_timezone()).cast("date")).drop("w")
 
     def batch(df: DataFrame, _: int) -> None:
+        df = cut_lineage(df)  # the batch feeds three branches: the stateful aggregate runs once
         changed = df.select("day").distinct()
         spark = df.sparkSession
         old = None
@@ -113,8 +123,6 @@ def stream_daily_summary(stream: DataFrame, time: str, keys: Sequence[str], aggs
             # unchanged groups of the changed days are kept
             old = spark.read.parquet(target).join(changed, "day", "left_semi").join(df.select("day", *keys), ["day", *keys], "left_anti")
         rows = df if old is None else df.unionByName(old.select(*df.columns))
-        from ..session import cut_lineage
-
         cut_lineage(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
 
     return _start(g, checkpoint, batch, every, "update")
@@ -130,6 +138,17 @@ def without_repeats(stream: DataFrame, time: str, keys: Sequence[str], late: str
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def close_windows(spark: SparkSession, path: str, schema: str, time: str, partition_by: Sequence[str], at: str = "9000-01-01") -> None:
+    """Writes one empty row far ahead of all others, whose time moves the watermark past every open window.
+
+    The row's own window stays open, so it never reaches a result.
+    """
+    empty = spark.createDataFrame([()], T.StructType([]))
+    fields = T._parse_datatype_string(schema).fields
+    row = empty.select(*[(F.lit(at).cast(f.dataType) if f.name == time else F.lit("end").cast(f.dataType) if f.name in partition_by else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+    row.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
 def tumbling(stream: DataFrame, time: str, size: str, keys: Sequence[str], aggs: Sequence[Column], late: str) -> DataFrame:
     return stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), *keys).agg(*aggs)
 

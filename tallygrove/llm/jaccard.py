@@ -237,6 +237,15 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "ga long, gb long").distinct()
 
 
+def _smaller_first(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each pair with its smaller group as ``ga``: the larger one is met in the join that sizes and bitmaps cut down."""
+    sizes = groups.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_k"))
+    side = lambda c, k: sizes.select(F.col("_root").alias(f"_{c}"), F.col("_k").alias(k))
+    d = pairs.join(side("ga", "ka"), F.col("ga") == F.col("_ga"), "left").join(side("gb", "kb"), F.col("gb") == F.col("_gb"), "left")
+    swap = F.coalesce("ka", F.lit(1)) > F.coalesce("kb", F.lit(1))
+    return d.select(F.when(swap, F.col("gb")).otherwise(F.col("ga")).alias("ga"), F.when(swap, F.col("ga")).otherwise(F.col("gb")).alias("gb"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles``, ``class_id`` (equal sets share it), ``component_id`` (smallest id reachable by links, its own included).
 
@@ -253,7 +262,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = check(_near_copies(members, percent))
     groups = components(first, "a", "b").withColumnRenamed("node", "cls")
     grouped = full.select("cls", "n", "head").join(groups, "cls", "left").select(F.coalesce("root", "cls").alias("grp"), "n", "head")
-    met = stored(_tile_pairs(_tile_rows(grouped), percent), "tiles")
+    met = _smaller_first(stored(_tile_pairs(_tile_rows(grouped), percent), "tiles"), groups)
     slim = members.join(groups, "cls", "left").select(F.coalesce("root", "cls").alias("grp"), "cls", "n", *_WORDS)
     side = lambda p: slim.select([F.col(c).alias(p + c) for c in slim.columns])
     left = met.join(side("x_"), F.col("ga") == F.col("x_grp"))

@@ -8,6 +8,7 @@ repeated outlier removal) run as grouped pandas, one series per call.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
@@ -115,56 +116,57 @@ def season_length(grain: str, n: int) -> int:
     return period if period and n >= need else 0
 
 
-def outliers(ys: np.ndarray, season: int = 0, limit: float = 3.5) -> list[tuple[int, float, float]]:
-    """(position, z, expected) of robust outliers, most extreme first: residuals from a centred median and the
-    seasonal pattern, scored by median and MAD; each found point is replaced by its expectation before the next pass."""
-    n = len(ys)
-    if n < 7:
+def _expected(y: np.ndarray, reach: int, season: int) -> np.ndarray:
+    """Centred running median plus, with a season, the median residual of each phase; edges use what there is."""
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(y, reach, constant_values=np.nan), 2 * reach + 1)
+    base = np.nanmedian(around, axis=1)
+    if season < 2 or len(y) < 2 * season:
+        return base
+    cycles = np.full(-(-len(y) // season) * season, np.nan)
+    cycles[: len(y)] = y - base
+    return base + np.resize(np.nanmedian(cycles.reshape(-1, season), axis=0), len(y))
+
+
+def outliers(ys: np.ndarray, season: int = 0, limit: float = 3.5, most: int | None = None) -> list[tuple[int, float, float]]:
+    """(position, z, expected) of robust outliers, most extreme first, all of them unless ``most`` is given.
+
+    Residuals are scored by median and MAD; the strongest one that is also large against its level is taken out (its
+    value becomes the expectation) before the series is judged again.
+    """
+    y = np.array(ys, dtype=float)
+    if len(y) < 7:
         return []
-    w = max(3, min(7, n // 4))
-    work, found = np.array(ys, dtype=float), []
-    level = float(np.median(np.abs(work))) or 1.0
-    phase = np.arange(n) % season if season > 1 and n >= 2 * season else None
-    for _ in range(6):
-        expected = np.array([np.median(work[max(0, i - w): i + w + 1]) for i in range(n)])
-        if phase is not None:
-            pattern = np.array([np.median((work - expected)[phase == p]) for p in range(season)])
-            expected = expected + pattern[phase]
-        gap = work - expected
-        centre = np.median(gap)
-        scale = max(float(np.median(np.abs(gap - centre))), 0.03 * level)
-        z = 0.6745 * (gap - centre) / scale
-        z[[i for i, _, _ in found]] = 0.0
-        top = int(np.argmax(np.abs(z)))
-        if abs(z[top]) < limit or abs(gap[top]) < 0.12 * max(abs(expected[top]), 0.5 * level):
+    size, reach = float(np.median(np.abs(y))) or 1.0, int(np.clip(len(y) // 4, 3, 7))
+    open_, found = np.ones(len(y), bool), []
+    while most is None or len(found) < most:
+        guess = _expected(y, reach, season)
+        off = y - guess
+        from_middle = off - np.median(off)
+        z = np.where(open_, 0.6745 * from_middle / max(float(np.median(np.abs(from_middle))), 0.03 * size), 0.0)
+        at = int(np.abs(z).argmax())
+        if abs(z[at]) < limit or abs(off[at]) < 0.12 * max(abs(guess[at]), 0.5 * size):
             break
-        found.append((top, float(z[top]), float(expected[top])))
-        work[top] = expected[top]
+        found.append((at, float(z[at]), float(guess[at])))
+        y[at], open_[at] = guess[at], False
     return found
 
 
-def _holt_fit(y: np.ndarray, alpha: float, beta: float):
-    level, slope, sse = y[0], (y[1] - y[0]), 0.0
-    for v in y[1:]:
-        guess = level + slope
-        sse += (v - guess) ** 2
-        new = alpha * v + (1 - alpha) * guess
-        level, slope = new, beta * (new - level) + (1 - beta) * slope
-    return sse, level, slope
-
+def _smooth(y: np.ndarray, grid: np.ndarray, level: float, slope: float, cycle: np.ndarray, begin: int, judged: int):
+    """Error-correcting smoothing for all rows (alpha, beta, gamma) of a grid at once: squared errors, levels, slopes and cycles at the end.
 
-def _seasonal_fit(y: np.ndarray, m: int, alpha: float, beta: float, gamma: float):
-    first, second = y[:m].mean(), y[m: 2 * m].mean()
-    level, slope, season, sse = first, (second - first) / m, list(y[:m] - first), 0.0
-    for t, v in enumerate(y):
-        s = season[t % m]
-        if t >= m:
-            sse += (v - level - slope - s) ** 2
-        new = alpha * (v - s) + (1 - alpha) * (level + slope)
-        slope = beta * (new - level) + (1 - beta) * slope
-        season[t % m] = gamma * (v - new) + (1 - gamma) * s
-        level = new
-    return sse, level, slope, season
+    One state array per quantity, an entry for each grid point.  A cycle of one zero with gamma 0 is Holt's method.
+    """
+    alpha, beta, gamma = grid.T
+    state = np.tile(np.array([[level], [slope]]), len(grid))
+    cycles, sse = np.tile(cycle, (len(grid), 1)), np.zeros(len(grid))
+    for t in range(begin, len(y)):
+        phase = cycles[:, t % len(cycle)]
+        miss = y[t] - state.sum(0) - phase
+        sse += miss * miss * (t >= judged)
+        moved = state.sum(0) + alpha * miss
+        state = np.stack([moved, state[1] + beta * (moved - state.sum(0))])
+        cycles[:, t % len(cycle)] = phase + gamma * (y[t] - moved - phase)
+    return sse, state[0], state[1], cycles
 
 
 def forecast_values(ys: Sequence[float], h: int, season: int = 0):
@@ -173,23 +175,21 @@ def forecast_values(ys: Sequence[float], h: int, season: int = 0):
     n = len(y)
     if n < 4 or h < 1:
         return None
-    for i, _, _ in outliers(y, season):
-        near = np.sort(np.delete(y[max(0, i - 3): i + 4], min(3, i)))
-        if len(near):
-            y[i] = near[len(near) // 2]
-    sse, level, slope = min((_holt_fit(y, a, b) for a in ALPHAS for b in BETAS), key=lambda f: f[0])
-    pattern, points = None, n - 1
+    for at, _, _ in outliers(y, season, most=6):  # a forecast forgives the six strongest, more would smooth the series away
+        near = np.sort(np.concatenate([y[max(0, at - 3) : at], y[at + 1 : at + 4]]))
+        y[at] = near[len(near) // 2]
+    fits = [_smooth(y, np.array(list(itertools.product(ALPHAS, BETAS, [0.0]))), y[0], y[1] - y[0], np.zeros(1), 1, 1)]
+    best, kind, loss, points = int(fits[0][0].argmin()), 0, fits[0][0].min(), n - 1
     if season > 1 and n >= 2 * season + 2:
-        for a in HW_ALPHAS:
-            for b in HW_BETAS:
-                for g in HW_GAMMAS:
-                    f = _seasonal_fit(y, season, a, b, g)
-                    scaled = f[0] / max(1, n - season) * (n - 1)
-                    if scaled < sse * 0.9:
-                        sse, level, slope, pattern, points = scaled, f[1], f[2], f[3], n - season
+        first, second = y[: 2 * season].reshape(2, season).mean(1)
+        fits.append(_smooth(y, np.array(list(itertools.product(HW_ALPHAS, HW_BETAS, HW_GAMMAS))), first, (second - first) / season, y[:season] - first, 0, season))
+        for i, scaled in enumerate(fits[1][0] / max(1, n - season) * (n - 1)):  # a season has to be clearly better
+            if scaled < 0.9 * loss:
+                best, kind, loss, points = i, 1, scaled, n - season
+    _, level, slope, cycles = fits[kind]
     k = np.arange(1, h + 1)
-    values = level + k * slope + (np.array([pattern[(n + i - 1) % season] for i in k]) if pattern else 0.0)
-    return ("seasonal" if pattern else "linear"), values, 1.28 * np.sqrt(sse / max(1, points)) * np.sqrt(k)
+    cycle = cycles[best]
+    return ("seasonal" if kind else "linear"), level[best] + k * slope[best] + cycle[(n - 1 + k) % len(cycle)], 1.28 * np.sqrt(loss / max(1, points)) * np.sqrt(k)
 
 
 def forecast(df: DataFrame, key: Sequence[str], time: str, value: str, h: int, grain: str) -> DataFrame:

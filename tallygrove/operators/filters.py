@@ -246,24 +246,25 @@ def period_windows(preset: str, anchor: dt.date, start: dt.date | None = None, e
     return cur, Days(cur.start - dt.timedelta(days=cur.days), cur.start - one)
 
 
+#: Days before today at which an overview range begins; the calendar ones begin with their month, quarter or year.
+_BACK = {"today": 0, "7d": 6, "28d": 27, "30d": 29, "90d": 89, "12m": 364}
+_CALENDAR = {"mtd": lambda d: d.month, "qtd": lambda d: (d.month - 1) // 3 * 3 + 1, "ytd": lambda d: 1}
+
+
 def overview_range(preset: str, today: dt.date, first_day: dt.date, start: dt.date | None = None, end: dt.date | None = None):
     """(current, previous or None, partial): ranges of the overview page, held inside the days that have data."""
-    back = {"today": 0, "7d": 6, "28d": 27, "30d": 29, "90d": 89, "12m": 364}
-    begin, stop = today - dt.timedelta(days=back.get(preset, 27)), today
-    if preset == "mtd":
-        begin = today.replace(day=1)
-    elif preset == "qtd":
-        begin = today.replace(month=(today.month - 1) // 3 * 3 + 1, day=1)
-    elif preset == "ytd":
-        begin = today.replace(month=1, day=1)
-    elif preset == "custom" and start and end:
-        begin, stop = min(start, end), max(start, end)
-    stop = min(max(stop, first_day), today)
-    begin = min(max(begin, first_day), stop)
-    cur = Days(begin, stop)
-    want = begin - dt.timedelta(days=cur.days)
-    prev = Days(max(want, first_day), begin - dt.timedelta(days=1))
-    return cur, (prev if prev.days > 0 else None), want < first_day
+    if preset == "custom" and start and end:
+        asked = Days(*sorted((start, end)))
+    elif preset in _CALENDAR:
+        asked = Days(dt.date(today.year, _CALENDAR[preset](today), 1), today)
+    else:
+        asked = Days(today - dt.timedelta(days=_BACK.get(preset, _BACK["28d"])), today)
+    held = lambda d, last: max(first_day, min(d, last)) if first_day <= last else last
+    stop = held(asked.end, today)
+    current = Days(held(asked.start, stop), stop)
+    before = Days(current.start - dt.timedelta(days=current.days), current.start - dt.timedelta(days=1))
+    inside = Days(max(before.start, first_day), before.end)
+    return current, (inside if inside.days > 0 else None), before.start < first_day
 
 
 def date_bounds(df: DataFrame, c: str) -> tuple[dt.date, dt.date]:

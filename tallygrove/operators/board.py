@@ -19,10 +19,6 @@ from ..semantics import OTHER, change, growth, label
 from ..session import cut_lineage
 from .filters import Days
 
-# Fixed limits of a board.
-MAX_DAYS, MIN_DAYS, MAX_CELLS, MAX_ENTITIES = 800, 92, 240_000, 300
-
-
 @dataclass(frozen=True)
 class Roles:
     """Which column plays which part. Modes: ``sum`` or ``countd``; no measure means counting rows."""
@@ -55,14 +51,17 @@ def _primary(r: Roles) -> Column:
     return F.sum(F.col(r.measure).cast("double")) if r.measure else F.count(F.lit(1)).cast("double")
 
 
-def board_entities(fact: DataFrame, r: Roles, limit: int = MAX_ENTITIES) -> DataFrame:
+def board_entities(fact: DataFrame, r: Roles, limit: int | None = None) -> DataFrame:
     """The largest locations with their place attributes; the rest become one "Other" row."""
     text = lambda c: F.max(F.col(c).cast("string")) if c else F.lit(None).cast("string")
     mean = lambda c: F.avg(F.col(c).cast("double")) if c else F.lit(None).cast("double")
     g = fact.where(F.col(r.day).isNotNull()).groupBy(label(r.site).alias("entity")).agg(
         _primary(r).alias("value"), text(r.city).alias("city"), text(r.state).alias("state"), text(r.country).alias("country"),
         mean(r.lat).alias("lat"), mean(r.lon).alias("lon"))
-    top = g.orderBy(F.col("value").desc_nulls_last(), "entity").limit(limit).withColumn("is_other", F.lit(False))
+    top = g.orderBy(F.col("value").desc_nulls_last(), "entity").withColumn("is_other", F.lit(False))
+    if limit is None:
+        return top
+    top = top.limit(limit)
     whole, n = g.agg(F.sum("value")).scalar(), g.agg(F.count(F.lit(1))).scalar()
     rest = top.agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("k")).where(n > F.col("k")).select(
         F.lit(OTHER).alias("entity"), (whole - F.col("v")).alias("value"), *[F.lit(None).cast("string").alias(c) for c in ("city", "state", "country")],
@@ -76,12 +75,12 @@ def top_items(fact: DataFrame, r: Roles, column: str, measure: Column | None = N
     return g.orderBy(F.col("value").desc_nulls_last(), "item").limit(n)
 
 
-def history_days(span: int, entities: int, items: Sequence[int] = ()) -> int:
-    """How many days fit: the cell limit over locations (and locations x items), at most 800, at least 92 or the span."""
-    days = min(span, MAX_DAYS, MAX_CELLS // max(1, entities))
-    for k in items:
-        days = min(days, MAX_CELLS // max(1, entities * k))
-    return max(min(span, MIN_DAYS), days)
+def history_days(span: int, entities: int, items: Sequence[int] = (), max_days: int | None = None, max_cells: int | None = None, least: int = 92) -> int:
+    """Days of history to keep: all of the span, or what fits into the asked limits of days and of cells (locations, and locations x items), but not under ``least``."""
+    days = [span] if max_days is None else [span, max_days]
+    if max_cells is not None:
+        days += [max_cells // max(1, entities * k) for k in (1, *items)]
+    return max(min(span, least), min(days))
 
 
 def _kept(fact: DataFrame, c: Column, keep: DataFrame, name: str) -> DataFrame:

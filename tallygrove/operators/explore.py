@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..ranking import average_ranks, quantiles
 from ..semantics import MISSING, label
+from ..session import cut_lineage
 
 
 def histogram(df: DataFrame, c: str, bins: int | None = None) -> DataFrame:
@@ -41,14 +42,15 @@ def value_counts(df: DataFrame, c: str, top: int = 30) -> DataFrame:
     return best.select(F.col("v").alias("value"), "n").unionByName(tail)
 
 
-def box_plot(df: DataFrame, c: str, by: str | None = None, groups: int = 20) -> DataFrame:
-    """Quartiles with linear interpolation, whiskers at the last values within 1.5 IQR, outlier count, largest groups first."""
+def box_plot(df: DataFrame, c: str, by: str | None = None, groups: int | None = None) -> DataFrame:
+    """Quartiles with linear interpolation, whiskers at the last values within 1.5 IQR and outlier count of all groups, or of the ``groups`` largest."""
     key = label(by, MISSING) if by else F.lit(c)
     d = df.select(key.alias("g"), F.col(c).cast("double").alias("v")).where("v is not null")
-    per = d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n"))
-    q = quantiles(per, ["g"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q = q.orderBy(F.col("rows").desc(), "g").limit(groups).withColumnRenamed("rows", "total")
-    j = per.join(F.broadcast(q), "g")  # at most ``groups`` rows
+    per = cut_lineage(d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("_n")))  # counted once, for quartiles and whiskers
+    q = quantiles(per, ["g"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumnRenamed("rows", "total")
+    if groups:
+        q = q.orderBy(F.col("total").desc(), "g").limit(groups)
+    j = per.join(q, "g")
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(lo, hi)
     return j.groupBy("g", "total", "q1", "median", "q3").agg(
@@ -56,22 +58,26 @@ def box_plot(df: DataFrame, c: str, by: str | None = None, groups: int = 20) ->
         F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("outliers"))
 
 
-def box_outliers(df: DataFrame, c: str, limit: int = 200) -> DataFrame:
-    """The first outlier values of a box plot, as the plot shows them."""
+def box_outliers(df: DataFrame, c: str, limit: int | None = None) -> DataFrame:
+    """The outlier values of a box plot in order, or the first ``limit`` of them."""
     d = df.select(F.col(c).cast("double").alias("v"))
     q = quantiles(d.groupBy("v").agg(F.count(F.lit(1)).alias("_n")), [], "v", {"q1": 0.25, "q3": 0.75})
     q1, q3 = q.select("q1").scalar(), q.select("q3").scalar()
-    return d.where((F.col("v") < q1 - 1.5 * (q3 - q1)) | (F.col("v") > q3 + 1.5 * (q3 - q1))).orderBy("v").limit(limit)
+    out = d.where((F.col("v") < q1 - 1.5 * (q3 - q1)) | (F.col("v") > q3 + 1.5 * (q3 - q1))).orderBy("v")
+    return out.limit(limit) if limit else out
 
 
-def co_occurrence(df: DataFrame, x: str, y: str, top: int = 15) -> DataFrame:
-    """Counts of pairs among the most frequent values of two columns."""
+def co_occurrence(df: DataFrame, x: str, y: str, top: int | None = None) -> DataFrame:
+    """Counts of the pairs of values of two columns, or of those among the ``top`` most frequent values of each."""
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         F.col(x).cast("string").alias("x"), F.col(y).cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
+    if top is None:
+        return cells
+
     def best(c, raw):
         g = df.where(F.col(raw).isNotNull()).groupBy(F.col(raw).cast("string").alias(c)).agg(F.count(F.lit(1)).alias("k"))
-        return F.broadcast(g.orderBy(F.col("k").desc(), c).limit(top).select(c))  # ``top`` rows
+        return g.orderBy(F.col("k").desc(), c).limit(top).select(c)
 
     return cells.join(best("x", x), "x", "left_semi").join(best("y", y), "y", "left_semi")
 

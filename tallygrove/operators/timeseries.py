@@ -285,7 +285,7 @@ def forecast_change(forecast_rows: DataFrame, daily: DataFrame, day: str, value:
     return forecast_rows.agg(F.sum("value").alias("total")).withColumn("last_total", last).withColumn("change", growth("total", "last_total"))
 
 
-def city_anomalies(cube: DataFrame, places: DataFrame, start: dt.date, end: dt.date, top: int = 4) -> DataFrame:
+def city_anomalies(cube: DataFrame, places: DataFrame, start: dt.date, end: dt.date, top: int | None = None) -> DataFrame:
     """Days on which whole cities left their weekday baseline: cities expected above 4 % of the daily mean that moved by 30 % or more.
 
     ``cube``: day, entity, p; ``places``: entity, city.
@@ -298,4 +298,5 @@ def city_anomalies(cube: DataFrame, places: DataFrame, start: dt.date, end: dt.d
     hit = city.where((F.col("x") > mean * 0.04) & (F.abs(F.col("v") / F.col("x") - 1) >= 0.3))
     per_day = hit.groupBy("day").agg(F.sum("v").alias("value"), F.sum("x").alias("expected"), F.sum("n").alias("entities"), F.sort_array(F.collect_set("city")).alias("cities"))
     per_day = per_day.withColumns({"change": F.col("value") / F.col("expected") - 1, "impact": F.abs(F.col("value") - F.col("expected"))})
-    return per_day.orderBy(F.col("impact").desc(), "day").limit(top)
+    per_day = per_day.orderBy(F.col("impact").desc(), "day")
+    return per_day.limit(top) if top else per_day

@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("a11_history_window", f"""
 WITH {FACT}, s AS (SELECT max(day) AS hi, CAST(max(day) - min(day) + 1 AS INTEGER) AS span, count(DISTINCT site) AS n, count(DISTINCT category) AS k FROM fact),
-d AS (SELECT hi, CAST(greatest(least(span, 92), least(span, 800, 240000 // n, 240000 // (n * k))) AS INTEGER) AS days FROM s)
+d AS (SELECT hi, CAST(greatest(least(span, 92), span) AS INTEGER) AS days FROM s)
 SELECT count(*) AS lines, count(DISTINCT day) AS active_days FROM fact, d WHERE day > hi - days""")
 def _(spark, sf):
     f = fact(spark, sf)

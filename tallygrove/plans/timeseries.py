@@ -132,7 +132,7 @@ CITY = f"""{FACT}, src AS (SELECT site AS k, day AS d, CAST(sum(floor(amount)) A
 h AS (SELECT d, sum(v) AS value, sum(x) AS expected, CAST(sum(n) AS BIGINT) AS entities, string_agg(city, ',' ORDER BY city) AS cities FROM c, mn WHERE x > m * 0.04 AND abs(v / x - 1) >= 0.3 GROUP BY 1)"""
 
 
-@query("m06_city_anomalies", f"WITH {CITY} SELECT CAST(d AS VARCHAR) AS day, value, round(expected, 4) AS expected, entities, cities, round(value / expected - 1, 6) AS change FROM h ORDER BY abs(value - expected) DESC, d LIMIT 4")
+@query("m06_city_anomalies", f"WITH {CITY} SELECT CAST(d AS VARCHAR) AS day, value, round(expected, 4) AS expected, entities, cities, round(value / expected - 1, 6) AS change FROM h ORDER BY abs(value - expected) DESC, d")
 def _(spark, sf):
     f = fact(spark, sf)
     cube = f.groupBy(F.col("site").alias("entity"), "day").agg(F.sum(F.floor("amount")).cast("double").alias("p"))

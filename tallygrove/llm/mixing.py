@@ -67,7 +67,8 @@ def mix_plan(sized: DataFrame, weights: list[float], cap: float, source_col: str
     # middles of the documents rise along the order, so the selection is everything up to one rank
     middle = F.col("_ahead") - F.col("_start") + F.col("_words") / 2
     chosen = join_on(run, join_on(targets, start, ["_source"]), ["_source"]).where((F.col("_words") > 0) & (middle <= F.col("_rest")))
-    return join_on(targets, chosen.groupBy("_source").agg(F.max("_rank").alias("_last")), ["_source"], "left")
+    # stored, so that Spark knows its size: a plan under its broadcast limit does not make the documents move
+    return stored(join_on(targets, chosen.groupBy("_source").agg(F.max("_rank").alias("_last")), ["_source"], "left"), "plan")
 
 
 def _with_plan(sized: DataFrame, plan: DataFrame, source_col: str) -> DataFrame:

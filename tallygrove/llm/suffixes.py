@@ -84,26 +84,37 @@ def anchors(texts: pa.Array, length: int):
 
 
 _ROW = "rid long, p long, m int, d int, anchor long"
+#: What a task knows of a row before it is dealt: nothing; others of the task are equal and this one speaks for them; it is spoken for.
+_ALONE, _SPEAKS, _SPOKEN_FOR = 0, 1, 2
 
 
 def _first_digits(docs: DataFrame, length: int) -> DataFrame:
+    """Rows of suffixes with both digits, and ``known``: of equal rows of one task only the first has to meet its anchor's others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "_text"):
+        for piece in slices(batches, "_text", 1 << 22):
             row, p, m, d, anchor, block = anchors(piece.column("_text"), length)
             rid = piece.column("rid").to_numpy(zero_copy_only=False)[row] if len(row) else row
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(p), pa.array(m, pa.int32()), pa.array(d, pa.int32()), pa.array(anchor), pa.array(block)], names=["rid", "p", "m", "d", "anchor", "block"])
+            known = np.full(len(row), _SPOKEN_FOR, np.int32)
+            if len(row):
+                mixed = mix(anchor.view(np.uint64) * _C1 + block.view(np.uint64))
+                _, first, count = np.unique(mixed, return_index=True, return_counts=True)
+                known[first] = np.where(count > 1, _SPEAKS, _ALONE)
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(p), pa.array(m, pa.int32()), pa.array(d, pa.int32()), pa.array(anchor), pa.array(block), pa.array(known)], names=["rid", "p", "m", "d", "anchor", "block", "known"])
 
-    return docs.select("rid", "_text").mapInArrow(run, _ROW + ", block long")
+    return docs.select("rid", "_text").mapInArrow(run, _ROW + ", block long, known int")
 
 
 def _second_digit(rows: DataFrame) -> DataFrame:
     """Rows equal in both digits (``kind`` 0, repeated), and of anchors with several blocks one row for each block (``kind`` 1, or 2 if it is not repeated as a whole).
 
-    A stream over rows in order: only the row before and the first row of the anchor are held, however many rows an anchor has.
+    A stream over rows in order: only the row before and the first row of the anchor are held, however many rows an
+    anchor has.  Rows that are spoken for are repeated without further ado and are dealt by text instead of by anchor,
+    so a passage that a third of all texts share does not gather in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "p", "m", "d", "anchor", "block"]
+        names = ["rid", "p", "m", "d", "anchor", "block", "known"]
         last: list[np.ndarray] = []  # the row whose right neighbour is not known yet
         state = {"equal_before": False, "many": False, "held": None}
 
@@ -120,7 +131,7 @@ def _second_digit(rows: DataFrame) -> DataFrame:
             next_same = np.zeros(n, bool)
             upto = n if after else n - 1
             next_same[:upto] = (anchor[1 : upto + 1] == anchor[:upto]) & (block[1 : upto + 1] == block[:upto])
-            repeated = ~new_block | next_same
+            repeated = ~new_block | next_same | (cols[6][:n] == _SPEAKS)
             kinds, picked = [np.zeros(int(repeated.sum()), np.int32)], [np.flatnonzero(repeated)]
             # blocks by anchor: the second block of an anchor brings out its first
             heads = np.flatnonzero(new_block)
@@ -141,7 +152,7 @@ def _second_digit(rows: DataFrame) -> DataFrame:
             g = int(new_anchor.sum())
             if g or not carried:
                 at = int(np.flatnonzero(new_anchor)[-1])
-                state["held"] = ([c[at] for c in cols] + [1 if repeated[at] else 2], block[n - 1], int(size[g]))
+                state["held"] = ([c[at] for c in cols[:6]] + [1 if repeated[at] else 2], block[n - 1], int(size[g]))
             else:
                 state["held"] = (state["held"][0], block[n - 1], int(known[0] + size[0]))
             i = np.concatenate(picked)
@@ -154,6 +165,11 @@ def _second_digit(rows: DataFrame) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if (settled := cols[6] == _SPOKEN_FOR).any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[settled]) for c in cols[:5]], pa.array(np.zeros(int(settled.sum()), np.int32))], names=[*names[:5], "kind"])
+                cols = [c[~settled] for c in cols]
+                if not len(cols[0]):
+                    continue
             if last:
                 cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
             n = len(cols[0]) - 1
@@ -164,7 +180,8 @@ def _second_digit(rows: DataFrame) -> DataFrame:
             yield out
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "block").mapInArrow(run, _ROW + ", kind int")
+    dealt = rows.repartition(n, F.when(F.col("known") == _SPOKEN_FOR, F.xxhash64("rid", "p")).otherwise(F.col("anchor")))
+    return dealt.sortWithinPartitions("anchor", "block").mapInArrow(run, _ROW + ", kind int")
 
 
 def _blocks(open_rows: DataFrame, docs: DataFrame, length: int) -> DataFrame:

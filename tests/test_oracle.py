@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 NAMES = """entry_nation_month_growth a01_chart_countd_series_top a20_donut_top_other a21_category_list a28_race_cumulative_countd a29_grouped_table_heat a33_box_plot_by_flag
 a35_column_profile a37_spearman_matrix q09_run_rules q12_reconciliation p09_convert_rejects k05_tenant_slices k07_compare_versions j07_backward_asof_stale j11_geocode_places w01_keep_latest_line
 a14_roll_up_levels a15_zones_states m13_sip_xirr w16_weekday_baseline m08_driver_insights l01_sql_refs l03_neighbourhood p24_grants q21_throttled_audit a46_usage_invoice w20_i10_alert_transitions
-f03_date_functions f05_logic_and_numbers t01_feed_page p12_bound_parameters s05_delimited_skip_rows i06_tumbling_backfill""".split()
+f03_date_functions f05_logic_and_numbers t01_feed_page p12_bound_parameters s05_delimited_skip_rows i06_tumbling_backfill i06_tumbling_stream i05_session_stream i04_stream_upsert_late_files
+a24_heatmap_empty_cells a03_viewer_median_series p09_convert_large_integers l01_sql_refs_quotes_in_comments q18_business_roles m18_stock_scores""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)

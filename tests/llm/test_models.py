@@ -220,6 +220,15 @@ def test_word_base_equals_brute_force(make, monkeypatch):
     assert lm.score(make([]), make([]), PATH).collect() == []
 
 
+def test_attention_learns_from_every_training_text(spark):
+    tokens = spark.sparkContext.broadcast(lm.read_ranks(PATH)[: lm.IDS - 1])
+    texts = spark.range(40).select(F.concat(F.lit("one text with many copies "), "id").alias("_text"), F.pmod(F.xxhash64("_text"), F.lit(2)).alias("half"))
+    for half in (0, 1):  # however many texts there are, none is left out by its hash
+        text = texts.where(F.col("half") == half).first()["_text"]
+        docs = spark.range(0, 4000, 1, 2).select(F.lit(text).alias("_text"))
+        assert not np.array_equal(lm._train(docs, tokens, PATH), lm.initial())
+
+
 def embeddings(spark, n=700, d=12, seed=3):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, d)).astype(np.float32)

@@ -1,17 +1,18 @@
 """The corpus pipeline: language ID, near duplicates, repeated passages, mixing, encoding; each stage written as Parquet.
 
-Columns of ``documents`` pass through; ``n_chars`` stays as it was read.  A document has its id once in the input; rows
-with a null id are judged like any others.
+Columns of ``documents`` pass through; ``n_chars`` stays as it was read.  Rows are
+judged one by one, those with a null or a repeated id like any others.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm import bpe, jaccard, langid, mixing, suffixes
 from tallygrove.llm.queries import RANKS
+from tallygrove.llm.store import stored
 from tallygrove.session import scratch_path
 
 
@@ -22,11 +23,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(found["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
 
 
+def _key(docs: DataFrame) -> Column:
+    """What tells rows apart and ranks them: smallest id first, null ids last, then hashes of the text and of all columns; only equal rows share it."""
+    whole = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), whole.alias("row"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; documents that link with nothing stay, and so do rows that repeat its id."""
-    found = jaccard.jaccard_join(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    """Of each group of linked rows one stays, that with the smallest id (null ids last; then by hashes of text and row); rows that link with nothing stay.
+
+    Rows are judged by themselves, not by their ids: a row stays although its id is that of a row that goes.
+    """
+    keyed = docs.withColumn("_key", _key(docs))
+    found = jaccard.jaccard_join(keyed.select("_key", "text"), id_col="_key")
+    kinds = stored(found.where("n_shingles > 0").groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least")).where("n > 1 or _key <> least")
+                   .select(F.col("_key").alias("_of"), (F.col("_key") == F.col("least")).alias("_first")), "copies")
+    marked = keyed.join(kinds, keyed["_key"] == kinds["_of"], "left").where("_first is null or _first").drop("_of")
+    # of equal rows that are the first of their group one stays
+    once = marked.where("_first").dropDuplicates(["_key"])
+    return marked.where("_first is null").unionByName(once).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

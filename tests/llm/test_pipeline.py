@@ -51,3 +51,18 @@ def test_stages_return_the_columns_of_documents(spark, make):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
         assert stage(spark, docs.where("false"), "").collect() == []
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, make):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    null_ids, null_and_id, equal, shared, clean, differ = (text() for _ in range(6))
+    rows = [(None, null_ids, "en", "s", 1), (None, null_ids + " end", "en", "s", 1), (None, null_ids, "en", "s", 1), (7, null_and_id, "en", "s", 1), (None, null_and_id, "en", "s", 1),
+            (3, equal, "en", "s", 1), (3, equal, "en", "s", 1), (4, shared, "en", "s", 1), (5, shared, "en", "s", 1), (5, clean, "en", "s", 1), (6, differ, "en", None, 1), (6, differ, None, "en", 1),
+            (8, None, "en", "s", 1), (8, None, "en", "s", 1), (None, None, "en", "s", 1)]
+    got = corpus_pipeline.drop_near_copies(spark, make(rows), "").select("doc_id", "text").collect()
+    first = next(t for i, t in got if i is None and t and t.startswith(null_ids))
+    want = [(None, first), (7, null_and_id), (3, equal), (4, shared), (5, clean), (6, differ), (8, None), (8, None), (None, None)]
+    assert Counter(map(tuple, got)) == Counter(want)
+    left = corpus_pipeline.cut_repeats(spark, make([(i, t, "en", "s", 1) for i, t in got]), "").select("doc_id", "text").collect()
+    assert Counter(map(tuple, left)) == Counter(w for w in want if w[1])

@@ -7,6 +7,7 @@ judged one by one, those with a null or a repeated id like any others.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +58,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mix, each as often as it is taken."""
-    return mixing.mixed_rows(docs)
+    """The rows of the mix, each as often as it is taken; documents weigh by their labels, or alike where there is no such table."""
+    try:
+        labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, quality=mixing.quality_weights(labels))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

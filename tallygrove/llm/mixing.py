@@ -97,11 +97,30 @@ def mix_sources(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: fl
         F.col("_target").alias("target"), (F.col("_copies") * F.col("_words")).alias("taken"), F.col("_copies").cast("int").alias("copies"))
 
 
-def mixed_rows(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``mix_sources`` takes it; texts do not move by key."""
-    ranked = _ranked(_measured(docs, seed, id_col, text_col), id_col, F.lit(1.0))
-    plan = mix_plan(stored(ranked.select(source_col, "_words", "_rank"), "ranks"), list(weights), cap, source_col)
-    copies = _with_plan(ranked, plan, source_col).where("_copies > 0")
+def mixed_rows(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as ``mix_sources`` takes it with the same ``quality``.
+
+    The plan is made from ids and sizes.  Of the weights only those of labelled documents that they bring in or keep out
+    meet the texts.
+    """
+    sized = _measured(docs, seed, id_col, text_col)
+    alike = _ranked(sized, id_col, F.lit(1.0))
+    if quality is None:
+        plan = mix_plan(stored(alike.select(source_col, "_words", "_rank"), "ranks"), list(weights), cap, source_col)
+        copies = _with_plan(alike, plan, source_col)
+    else:
+        slim = stored(sized.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_of"), "_words", "_drawn"), "sizes")
+        slim = slim.join(quality, slim["_id"] == quality["_labelled"], "left").drop("_labelled")
+        ranked = stored(_ranked(slim, "_id", F.col("_weight")).select("_id", "_of", "_words", "_drawn", "_weight", "_rank"), "ranks")
+        plan = mix_plan(ranked.drop("_drawn", "_weight"), list(weights), cap, "_of")
+        # a weight that does not change what a document's rank decides is left out
+        plain = _ranked(ranked.withColumn("_own", F.col("_rank")), "_id", F.lit(1.0))
+        both = join_on(plain, plan.withColumnRenamed("_source", "_of"), ["_of"])
+        moved = both.where("_weight > 0 and _words > 0 and (_own <= _last) <> (_rank <= _last)")
+        changed = stored(moved.groupBy(F.col("_id").alias("_labelled")).agg(F.max("_weight").alias("_weight")), "weights")
+        weighed = sized.join(changed, sized[id_col] == changed["_labelled"], "left").drop("_labelled")
+        copies = _with_plan(_ranked(weighed, id_col, F.col("_weight")), plan, source_col)
+    copies = copies.where("_copies > 0")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(*docs.columns)
 
 

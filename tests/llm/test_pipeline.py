@@ -66,3 +66,16 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark, make):
     assert Counter(map(tuple, got)) == Counter(want)
     left = corpus_pipeline.cut_repeats(spark, make([(i, t, "en", "s", 1) for i, t in got]), "").select("doc_id", "text").collect()
     assert Counter(map(tuple, left)) == Counter(w for w in want if w[1])
+
+
+def test_mix_stage_weighs_by_quality(spark, make, tmp_path):
+    rng = random.Random(8)
+    docs = make([(i if i % 9 else None, "word " * rng.randint(0, 40), "en", rng.choice(["a", "b", "c", None]), i) for i in range(600)] + [(11, "word " * 30, "en", "b", 600)])
+    labels = spark.createDataFrame([(i, rng.choice([0, 1, None]), 0) for i in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: (r["doc_id"], r["source"], len(r["text"].split()))
+    got = Counter(map(key, corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()))
+    takes = lambda **q: sum((Counter({(r["doc_id"], r["source"], r["size"]): r["copies"]}) for r in mixing.mix_sources(docs, **q).collect()), Counter())
+    weighed, alike = takes(quality=mixing.quality_weights(labels)), takes()
+    assert got == weighed != alike
+    assert Counter(map(key, corpus_pipeline.mix(spark, docs, f"{tmp_path}/none").collect())) == alike

@@ -144,14 +144,14 @@ class ProfiledColumn:
     distinct: int
 
 
-def plan_summary(columns: Sequence[ProfiledColumn], days: int, limit: int = 4500) -> tuple[list[str], list[str], int]:
-    """Up to 3 categories with <= 30 values while days x values stays within the limit, and up to 6 measures."""
+def plan_summary(columns: Sequence[ProfiledColumn], days: int, limit: int | None = None, categories: int | None = None, values: int | None = None, measures: int | None = None) -> tuple[list[str], list[str], int]:
+    """Categories by rising number of values, and measures: all, or as many as the limits leave (``limit`` holds for days x values)."""
     kept, size = [], max(1, days)
     for c in sorted((c for c in columns if c.kind == "cat"), key=lambda c: (c.distinct, c.name)):
-        if len(kept) < 3 and c.distinct <= 30 and size * c.distinct <= limit:
+        if (categories is None or len(kept) < categories) and (values is None or c.distinct <= values) and (limit is None or size * c.distinct <= limit):
             kept.append(c.name)
             size *= c.distinct
-    return kept, [c.name for c in columns if c.kind == "num"][:6], size
+    return kept, [c.name for c in columns if c.kind == "num"][:measures], size
 
 
 def summary_grain(days: int, groups: int, limit: int = 60_000) -> str:
@@ -194,18 +194,25 @@ def donut(df: DataFrame, x: str, y: str, agg: str = "sum", top: int = 8) -> Data
     return few.unionByName(many)
 
 
-def category_list(df: DataFrame, x: str, y: str, agg: str = "sum", top: int = 8) -> DataFrame:
-    """Ranked categories with their share of the positive total; the rest as one row unless values do not add up."""
+def category_list(df: DataFrame, x: str, y: str, agg: str = "sum", top: int | None = None) -> DataFrame:
+    """Ranked categories with their share of the positive total (null where values do not add up); beyond ``top`` rows the rest is one."""
     g = df.groupBy(label(x).alias("label")).agg(aggregate(agg, y).cast("double").alias("value")).where("value is not null")
-    if agg in ("avg", "min", "max"):
-        return g.orderBy(F.col("value").desc(), "label").limit(top).select(
-            "label", "value", F.lit(None).cast("double").alias("share"), F.lit(False).alias("is_other"))
+    ranked = g.orderBy(F.col("value").desc(), "label")
     facts = g.agg(F.sum(F.greatest("value", F.lit(0.0))).alias("t"), F.count(F.lit(1)).alias("n"))
     whole, n = facts.select("t").scalar(), facts.select("n").scalar()
-    many = top_with_other(g, "label", "value", top - 1).where(n > top)
-    few = (g.orderBy(F.col("value").desc(), "label").limit(top).where(n <= top)
-           .withColumn("is_other", F.lit(False)).withColumn("members", F.lit(1).cast("bigint")))
-    both = few.select("label", "value", "is_other", "members").unionByName(many.select("label", "value", "is_other", "members"))
+    if agg in ("avg", "min", "max"):
+        row = lambda d, name, other: d.select(name.alias("label"), "value", F.lit(None).cast("double").alias("share"), F.lit(other).alias("is_other"))
+        if top is None:
+            return row(g, F.col("label"), False)
+        head = ranked.limit(top - 1)
+        rest = df.withColumn("_label", label(x)).join(F.broadcast(head.select(F.col("label").alias("_keep"))), F.col("_label") == F.col("_keep"), "left_anti")  # fewer than top rows
+        rest = rest.agg(aggregate(agg, y).cast("double").alias("value")).where(n > top)
+        few, many = row(ranked.limit(top).where(n <= top), F.col("label"), False), row(head.where(n > top), F.col("label"), False)
+        return few.unionByName(many).unionByName(row(rest, F.concat(F.lit("Other ("), n - (top - 1), F.lit(")")), True))
+    few = (g if top is None else ranked.limit(top).where(n <= top)).withColumn("is_other", F.lit(False)).withColumn("members", F.lit(1).cast("bigint"))
+    both = few.select("label", "value", "is_other", "members")
+    if top is not None:
+        both = both.unionByName(top_with_other(g, "label", "value", top - 1).where(n > top).select("label", "value", "is_other", "members"))
     name = F.when(F.col("is_other"), F.concat(F.lit("Other ("), F.col("members"), F.lit(")"))).otherwise(F.col("label"))
     return both.select(name.alias("label"), "value", F.coalesce(F.greatest("value", F.lit(0.0)) / F.nullif(whole, F.lit(0.0)), F.lit(0.0)).alias("share"), "is_other")
 

@@ -14,11 +14,11 @@ from ..session import cut_lineage
 
 
 def histogram(df: DataFrame, c: str, bins: int | None = None) -> DataFrame:
-    """Equal-width bins: ceil(log2 n + 1) of them, at most 60; the last bin is closed. Empty bins are listed."""
+    """Equal-width bins: ``bins`` or ceil(log2 n + 1) of them; the last bin is closed. Empty bins are listed."""
     v = df.select(F.col(c).cast("double").alias("v")).where("v is not null")
     s = v.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     k = F.lit(bins) if bins else F.ceil(F.log2(F.col("n").cast("double")) + 1)
-    s = s.withColumn("bins", F.greatest(F.lit(1), F.least(k, F.lit(60))).cast("int"))
+    s = s.withColumn("bins", F.greatest(F.lit(1), k).cast("int"))
     s = s.withColumn("w", F.coalesce(F.nullif((F.col("hi") - F.col("lo")) / F.col("bins"), F.lit(0.0)), F.lit(1.0)))
     facts = s.select(F.struct("lo", "w", "bins").alias("f")).scalar()  # one row, read as a scalar subquery
     i = F.least(facts["bins"] - 1, F.floor((F.col("v") - facts["lo"]) / facts["w"]).cast("int"))
@@ -143,9 +143,11 @@ def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return out.drop("approx_distinct").join(distinct, "column") if exact else out.withColumnRenamed("approx_distinct", "distinct")
 
 
-def small_category_values(df: DataFrame, columns: Sequence[str], limit: int = 12) -> DataFrame:
-    """The values of small categories, most frequent first."""
+def small_category_values(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The values of categories and their counts; with ``limit`` only those of categories with at most so many values."""
     counts = long_counts(df, columns).where("value is not null")
+    if limit is None:
+        return counts.select("column", "value", "n")
     size = counts.groupBy("column").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= limit)
     return counts.join(size, "column").select("column", "value", "n")  # at most ``limit`` per column
 

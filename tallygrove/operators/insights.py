@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..ranking import global_row_number
 from ..semantics import change, upper_median
 from .chart import period_movers
 from .filters import Days
@@ -66,10 +67,10 @@ def forecast_insights(forecast_rows: DataFrame, points: DataFrame, key: Sequence
     return _rows(d, [(F.abs("ch") >= 0.03, "Forecast", F.least(F.lit(0.9), F.abs("ch") * 1.5), good, F.lit("forecast"), F.col("ch"), F.col("next"))], key)
 
 
-def anomaly_insights(found: DataFrame, key: Sequence[str], time: str, lower_is_better: bool = False) -> DataFrame:
-    """The two strongest outliers of each series. ``found`` comes from ``timeseries.anomalies``."""
+def anomaly_insights(found: DataFrame, key: Sequence[str], time: str, lower_is_better: bool = False, per_series: int | None = None) -> DataFrame:
+    """Outliers of each series, or the ``per_series`` strongest. ``found`` comes from ``timeseries.anomalies``."""
     rn = F.row_number().over(Window.partitionBy(*key).orderBy(F.abs("z").desc(), time))
-    d = found.withColumn("_rn", rn).where("_rn <= 2")
+    d = found if per_series is None else found.withColumn("_rn", rn).where(F.col("_rn") <= per_series)
     good = (F.col("z") < 0) if lower_is_better else (F.col("z") > 0)
     return _rows(d, [(F.lit(True), "Anomaly", F.least(F.lit(0.95), 0.45 + F.abs("z") / 20), good, F.col(time), F.col("value"), F.col("expected"))], key)
 
@@ -138,13 +139,13 @@ def kpi_insights(kpis: DataFrame) -> DataFrame:
     return d.select(tag.alias("tag"), F.least(F.lit(1.0), F.abs("change") * 3).alias("score"), good.alias("good"), F.col("title").alias("subject"), F.col("change").alias("number"), F.col("prev").alias("base"))
 
 
-def rank_insights(found: DataFrame) -> DataFrame:
-    """Problems first (+0.12), weak ones out, one per subject, at most three per tag."""
+def rank_insights(found: DataFrame, per_tag: int | None = None) -> DataFrame:
+    """Problems first (+0.12), weak ones out, one per subject; at most ``per_tag`` of a tag if given."""
     d = found.where(~((F.col("tag") == "Volatility") | ((F.col("tag") == "Correlation") & (F.col("score") < 0.6))))
     d = d.withColumn("score", F.col("score") + F.when(F.col("good"), 0.0).otherwise(0.12))
     order = [F.col("score").desc(), F.col("tag"), F.col("subject")]
-    one = d.withColumn("_rn", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).where("_rn = 1")
-    return one.withColumn("_rn", F.row_number().over(Window.partitionBy("tag").orderBy(*order))).where("_rn <= 3").drop("_rn")
+    one = d.withColumn("_rn", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).where("_rn = 1").drop("_rn")
+    return one if per_tag is None else one.withColumn("_rn", F.row_number().over(Window.partitionBy("tag").orderBy(*order))).where(F.col("_rn") <= per_tag).drop("_rn")
 
 
 def board_insights(regions: DataFrame, entities: DataFrame, segments: DataFrame, categories: DataFrame, totals: DataFrame) -> DataFrame:
@@ -181,13 +182,14 @@ def board_insights(regions: DataFrame, entities: DataFrame, segments: DataFrame,
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def story_facts(kpis: DataFrame, insights: DataFrame) -> DataFrame:
-    """Facts for a narration: the lead KPI, the biggest move, the main thing to watch and the closing list of three."""
+def story_facts(kpis: DataFrame, insights: DataFrame, closing: int | None = None) -> DataFrame:
+    """Facts for a narration: the lead KPI, the biggest move, the main thing to watch and the closing list (of ``closing`` if given)."""
     lead = kpis.agg(F.min(F.struct("position", "title", F.col("cur").alias("number"))).alias("e")).select(F.lit("lead").alias("part"), F.lit(1).alias("position"), "e.title", "e.number")
     move = kpis.where("change is not null").agg(F.min(F.struct((-F.abs("change")).alias("k"), "title", F.col("change").alias("number"))).alias("e")).where("e is not null").select(
         F.lit("biggest move").alias("part"), F.lit(1).alias("position"), "e.title", "e.number")
     watch = insights.where("not good").agg(F.min(F.struct((-F.col("score")).alias("k"), F.col("subject").alias("title"), "number")).alias("e")).where("e is not null").select(
         F.lit("watch").alias("part"), F.lit(1).alias("position"), "e.title", "e.number")
-    close = insights.orderBy(F.col("score").desc(), "subject").limit(3)
-    close = close.select(F.lit("closing").alias("part"), F.row_number().over(Window.orderBy(F.col("score").desc(), "subject")).alias("position"), F.col("subject").alias("title"), "number")  # three rows
+    order = [F.col("score").desc(), F.col("subject")]
+    close = global_row_number(insights if closing is None else insights.orderBy(*order).limit(closing), order, "position")
+    close = close.select(F.lit("closing").alias("part"), F.col("position").cast("int").alias("position"), F.col("subject").alias("title"), "number")
     return reduce(lambda a, b: a.unionByName(b), [lead, move, watch, close])

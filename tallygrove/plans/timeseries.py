@@ -261,7 +261,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, tag
 SELECT tag, round(score, 6) AS score, good, subject, round(number, 4) AS number, round(base, 4) AS base FROM q WHERE b <= 3""")
 def _(spark, sf):
     u = I.kpi_insights(_kpis(spark, sf)).unionByName(_drivers(spark, sf)).unionByName(_day_ins(spark, sf))
-    return _ins(I.rank_insights(u))
+    return _ins(I.rank_insights(u, per_tag=3))
 
 
 @query("m10_board_insights", f"""

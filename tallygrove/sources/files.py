@@ -77,6 +77,8 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     """
     if delimiter is None or encoding is None:
         d, e = sniff(read_head(spark, path))
+        if encoding is None and e == "UTF-8" and spark.read.text(path).agg(F.min(F.is_valid_utf8("value"))).first()[0] is False:
+            e = "ISO-8859-1"  # beyond the head, or in another file
         delimiter, encoding = delimiter or d, encoding or e
     r = (spark.read.option("sep", delimiter).option("encoding", encoding).option("header", header).option("nullValue", "")
          .option("mode", "PERMISSIVE").option("escape", '"').option("enforceSchema", True))

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.operators import chart as C
+from tallygrove.operators import explore as E
 from tallygrove.operators import filters as X
 from tallygrove.operators import govern as G
+from tallygrove.operators import insights as I
 from tallygrove.operators import markets as M
 from tallygrove.operators import shape as S
 from tallygrove.operators import timeseries as TS
@@ -311,3 +313,33 @@ def test_throttle_is_greedy(spark):
     reads = spark.createDataFrame([("u", t0 + dt.timedelta(seconds=s)) for s in (0, 30, 59, 60, 90, 119, 121, 300)], "k string, t timestamp_ntz")
     got = [int((r["t"] - t0).total_seconds()) for r in G.throttled_audit(reads, ["k"], "t", 60).orderBy("t").collect()]
     assert got == [0, 60, 121, 300]
+
+
+def test_limits_are_arguments_without_a_default_cut(spark):
+    z = spark.createDataFrame([("k", i, float(i), 0.0, float(i)) for i in range(1, 8)], "k string, t int, value double, expected double, z double")
+    assert I.anomaly_insights(z, ["k"], "t").count() == 7 and I.anomaly_insights(z, ["k"], "t", per_series=2).count() == 2
+    found = spark.createDataFrame([("Growth", i / 10, True, f"s{i}", 1.0, 1.0) for i in range(6)], "tag string, score double, good boolean, subject string, number double, base double")
+    assert I.rank_insights(found).count() == 6 and I.rank_insights(found, per_tag=3).count() == 3
+    kpis = spark.createDataFrame([(1, "a", 1.0, 0.1)], "position int, title string, cur double, change double")
+    closing = lambda **k: [(r["position"], r["title"]) for r in I.story_facts(kpis, found, **k).where("part = 'closing'").orderBy("position").collect()]
+    assert closing() == [(i + 1, f"s{5 - i}") for i in range(6)] and closing(closing=3) == closing()[:3]
+    v = spark.createDataFrame([(i, f"c{i % 20}") for i in range(200)], "v int, c string")
+    assert E.small_category_values(v, ["v", "c"]).count() == 220 and E.small_category_values(v, ["v", "c"], limit=20).count() == 20
+    assert E.histogram(v, "v", bins=100).count() == 100
+    cols = [C.ProfiledColumn(f"c{i}", "cat", 40) for i in range(5)] + [C.ProfiledColumn(f"n{i}", "num", 9) for i in range(8)]
+    assert [len(x) for x in C.plan_summary(cols, 30)[:2]] == [5, 8] and C.plan_summary(cols, 30, limit=4500, categories=3, measures=6) == (["c0"], [f"n{i}" for i in range(6)], 1200)
+
+
+def test_category_list_keeps_the_rest(spark):
+    d = spark.createDataFrame([("a", 9.0), ("b", 5.0), ("b", 7.0), ("c", 1.0), ("d", 2.0), ("d", 3.0), ("d", 2.0)], "x string, y double")
+    get = lambda agg, top=None: {r["label"]: r["value"] for r in C.category_list(d, "x", "y", agg, top).collect()}
+    assert get("avg", 3) == {"a": 9.0, "b": 6.0, "Other (2)": 2.0} and get("min", 2) == {"a": 9.0, "Other (3)": 1.0} and get("max", 3) == {"a": 9.0, "b": 7.0, "Other (2)": 3.0}
+    assert len(get("avg")) == len(get("avg", 4)) == len(get("sum")) == 4
+
+
+def test_encoding_is_checked_beyond_the_first_head(spark, tmp_path):
+    for name, last in (("late", [("a.csv", b"k,v\n" + b"x,plain\n" * 10_000 + "y,M\xfcller\n".encode("latin-1"))]), ("other", [("a.csv", b"k,v\nx,plain\n"), ("b.csv", "k,v\ny,M\xfcller\n".encode("latin-1"))]), ("utf8", [("a.csv", "k,v\ny,M\xfcller\n".encode())])):
+        (tmp_path / name).mkdir()
+        for file, data in last:
+            (tmp_path / name / file).write_bytes(data)
+        assert {r["v"] for r in FL.read_delimited(spark, str(tmp_path / name)).where("k = 'y'").collect()} == {"M\xfcller"}

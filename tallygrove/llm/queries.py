@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, lm, mixing, quality, suffixes, toxicity, vectors
+from . import bpe, codes, jaccard, langid, lm, mixing, quality, suffixes, toxicity, vectors
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,24 @@ def op9_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+
+@query("op13_grid_codes", f"""
+WITH k AS (SELECT vec_id, label, [floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT FOR x IN embedding] AS e, row_number() OVER () AS id FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT id, part, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] AS x FROM k, range(4) t(part)),
+f AS (SELECT vec_id, min(e) AS e FROM k GROUP BY vec_id ORDER BY vec_id NULLS LAST LIMIT 256),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST) - 1 AS entry, e[part * (len(e) // 4) + 1 : (part + 1) * (len(e) // 4)] AS c FROM f, range(4) t(part)),
+{"".join(f'''
+a{r} AS MATERIALIZED (SELECT id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM
+        (SELECT id, part, entry, list_sum([(x[i] - c[i]) * (x[i] - c[i]) FOR i IN range(1, len(x) + 1)])::BIGINT AS d FROM p JOIN b{r} USING (part)) GROUP BY id, part),
+''' + (f'''
+s{r} AS (SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN p USING (id, part), range(1, len(x) + 1) t(i) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS c FROM s{r} GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry)),
+''' if r < 4 else '') for r in range(5))}
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM b4),
+o AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT digest FROM h) AS codebooks_sha256 FROM o JOIN k USING (id)
+""")
+def op13_grid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, codes, jaccard, langid, lm, minhash, mixing, quality, suffixes, toxicity, vectors
+from . import bpe, codes, jaccard, langid, lm, minhash, mixing, prefixtrie, quality, suffixes, toxicity, vectors
 from .text import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,23 @@ SELECT doc_id, n AS n_shingles, min(near) AS component_id, doc_id = min(near) AS
 """)
 def op12_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie", """
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS r
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY r) AS own FROM o GROUP BY conv_id),
+h AS (SELECT *, (xor(list_reduce(list_prepend(4294967295, [ascii(ch)::BIGINT FOR ch IN string_split(conv_id::VARCHAR, '')]),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT FOR i IN range(8)]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6) AS h FROM c),
+b AS (SELECT h.conv_id, list_concat(coalesce(g.own, [])[1:h], h.own[h + 1:]) AS turns FROM h LEFT JOIN c g ON g.conv_id = h.conv_id - h.conv_id % 100),
+p AS MATERIALIZED (SELECT conv_id, d, len(turns) AS n, turns[1:d] AS path FROM b, range(len(turns) + 1) t(d)),
+k AS MATERIALIZED (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(path[d].text) END)::BIGINT AS saving,
+          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM p GROUP BY path, d),
+f AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM k WHERE d > 0 GROUP BY 1),
+l AS MATERIALIZED (SELECT k.*, coalesce(f.n, 0) AS n_children FROM k LEFT JOIN f USING (path)),
+u AS (SELECT path[1:e] AS path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saving)::BIGINT AS saved_tokens FROM l, range(d + 1) t(e) GROUP BY 1)
+SELECT l.conv_id, l.d AS depth, q.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, l.ends AS ends_sha256
+FROM l JOIN u USING (path) LEFT JOIN k q ON l.d > 0 AND q.d = l.d - 1 AND q.path = l.path[1:l.d - 1]
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))

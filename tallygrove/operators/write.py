@@ -1,18 +1,21 @@
-"""Save modes: keyed upsert, replaced slices, version folders, compaction.
+"""Save modes: keyed upsert, replaced slices, saved tables in parts, compaction.
 
-Plain Parquet has no in-place MERGE, so every mode is a DataFrame of the new content that
-is written to a new version folder ``<table>/v=<n>``; readers take the highest folder that
-has its ``_SUCCESS`` marker.  Nothing that is being read is ever overwritten.
+Plain Parquet has no in-place MERGE, so every mode is a DataFrame of the new content of the
+parts it touches, written to a new folder; a small committed list says which folders count.
+Nothing that is being read is ever overwritten.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..semantics import join_on
+from ..session import cut_lineage
 from .shape import keep_one
 
 
@@ -82,49 +85,142 @@ def high_watermark(df: DataFrame, cursor: str, name: str = "watermark") -> DataF
     return df.agg(F.max(cursor).alias(name))
 
 
-# ---------------------------------------------------------------- version folders
+# ---------------------------------------------------------------- saved tables
+
+
+def _fs(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions of a table, oldest first."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Complete versions of a saved table, oldest first: those whose list of parts was committed."""
+    fs, root = _fs(spark, f"{path}/current")
     if not fs.exists(root):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(done)
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{path}/current/{n}/_SUCCESS")[1]))
 
 
-def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def _listed(spark: SparkSession, path: str, version: int | None) -> tuple[DataFrame, dict]:
+    """Parts of a version (``store_write``, ``store_part``), and what it notes: number, schema, partitioning, notes of the writer."""
     found = versions(spark, path)
-    if not found:
-        raise FileNotFoundError(path)
-    return spark.read.option("mergeSchema", "true").parquet(f"{path}/v={found[-1] if version is None else version}")
+    if not found or version is not None and version not in found:
+        raise FileNotFoundError(f"{path} {'' if version is None else version}")
+    number = found[-1] if version is None else version
+    parts = spark.read.schema("store_write int, store_part string, about string").parquet(f"{path}/current/v={number}")
+    return parts.where("about is null").select("store_write", "store_part"), json.loads(parts.where("about is not null").first()["about"]) | {"number": number}
+
+
+def _rows(spark: SparkSession, path: str, listed: DataFrame, about: dict, only: DataFrame | None = None) -> DataFrame:
+    """Rows of the listed parts with their ``store_part``; the join on partition columns prunes folders (dynamic partition pruning)."""
+    schema = T.StructType.fromJson(about["schema"])
+    full = T.StructType([*schema.fields, T.StructField("store_write", T.IntegerType()), T.StructField("store_part", T.StringType())])
+    rows = spark.read.schema(full).parquet(f"{path}/rows").where(F.col("store_write") <= about["number"])  # folders of later or broken saves are not opened
+    wanted = listed if only is None else listed.join(only, "store_part", "left_semi")
+    return rows.join(wanted.where("store_write >= 0"), ["store_write", "store_part"], "left_semi").select(*schema.names, "store_part")
+
+
+def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A saved table as of a version, by default the latest."""
+    return _rows(spark, path, *_listed(spark, path, version)).drop("store_part")
+
+
+def read_parts(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The parts of a saved table that rows ``like`` belong to; ``like`` needs the columns the table is parted by."""
+    listed, about = _listed(spark, path, None)
+    return _rows(spark, path, listed, about, like.select(part_of(about["by"], about["parts"]).alias("store_part")).distinct()).drop("store_part")
 
 
-def save(df: DataFrame, path: str, mode: str = "overwrite", keys: Sequence[str] = (), where: str | None = None,
-         partition_by: Sequence[str] = ()) -> int:
-    """Write the next version. Modes: create, overwrite, append, merge (needs keys), replace (needs where)."""
+def note(spark: SparkSession, path: str) -> dict:
+    """What the last writer noted with its save; empty for a table that is not there."""
+    return _listed(spark, path, None)[1]["note"] if versions(spark, path) else {}
+
+
+def part_of(by: Sequence[str], parts: int | None) -> Column:
+    """The part a row belongs to: a hash of its columns, or (``parts`` None) their values."""
+    if not by:
+        return F.lit("all")
+    if parts is None:
+        return F.concat_ws("|", *[F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("||")), F.lit("\\N")) for c in by])
+    return F.pmod(F.xxhash64(*by), F.lit(parts)).cast("string")
+
+
+def save(df: DataFrame, path: str, mode: str = "overwrite", keys: Sequence[str] = (), where: str | None = None, by: Sequence[str] = (),
+         parts: int | None = 64, notes: dict | None = None, slices: DataFrame | None = None) -> int:
+    """Save rows as the next version; returns its number. Modes: create, overwrite, append, merge (needs keys), replace (needs where), slices (needs slices: rows with these values give way).
+
+    The table lies in parts: hashes of the columns ``by`` in ``parts`` values, or their values where ``parts`` is None
+    (both are fixed by the first save; without ``by`` the table is one part).  A save writes a new folder that holds
+    only the parts it touches - appended rows alone, the parts of merged keys or slices (``by`` must be among their
+    columns, else all are read), the parts that lose rows to ``where`` - and then a small list that says which folder each part is in.  That
+    list is the commit: readers see the old or the new version, and files of untouched parts stay where they are.
+    One writer at a time; ``notes`` (JSON values) are kept with the version.
+    """
     spark = df.sparkSession
     found = versions(spark, path)
     if mode == "create" and found:
         raise FileExistsError(path)
-    if found and mode in ("append", "merge", "replace"):
-        now = read_version(spark, path)
-        df = {"append": lambda: append(now, df), "merge": lambda: upsert(now, df, keys), "replace": lambda: replace_where(now, df, where)}[mode]()
-    nxt = (found[-1] + 1) if found else 0
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/v={nxt}")
+    nxt = found[-1] + 1 if found else 0
+    listed, about = _listed(spark, path, None) if found else (spark.createDataFrame([], "store_write int, store_part string"), None)
+    if about is None or mode == "overwrite":
+        about = {"schema": None, "by": list(by), "parts": parts, "note": {}}
+        kept = listed.where("false")
+        rows = df
+    else:
+        by, parts = about["by"], about["parts"]
+        if mode == "append":
+            kept, rows = listed, df
+        elif mode in ("merge", "slices"):
+            df = with_columns_for(df, keys)
+            meant = df if mode == "merge" else slices
+            known = set(by) <= set(keys if mode == "merge" else slices.columns)
+            touched = (meant.select(part_of(by, parts).alias("store_part")) if known else listed.select("store_part")).distinct()
+            old = _rows(spark, path, listed, about, touched).drop("store_part")
+            rows = upsert(old, df, keys) if mode == "merge" else replace_slices(old, df, slices.distinct())
+            kept = listed.join(touched, "store_part", "left_anti")
+        elif mode == "replace":
+            gone = F.coalesce(F.expr(where), F.lit(False))
+            touched = cut_lineage(_rows(spark, path, listed, about).where(gone).select("store_part").distinct())
+            rows = _rows(spark, path, listed, about, touched).where(~gone).drop("store_part").unionByName(df, allowMissingColumns=True)
+            kept = listed.join(touched, "store_part", "left_anti")
+        else:
+            raise ValueError(mode)
+    before = T.StructType.fromJson(about["schema"]).fields if about["schema"] else []
+    own = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*[own.get(f.name, f) for f in before], *[f for f in rows.schema.fields if f.name not in {b.name for b in before}]])
+    about = about | {"schema": T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]).jsonValue(), "note": notes if notes is not None else about["note"]}
+    placed = rows.withColumn("store_part", part_of(by, parts)).hint("rebalance", "store_part")  # a hot part is split over tasks
+    folder = f"{path}/rows/store_write={nxt}"
+    placed.write.mode("overwrite").partitionBy("store_part").parquet(folder)  # leftovers of a save that was not committed go
+    now = spark.read.schema("store_part string").parquet(folder).select(F.lit(nxt).alias("store_write"), "store_part").distinct()
+    entries = kept.unionByName(now).withColumn("about", F.lit(None).cast("string"))
+    head = spark.createDataFrame([(None, None, json.dumps(about))], entries.schema)
+    entries.unionByName(head).coalesce(1).write.mode("overwrite").parquet(f"{path}/current/v={nxt}")
     return nxt
 
 
+def remove_unused(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Deletes the folders of saves that none of the last ``keep`` versions uses, and the older lists; returns how many saves went."""
+    found = versions(spark, path)
+    used = {w for v in found[-keep:] for w in _listed(spark, path, v)[0].agg(F.collect_set("store_write").alias("w")).first()["w"]}
+    fs, _ = _fs(spark, path)
+    for v in found[:-keep]:
+        fs.delete(_fs(spark, f"{path}/current/v={v}")[1], True)
+    old = [v for v in range(found[-1] + 1 if found else 0) if v not in used and fs.exists(_fs(spark, f"{path}/rows/store_write={v}")[1])]
+    for v in old:
+        fs.delete(_fs(spark, f"{path}/rows/store_write={v}")[1], True)
+    return len(old)
+
+
 # ---------------------------------------------------------------- file layout
 
 
 def compact(df: DataFrame, cluster_by: Sequence[str], files: int) -> DataFrame:
     """Fewer, clustered files: range partitions on up to four columns, sorted inside."""
-    cols = list(cluster_by)[:4]
+    cols = list(cluster_by)
+    if len(cols) > 4:
+        raise ValueError("at most four columns to cluster by")
     return df.repartitionByRange(files, *cols).sortWithinPartitions(*cols)
 
 

@@ -272,7 +272,7 @@ UNION ALL SELECT -1 - n_nationkey, 'N', NULL FROM nation""")
 def _(spark, sf):
     path = scratch_path(spark, "saved")
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    K.save(o, path, "create")
+    K.save(o, path, "create", by=["o_orderkey"], parts=8)
     K.save(table(spark, sf, "nation").select((-1 - F.col("n_nationkey")).cast("bigint").alias("o_orderkey"), F.lit("N").alias("o_orderstatus")), path, "append")
     K.save(o.where("o_orderkey % 2 = 0").withColumns({"o_orderstatus": F.lit("X"), "extra": F.lit(1)}), path, "merge", keys=["o_orderkey"])
     return K.read_version(spark, path)

@@ -77,14 +77,21 @@ def _(spark, sf):
     return r.select(F.date_format("window_start", FMT).alias("window_start"), "event_type", "n")
 
 
-@query("i06_tumbling_stream", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def _(spark, sf):
+def _halves(spark, sf, run):
+    """Delivers the events in two parts, alternate days, and runs the stream after each: nothing has to be closed in between."""
     path, schema = _day_files(spark, sf)
-    I.close_windows(spark, path, schema, "ts", ["day"])
-    target, ckpt = scratch_path(spark, "hours"), scratch_path(spark, "ckpt")
-    s = I.tumbling(I.stream_files(spark, path, "parquet", schema), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")], "12 hours")
-    I.stream_append(s.select(F.col("w.start").alias("start"), "event_type", "n"), target, ckpt).awaitTermination()
-    return spark.read.parquet(target).select(F.date_format("start", FMT).alias("window_start"), "event_type", "n")
+    landing, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "ckpt")
+    days = spark.read.schema(schema).parquet(path)
+    for odd in (0, 1):
+        days.where(f"cast(day as int) % 2 = {odd}").write.mode("append").partitionBy("day").parquet(landing)
+        run(I.stream_files(spark, landing, "parquet", schema), ckpt).awaitTermination()
+
+
+@query("i06_tumbling_stream", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    target = scratch_path(spark, "hours")
+    _halves(spark, sf, lambda s, ckpt: I.stream_windows(s, "ts", "1 hour", ["event_type"], {"n": ("count", "event_id"), "newest": ("max", "event_id")}, target, ckpt, late="40 days"))
+    return read_version(spark, target).select(F.date_format("window_start", FMT).alias("window_start"), "event_type", "n", "newest")
 
 
 @query("i07_daily_summary_stream", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
@@ -92,9 +99,26 @@ def _(spark, sf):
     path, schema = _day_files(spark, sf)
     target, ckpt = scratch_path(spark, "summary"), scratch_path(spark, "ckpt")
     s = I.stream_files(spark, path, "parquet", schema, 15)
-    I.stream_daily_summary(s, "ts", ["event_type"], [F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")], target, ckpt, late="40 days").awaitTermination()
-    d = spark.read.parquet(target)
-    return d.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round("value", 2).alias("value"))
+    measures = {"n": ("count", "event_id"), "value": ("sum", F.col("value").cast("decimal(28,6)"))}
+    I.stream_daily_summary(s, "ts", ["event_type"], measures, target, ckpt, late="40 days").awaitTermination()
+    d = read_version(spark, target)
+    return d.select(F.col("day").cast("string").alias("day"), "event_type", "n", F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+@query("i07_late_rows", """
+WITH m AS (SELECT max(ts) - INTERVAL 20 DAY AS mark FROM events), l AS (SELECT event_type, CAST(ts AS DATE) + INTERVAL 1 DAY <= mark AS late FROM events, m WHERE day(ts) < 15)
+SELECT event_type, count_if(late)::BIGINT AS late, (SELECT count_if(late) FROM l)::BIGINT AS late_in_all,
+       (SELECT count(*) FROM events, m WHERE event_type = l.event_type AND (day(ts) >= 15 OR CAST(ts AS DATE) + INTERVAL 1 DAY > mark)) AS counted FROM l GROUP BY 1""")
+def _(spark, sf):
+    path, schema = _day_files(spark, sf)
+    target, ckpt, landing = scratch_path(spark, "summary"), scratch_path(spark, "ckpt"), scratch_path(spark, "landing")
+    days = spark.read.schema(schema).parquet(path)
+    for part in (">=", "<"):  # the first half of the month arrives late
+        days.where(f"cast(right(day, 2) as int) {part} 15").write.mode("append").partitionBy("day").parquet(landing)
+        I.stream_daily_summary(I.stream_files(spark, landing, "parquet", schema), "ts", ["event_type"], {"n": ("count", "event_id")}, target, ckpt, late="20 days").awaitTermination()
+    late = I.late_rows(spark, target).groupBy("event_type").agg(F.count(F.lit(1)).alias("late"))
+    counted = read_version(spark, target).groupBy("event_type").agg(F.sum("n").alias("counted"))
+    return late.join(counted, "event_type").select("event_type", "late", F.lit(I.progress(spark, target)["late"]).cast("long").alias("late_in_all"), "counted")
 
 
 @query("i08_positions", """
@@ -125,12 +149,9 @@ def _(spark, sf):
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, sid""")
 def _(spark, sf):
-    path, schema = _day_files(spark, sf)
-    I.close_windows(spark, path, schema, "ts", ["day"])
-    target, ckpt = scratch_path(spark, "sessions"), scratch_path(spark, "ckpt")
-    s = I.sessions(I.stream_files(spark, path, "parquet", schema), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")], "1 day")
-    I.stream_append(s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"), target, ckpt).awaitTermination()
-    return spark.read.parquet(target).select("user_id", F.date_format("start", FMT).alias("start"), "n")
+    target = scratch_path(spark, "sessions")
+    _halves(spark, sf, lambda s, ckpt: I.stream_sessions(s, "ts", "6 hours", ["user_id"], {"n": ("count", "event_id")}, target, ckpt, late="40 days", parts=8))
+    return read_version(spark, target).select("user_id", F.date_format("start", FMT).alias("start"), "n")
 
 
 @query("i04_stream_static_join", "SELECT c_mktsegment, count(*) AS n FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY 1")

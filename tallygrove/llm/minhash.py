@@ -29,7 +29,7 @@ from .text import mix, slices
 
 SIDE, DEPTH, WIDTH, PERCENT = 10, 3, 2, 80
 #: rounds in which the classes of a table are compared with one centre, before whole blocks are
-STARS = 2
+STARS = 3
 _WORDS = [f"w{i}" for i in range(BITS // 64)]
 
 
@@ -70,12 +70,12 @@ def _features(docs: DataFrame, id_col: str, text_col: str, width: int, side: int
 
 
 def _tables(members: DataFrame) -> DataFrame:
-    """``key`` and ``cls`` of every table that holds more than one class, with ``centre``, the smallest of them."""
+    """``key``, ``slot`` (which table) and ``cls`` of every key that more than one class has, with ``centre``, the smallest of them."""
     tensor = F.flatten(F.transform("x", lambda u, i: F.transform("y", lambda v, j: F.xxhash64(u, v, i, j))))
-    keyed = members.select(F.explode(tensor).alias("key"), "cls")
+    keyed = members.select(F.posexplode(tensor).alias("slot", "key"), "cls")
     # the smallest class and the count are combined before they move, so that a key of many classes is a row per task
     crowded = keyed.groupBy(F.col("key").alias("_key")).agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return stored(keyed.join(crowded, keyed["key"] == crowded["_key"]).select("key", "cls", "centre"), "tables")
+    return stored(keyed.join(crowded, keyed["key"] == crowded["_key"]).select("key", "slot", "cls", "centre"), "tables")
 
 
 def _sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -123,9 +123,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = stored(confirm(tried, sets, percent), "links")
     for turn in range(STARS):
         groups = components(links, "a", "b").withColumnRenamed("node", "cls")
-        placed = tables.select("key", "cls").join(groups, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("grp"))
+        placed = tables.select("key", "slot", "cls").join(groups, "cls", "left").select("key", "slot", "cls", F.coalesce("root", "cls").alias("grp"))
         split = placed.groupBy(F.col("key").alias("_key")).agg(F.min("grp").alias("_least"), F.max("grp").alias("_most")).where("_least <> _most")
-        mixed = stored(placed.join(split, placed["key"] == split["_key"]).select("key", "cls", "grp", "_most"), "mixed")
+        mixed = stored(placed.join(split, placed["key"] == split["_key"]).select("key", "slot", "cls", "grp", "_most"), "mixed")
         if turn + 1 == STARS:
             break
         # another centre, from another group
@@ -133,8 +133,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = mixed.where("grp <> _most").join(centres, F.col("key") == F.col("_key")).select(F.least("cls", "_centre").alias("a"), F.greatest("cls", "_centre").alias("b")).distinct()
         more = stored(_sieved(met.join(tried, ["a", "b"], "left_anti"), members, percent), "pairs")
         tried, links = tried.union(more), links.union(stored(confirm(more, sets, percent), "links"))
-    rest = mixed.select("key", "cls", "grp").join(members.select(F.col("cls").alias("id"), "n", *_WORDS), F.col("cls") == F.col("id")).drop("cls")
-    left = stored(open_pairs(rest, _WORDS, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    marks = [[f"{c}{i}" for i in range(side)] for c in "xy"]
+    flat = members.select(F.col("cls").alias("id"), "n", *_WORDS, *[F.col(c)[i].alias(f"{c}{i}") for c in "xy" for i in range(side)])
+    rest = mixed.select("key", "slot", "cls", "grp").join(flat, F.col("cls") == F.col("id")).drop("cls")
+    left = stored(open_pairs(rest, _WORDS, percent, tuple(marks)).join(tried, ["a", "b"], "left_anti"), "pairs")
     roots = components(links.union(confirm(left, sets, percent)), "a", "b")
     out = rows.select("id", "cls", "n").join(roots, rows["cls"] == roots["node"], "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
     out = stored(out, "roots")

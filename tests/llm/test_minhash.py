@@ -89,3 +89,14 @@ def test_blocks_find_what_whole_buckets_find(spark, monkeypatch):
     for block in (pairs.BLOCK, 7):
         monkeypatch.setattr(pairs, "BLOCK", block)
         assert {tuple(r) for r in pairs.open_pairs(df, ["w0", "w1"], 80).collect()} == want
+
+
+def test_a_pair_is_looked_at_in_its_first_shared_bucket_alone(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 3, (2, 60, 3)).tolist()
+    rows = [(hash((i, j, x[r][i], y[r][j])) % (1 << 62), i * 3 + j, r, r, 10, 0, *x[r], *y[r]) for r in range(60) for i in range(3) for j in range(3)]
+    names = ["x0", "x1", "x2", "y0", "y1", "y2"]
+    df = spark.createDataFrame(rows, "key long, slot int, grp long, id long, n long, w0 long" + "".join(f", {n} long" for n in names))
+    got = [tuple(r) for r in pairs.open_pairs(df, ["w0"], 80, (names[:3], names[3:])).collect()]
+    meet = lambda a, b: any(p == q for p, q in zip(a, b, strict=True))
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60) if meet(x[a], x[b]) and meet(y[a], y[b])}

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..ranking import global_row_number
-from ..semantics import OTHER, change, growth, label
+from ..semantics import OTHER, change, growth, join_on, label
 from ..session import cut_lineage
 from .filters import Days
+from .sets import distinct_sets, merge_sets, numbered, set_sizes
 
 @dataclass(frozen=True)
 class Roles:
@@ -41,12 +42,6 @@ class Roles:
     lon: str | None = None
 
 
-def _measure(c: str | None, mode: str) -> Column:
-    if c is None:
-        return F.lit(None).cast("double")
-    return F.count_distinct(c).cast("double") if mode == "countd" else F.sum(F.col(c).cast("double"))
-
-
 def _primary(r: Roles) -> Column:
     return F.sum(F.col(r.measure).cast("double")) if r.measure else F.count(F.lit(1)).cast("double")
 
@@ -89,12 +84,39 @@ def _kept(fact: DataFrame, c: Column, keep: DataFrame, name: str) -> DataFrame:
     return fact.withColumn("_v", c).join(k, F.col("_v") == F.col("_k"), "left").withColumn(name, F.coalesce("_k", F.lit(OTHER))).drop("_v", "_k")
 
 
+def _counted(r: Roles) -> dict[str, str]:
+    """Cube column -> id column, for the parts that count distinct ids."""
+    return {c: column for c, column, mode in (("s", r.orders, r.orders_mode), ("q", r.customers, r.customers_mode)) if column and mode == "countd"}
+
+
+def board_sets(fact: DataFrame, r: Roles, days: Days, keep: DataFrame) -> DataFrame:
+    """(day, entity, set, bucket, bits): the ids behind ``s`` and ``q`` of the cube, exact and mergeable over days and locations."""
+    f = _kept(fact.where(days.holds(r.day)), label(r.site), keep, "entity")
+    counted = _counted(r)
+    for c, column in counted.items():
+        f = numbered(f, column, f"_id_{c}")
+    return distinct_sets(f.withColumn("day", F.col(r.day)), ["day", "entity"], {c: f"_id_{c}" for c in counted})
+
+
 def board_cube(fact: DataFrame, r: Roles, days: Days, keep: DataFrame) -> DataFrame:
-    """(day, entity, p, s, q, r): primary, orders, customers and mean rate per day and kept location."""
+    """(day, entity, p, s, q, r): primary, orders, customers and mean rate per day and kept location.
+
+    Distinct orders and customers are sizes of bitmap sets, so that no row is multiplied by the aggregate.
+    """
     f = _kept(fact.where(days.holds(r.day)), label(r.site), keep, "entity")
     rate = F.avg(F.col(r.rate).cast("double")) * r.rate_scale if r.rate else F.lit(None).cast("double")
-    return f.groupBy(F.col(r.day).alias("day"), "entity").agg(
-        _primary(r).alias("p"), _measure(r.orders, r.orders_mode).alias("s"), _measure(r.customers, r.customers_mode).alias("q"), rate.alias("r"))
+    counted = _counted(r)
+    plain = {c: F.sum(F.col(column).cast("double")) if column else F.lit(None).cast("double") for c, column in (("s", r.orders), ("q", r.customers)) if c not in counted}
+    cube = f.groupBy(F.col(r.day).alias("day"), "entity").agg(_primary(r).alias("p"), rate.alias("r"), *[x.alias(c) for c, x in plain.items()])
+    if counted:
+        sizes = set_sizes(board_sets(fact, r, days, keep), ["day", "entity"], list(counted))
+        cube = join_on(cube, sizes, ["day", "entity"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("double") for c in counted})
+    return cube.select("day", "entity", "p", "s", "q", "r")
+
+
+def range_distinct(sets: DataFrame, days: Days, by: Sequence[str] = (), names: Sequence[str] = ("s", "q")) -> DataFrame:
+    """Distinct orders and customers of a range of days, by location or in all, from the daily sets."""
+    return set_sizes(merge_sets(sets.where(days.holds("day")), by), by, names)
 
 
 def board_split(fact: DataFrame, r: Roles, days: Days, keep: DataFrame, column: str, items: DataFrame) -> DataFrame:
@@ -104,11 +126,6 @@ def board_split(fact: DataFrame, r: Roles, days: Days, keep: DataFrame, column:
     return f.groupBy(F.col(r.day).alias("day"), "entity", "item").agg(_primary(r).alias("v"))
 
 
-def true_distinct(fact: DataFrame, r: Roles, days: Days, column: str) -> DataFrame:
-    """Distinct customers or orders over the whole range; daily distinct counts cannot be added up to this."""
-    return fact.where(days.holds(r.day)).agg(F.count_distinct(column).alias("distinct"))
-
-
 # ---------------------------------------------------------------- cards from the cube
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..ranking import average_ranks, quantiles
-from ..semantics import MISSING, label
+from ..ranking import quantiles, running_in_groups
+from ..semantics import MISSING, join_on, label
 from ..session import cut_lineage
 
+#: more than the rank error of a quantile sketch of the default size
+SKETCH_ERROR = 0.03
+
 
 def histogram(df: DataFrame, c: str, bins: int | None = None) -> DataFrame:
     """Equal-width bins: ``bins`` or ceil(log2 n + 1) of them; the last bin is closed. Empty bins are listed."""
@@ -100,46 +103,98 @@ def long_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return long.groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: missing, distinct, mode, and for numbers min .. max, mean, sample sd, quartiles, zeros,
-    sum, 1.5 IQR outliers and skew = mean of cubed z-scores with the sample sd.
+def _quartiles(counts: DataFrame, facts: DataFrame) -> DataFrame:
+    """``column``, ``q1``, ``median``, ``q3``, exact with linear interpolation.
+
+    ``facts`` has each column's count ``m`` and a sketch of its numbers; the sketch says between which values a quartile
+    lies, and only the counted values between them are put in order.  Where the sketch was wrong, all values are.
+    """
+    bound = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(min(max(q, 0.0), 1.0)))
+    points = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("point"), ((F.col("m") - 1) * F.lit(q)).alias("at"), bound(q - SKETCH_ERROR).alias("low"), bound(q + SKETCH_ERROR).alias("high"))
+        for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])).alias("p")
+    wanted = facts.where("m > 0").select("column", points).select("column", "p.*")
+    numbers = counts.where("number is not null").groupBy("column", "number").agg(F.sum("n").alias("n"))
+
+    def found(wanted: DataFrame) -> DataFrame:
+        w = wanted.select(F.col("column").alias("_c"), "point", "at", "low", "high")
+        near = numbers.join(w, F.col("column") == F.col("_c")).where("number <= high")
+        below = near.groupBy("column", "point").agg(F.coalesce(F.sum(F.when(F.col("number") < F.col("low"), F.col("n"))), F.lit(0)).alias("below"))
+        run = running_in_groups(near.where("number >= low").select("column", "point", "at", "number", "n"), ["column", "point"], "number", ["n"])
+        run = join_on(run, below, ["column", "point"]).withColumn("first", F.col("below") + F.col("n_below"))
+        value = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("first") + F.col("n")), F.col("number")))
+        at = run.groupBy("column", "point", "at").agg(value(F.floor("at")).alias("lo"), value(F.ceil("at")).alias("hi"))
+        return cut_lineage(at.select("column", "point", "lo", "hi", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value")))
+
+    first = found(wanted)
+    missed = join_on(wanted, first.where("lo is not null and hi is not null"), ["column", "point"], "left_anti")
+    if missed.limit(1).count():
+        first = first.where("lo is not null and hi is not null").unionByName(found(missed.withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})))
+    return first.groupBy("column").agg(*[F.max(F.when(F.col("point") == n, F.col("value"))).alias(n) for n in ("q1", "median", "q3")])
+
+
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 8) -> DataFrame:
+    """One row per column: missing, distinct, the ``top`` most frequent values, and for numbers min .. max, mean, sample
+    sd, quartiles, zeros, sum, 1.5 IQR outliers and skew = mean of cubed z-scores with the sample sd.
+
+    Counts, extremes, sums (as decimals, so that they do not depend on the order) and a quantile sketch come from one
+    plain aggregate; distinct and frequent values from counts by value that are stored once; the rest from one pass
+    over those counts.
     """
-    counts = long_counts(df, columns)
-    blank = F.col("value").isNull() | (F.col("value") == "")
-    n, v = F.col("n"), F.col("number")
-    quarter = quantiles(counts.where("number is not null"), ["column"], "number", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "n").drop("rows")
-    first = counts.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(blank, n)), F.lit(0)).alias("missing"),
-        F.count(F.when(~blank, F.lit(1))).alias("distinct"),
-        F.min(F.when(~blank, F.struct((-n).alias("k"), F.col("value").alias("v")))).alias("_top"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * n).alias("sum"), F.sum(F.when(v.isNotNull(), n)).alias("_n"),
-        F.sum(F.when(v == 0, n).when(v.isNotNull(), 0)).alias("zeros"),
-        F.min(F.when(v.isNull() & ~blank, F.col("value"))).alias("min_text"), F.max(F.when(v.isNull() & ~blank, F.col("value"))).alias("max_text"))
-    first = first.withColumn("mean", F.col("sum") / F.col("_n")).join(quarter, "column", "left")
-    # second pass over the counts, centred on the mean
-    c = counts.where("number is not null").join(first.select("column", "mean", "q1", "q3", F.col("_n").alias("m")), "column")
-    z, iqr = F.col("number") - F.col("mean"), F.col("q3") - F.col("q1")
+    cols = list(columns or df.columns)
+    nums = set(numeric_columns(df))
+    entries = []
+    for c in cols:
+        value, text = F.col(f"`{c}`"), F.col(f"`{c}`").cast("string")
+        blank = text.isNull() | (text == "")
+        number = value.cast("double") if c in nums else F.lit(None).cast("double")
+        exact = number.try_cast("decimal(38,10)")
+        summed = F.when(F.count(exact) == F.count(number), F.try_sum(exact).cast("double"))
+        entries.append(F.struct(
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("missing"), F.count(number).alias("m"), F.min(number).alias("min"), F.max(number).alias("max"),
+            F.coalesce(summed, F.sum(number)).alias("sum"), F.when(F.lit(c in nums), F.count_if(number == 0)).alias("zeros"),
+            (F.kll_sketch_agg_double(number) if c in nums else F.lit(None).cast("binary")).alias("sketch"),
+            *[(F.lit(None).cast("string") if c in nums else f(F.when(~blank, text))).alias(n) for n, f in (("min_text", F.min), ("max_text", F.max))]))
+    facts = cut_lineage(df.agg(F.array(*entries).alias("r")).select(F.inline("r")).withColumn("mean", F.col("sum") / F.nullif("m", F.lit(0))))  # one row per column
+    counts = cut_lineage(long_counts(df, cols))
+    present = counts.where("value is not null and value <> ''")
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
+    frequent = present.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= top).groupBy("column").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
+    distinct = present.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    known = join_on(facts.drop("sketch"), _quartiles(counts, facts), ["column"], "left")
+    c = counts.where("number is not null").join(known.select(F.col("column").alias("_c"), "mean", "q1", "q3", "m"), F.col("column") == F.col("_c"))
+    z, iqr, n = F.col("number") - F.col("mean"), F.col("q3") - F.col("q1"), F.col("n")
     out = (F.col("number") < F.col("q1") - 1.5 * iqr) | (F.col("number") > F.col("q3") + 1.5 * iqr)
     second = c.groupBy("column", "m").agg(F.sum(z * z * n).alias("s2"), F.sum(z * z * z * n).alias("s3"), F.coalesce(F.sum(F.when(out, n)), F.lit(0)).alias("outliers"))
     sd = F.sqrt(F.col("s2") / F.greatest(F.lit(1), F.col("m") - 1))
     second = second.select("column", sd.alias("sd"), "outliers", F.when(sd != 0, F.col("s3") / F.pow(sd, 3) / F.col("m")).otherwise(0.0).alias("skew"))
-    return first.join(second, "column", "left").select(
-        "column", "rows", "missing", "distinct", F.col("_top.v").alias("top_value"), (-F.col("_top.k")).alias("top_count"), "min", "max", "mean", "sd",
-        "median", "q1", "q3", "zeros", "sum", "outliers", "skew", "min_text", "max_text")
+    whole = join_on(join_on(join_on(known, second, ["column"], "left"), distinct, ["column"], "left"), frequent, ["column"], "left")
+    return whole.select(
+        "column", "rows", "missing", F.coalesce("distinct", F.lit(0)).alias("distinct"), F.col("top_values")[0]["value"].alias("top_value"), F.col("top_values")[0]["n"].alias("top_count"), "top_values",
+        "min", "max", "mean", "sd", "median", "q1", "q3", "zeros", "sum", "outliers", "skew", "min_text", "max_text")
+
 
+def table_profile(df: DataFrame, exact: bool = False, examples: int = 3, order: Sequence[str] | None = None) -> DataFrame:
+    """Rows, distinct values, min, max and examples per column in one scan; approximate distinct counts (about 1 %) unless ``exact``.
 
-def table_profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Rows, distinct values, min and max per column in one scan; approximate distinct counts unless ``exact``."""
+    Examples are the values that are set in the first ``examples`` rows by ``order`` (all columns unless given).
+    """
     if exact:
         counts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])).alias("e")).select("e.*")
         distinct = counts.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.count("v").alias("distinct"))
     spread = lambda t: isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
     none = F.lit(None).cast("string")
     entries = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"),
-                        F.approx_count_distinct(f.name).alias("approx_distinct"),
-                        (F.min(f.name).cast("string") if spread(f.dataType) else none).alias("min"),
-                        (F.max(f.name).cast("string") if spread(f.dataType) else none).alias("max")) for f in df.schema]
+                        F.approx_count_distinct(f"`{f.name}`", 0.01).alias("approx_distinct"),
+                        (F.min(f"`{f.name}`").cast("string") if spread(f.dataType) else none).alias("min"),
+                        (F.max(f"`{f.name}`").cast("string") if spread(f.dataType) else none).alias("max")) for f in df.schema]
     out = df.agg(F.array(*entries).alias("r")).select(F.inline("r"))
+    shown = [f.name for f in df.schema if order or not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = df.orderBy(*[F.col(f"`{c}`") for c in order or shown]).limit(examples).withColumn("_no", F.monotonically_increasing_id())
+    cells = first.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("_no").alias("no"), F.col(f"`{c}`").cast("string").alias("v")) for c in shown])).alias("e")).select("e.*")
+    some = cells.where("v is not null").groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "v"))), lambda x: x["v"]).alias("examples"))
+    out = join_on(out, some, ["column"], "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     return out.drop("approx_distinct").join(distinct, "column") if exact else out.withColumnRenamed("approx_distinct", "distinct")
 
 
@@ -152,25 +207,39 @@ def small_category_values(df: DataFrame, columns: Sequence[str], limit: int | No
     return counts.join(size, "column").select("column", "value", "n")  # at most ``limit`` per column
 
 
+def rank_table(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
+    """Per row and column an array with, for each other column, the mean rank of the value among rows where that column is set too.
+
+    Each column is counted by value once, with one count for every other column that is present beside it; running
+    sums of these counts are the ranks for all missing patterns.
+    """
+    cols = list(columns)
+    keyed = df if key else df.withColumn("_id", F.monotonically_increasing_id())
+    keys = list(key or ["_id"])
+    present = F.array(*[F.col(c).isNotNull() for c in cols])
+    long = keyed.select(*keys, present.alias("_with"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("e")).select(*keys, "_with", "e.c", "e.v").where("v is not null")
+    amounts = [f"_n{i}" for i in range(len(cols))]
+    counts = long.groupBy("c", "v").agg(*[F.count_if(F.col("_with")[i]).alias(a) for i, a in enumerate(amounts)])
+    run = running_in_groups(counts, ["c"], "v", amounts)
+    ranks = run.select("c", "v", F.array(*[F.when(F.col(a) > 0, F.col(f"{a}_below") + (F.col(a) + 1) / 2) for a in amounts]).alias("r"))
+    placed = join_on(long.drop("_with"), ranks, ["c", "v"])
+    # null where the row misses the other column
+    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == c, F.col("r"))).alias(c) for c in cols])
+
+
 def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson", key: Sequence[str] | None = None, min_rows: int = 3) -> DataFrame:
     """(a, b, r) for every pair of columns over rows where both are set.
 
     Pearson is one aggregate over all pairs.  Spearman ranks each column once (ties share their mean
-    rank); when rows miss values, a pair is ranked on its own complete rows.
+    rank), for every pattern of missing values at the same time: a pair counts its own complete rows.
     """
     cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if method == "spearman":
-        keyed = df.select(*(key or []), *cols)
-        if not key:
-            keyed = keyed.withColumn("_id", F.monotonically_increasing_id())
-        k = list(key or ["_id"])
-        long = keyed.select(*k, F.explode(F.array(*[
-            F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("e"))
-        long = long.select(*k, "e.*").where("x is not null and y is not null")
-        ranks = average_ranks(long, k, ["x", "y"], ["pair"])
-        r = ranks.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
-        return r.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), F.when(F.col("n") >= min_rows, F.col("r")).alias("r"))
+        r = rank_table(df.select(*(key or []), *[F.col(c).cast("double").alias(c) for c in cols]), cols, key)
+        at = lambda a, b: F.col(a)[cols.index(b)]
+        entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.count(at(a, b) + at(b, a)) >= min_rows, F.nanvl(F.corr(at(a, b), at(b, a)), F.lit(None).cast("double"))).alias("r")) for a, b in pairs]
+        return r.agg(F.array(*entries).alias("r")).select(F.inline("r"))
     both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(1)))
     # NULL instead of NaN when a column is constant
     entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(both(a, b) >= min_rows, F.nanvl(F.corr(a, b), F.lit(None).cast("double"))).alias("r")) for a, b in pairs]

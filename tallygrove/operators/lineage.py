@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +86,10 @@ def with_consumers(edges: DataFrame, consumers: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "kind", "via", "via_kind", "count").unionByName(c)
 
 
-def neighbourhood(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
+def neighbourhood(edges: DataFrame, start: str, depth: int | None = 3) -> DataFrame:
     """(node, level) around a table: positive levels downstream, negative upstream, the nearer side wins.
 
-    One join per hop on the distinct (src, dst) pairs; only tables and paths are expanded.  The hop
+    Without ``depth`` the walk ends when a hop finds nothing new.  One join per hop on the distinct (src, dst) pairs; only tables and paths are expanded.  The hop
     frontier is stored so that the plan does not grow with the depth.
     """
     pairs = cut_lineage(edges.select("src", "dst").distinct())
@@ -96,7 +98,7 @@ def neighbourhood(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     for sign, a, b in ((1, "src", "dst"), (-1, "dst", "src")):
         seen = spark.createDataFrame([(start, 0)], "node string, level int")
         frontier = seen
-        for d in range(1, depth + 1):
+        for d in itertools.count(1) if depth is None else range(1, depth + 1):
             step = frontier.where(F.col("node").rlike("^(table|path):")).join(pairs.select(F.col(a).alias("node"), F.col(b).alias("to")), "node").select(F.col("to").alias("node")).distinct()
             new = cut_lineage(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(d * sign)))
             if new.isEmpty():
@@ -106,8 +108,8 @@ def neighbourhood(edges: DataFrame, start: str, depth: int = 3) -> DataFrame:
     return found.groupBy("node").agg(F.min_by("level", F.struct(F.abs("level"), -F.col("level"))).alias("level"))
 
 
-def impact(edges: DataFrame, start: str, depth: int = 10) -> DataFrame:
-    """Everything downstream of a table, counted by kind of node."""
+def impact(edges: DataFrame, start: str, depth: int | None = None) -> DataFrame:
+    """Everything downstream of a table (or within ``depth`` hops), counted by kind of node."""
     down = neighbourhood(edges, start, depth).where("level > 0")
     return down.withColumn("kind", F.split("node", ":")[0]).groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"))
 

@@ -40,18 +40,13 @@ def clean_columns(df: DataFrame) -> DataFrame:
 
 
 def flatten(df: DataFrame, depth: int | str = "all") -> DataFrame:
-    """Struct fields become ``parent_child`` columns, down to ``depth`` levels (``"all"`` = 8)."""
-    for _ in range(8 if depth == "all" else int(depth)):
-        if not any(isinstance(f.dataType, T.StructType) for f in df.schema):
-            break
-        cols = []
-        for f in df.schema:
-            if isinstance(f.dataType, T.StructType):
-                cols += [F.col(f"`{f.name}`.`{c.name}`").alias(clean_name(f"{f.name}_{c.name}")) for c in f.dataType]
-            else:
-                cols.append(F.col(f"`{f.name}`"))
-        df = df.select(*cols)
-    return df
+    """Struct fields become ``parent_child`` columns, down to ``depth`` levels or all of them, in one projection."""
+    def leaves(path: str, name: str, kind: T.DataType, left: float) -> list[Column]:
+        if not isinstance(kind, T.StructType) or left < 1:
+            return [F.col(path).alias(name)]
+        return [x for f in kind for x in leaves(f"{path}.`{f.name}`", clean_name(f"{name}_{f.name}"), f.dataType, left - 1)]
+
+    return df.select(*[x for f in df.schema for x in leaves(f"`{f.name}`", f.name, f.dataType, float("inf") if depth == "all" else int(depth))])
 
 
 def explode_keep(df: DataFrame, c: str) -> DataFrame:

@@ -227,7 +227,7 @@ def compact(df: DataFrame, cluster_by: Sequence[str], files: int) -> DataFrame:
 def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, length, modificationTime) of the files below a folder, without their content."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-            .load(path).select("path", "length", "modificationTime"))
+            .load(path).select(F.col("_metadata.file_path").alias("path"), "length", "modificationTime"))
 
 
 def layout_advice(files: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ..operators import board as B
 from ..operators.filters import Days
+from ..session import scratch_path
 from .fixtures import FACT, fact, rnd, table
 from .registry import query
 
@@ -95,6 +97,23 @@ def _(spark, sf):
     return k.select(rnd("primary", 2, "primary"), "secondary", "people", rnd("primary_growth", 8, "primary_growth"), rnd("rate", 8, "rate"), rnd("rate_change", 8, "rate_change"), "active", "entities", "countries")
 
 
+@query("a12_range_distinct", f"""
+WITH {FACT}, {KEEP}, f AS (SELECT CASE WHEN site IN (SELECT entity FROM keep) THEN site ELSE 'Other' END AS entity, order_id, customer_id FROM fact WHERE {IN_CUR})
+SELECT entity, count(DISTINCT order_id) AS s, count(DISTINCT customer_id) AS q FROM f GROUP BY 1 UNION ALL SELECT '(all)', count(DISTINCT order_id), count(DISTINCT customer_id) FROM f""")
+def _(spark, sf):
+    sets = B.board_sets(fact(spark, sf), R, BOTH, _keep(spark, sf))  # stored once a day, then asked for any range
+    path = scratch_path(spark, "sets")
+    sets.write.parquet(path)
+    sets = spark.read.parquet(path)
+    return B.range_distinct(sets, CUR, ["entity"]).unionByName(B.range_distinct(sets, CUR).withColumn("entity", F.lit("(all)")))
+
+
+@query("a12_range_distinct_texts", f"WITH {FACT} SELECT count(DISTINCT category) AS s, count(DISTINCT segment) AS q FROM fact WHERE {IN_CUR}")
+def _(spark, sf):
+    texts = replace(R, orders="category", customers="segment")
+    return B.range_distinct(B.board_sets(fact(spark, sf), texts, BOTH, _keep(spark, sf)), CUR)
+
+
 @query("a13_spark_buckets", f"""
 WITH {CUBE}, b AS (SELECT k AS slice, CAST(floor(k * 180 / 8.0) AS INTEGER) AS a, CAST(floor((k + 1) * 180 / 8.0) AS INTEGER) - 1 AS z FROM (SELECT unnest(generate_series(0, 7)) AS k))
 SELECT CAST(slice AS INTEGER) AS slice, round(coalesce(sum(p), 0), 2) AS value FROM b LEFT JOIN cube ON day - DATE '{CUR.start}' BETWEEN a AND z AND {IN_CUR} GROUP BY 1""")

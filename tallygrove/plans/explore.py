@@ -57,9 +57,9 @@ def _(spark, sf):
 
 def _profile_part(c: str) -> str:
     return f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct", round(min({c}), 4) AS min, round(max({c}), 4) AS max,
- round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3,
+ round(avg(CAST({c} AS DECIMAL(28,10))), 6) AS mean, round(stddev_samp({c}), 6) AS sd, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.75), 6) AS q3,
  CAST(count_if({c} = 0) AS BIGINT) AS zeros, (SELECT count(*) FROM d, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM d) WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS outliers,
- (SELECT round(sum(pow(({c} - m) / s, 3)) / count({c}), 6) FROM d, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM d)) AS skew FROM d"""
+ (SELECT round(sum(pow(({c} - m) / s, 3)) / count({c}), 6) FROM d, (SELECT avg(CAST({c} AS DECIMAL(28,10))) AS m, stddev_samp({c}) AS s FROM d)) AS skew FROM d"""
 
 
 @query("a35_column_profile", "WITH d AS (SELECT l_extendedprice, l_tax, CASE WHEN l_linenumber <> 3 THEN l_discount END AS disc FROM lineitem) "
@@ -120,12 +120,34 @@ UNION ALL SELECT 'o_custkey', 'bigint', count(*), count(DISTINCT o_custkey), CAS
 UNION ALL SELECT 'o_orderstatus', 'string', count(*), count(DISTINCT o_orderstatus), NULL, NULL FROM orders
 UNION ALL SELECT 'o_orderdate', 'timestamp_ntz', count(*), count(DISTINCT o_orderdate), strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S'), strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders""")
 def _(spark, sf):
-    return E.table_profile(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), exact=True)
+    return E.table_profile(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"), exact=True).drop("examples")
 
 
-@query("a36_table_profile_approx")
+@query("a36_table_profile_approx", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, true AS near, {f"CAST(min({c}) AS VARCHAR)" if whole else "NULL"} AS min, {f"CAST(max({c}) AS VARCHAR)" if whole else "NULL"} AS max FROM lineitem"""
+    for c, whole in (("l_orderkey", True), ("l_partkey", True), ("l_suppkey", True), ("l_linenumber", True), ("l_returnflag", False))))
 def _(spark, sf):
-    return E.table_profile(table(spark, sf, "lineitem"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    exact = E.table_profile(li, exact=True).select("column", F.col("distinct").alias("is"))
+    near = F.abs(F.col("distinct") - F.col("is")) <= 0.05 * F.col("is")
+    return E.table_profile(li).join(exact, "column").select("column", "rows", near.alias("near"), "min", "max")
+
+
+@query("a36_table_profile_examples", """
+WITH f AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders ORDER BY o_orderkey LIMIT 3)
+SELECT 'o_orderkey' AS "column", list(CAST(o_orderkey AS VARCHAR) ORDER BY k) AS examples FROM f UNION ALL SELECT 'o_orderstatus', list(o_orderstatus ORDER BY k) FROM f
+UNION ALL SELECT 'late', coalesce(list(CAST(o_custkey AS VARCHAR) ORDER BY k) FILTER (o_orderkey % 2 = 0), []) FROM f""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("late"))
+    return E.table_profile(o, order=["o_orderkey"]).select("column", "examples")
+
+
+@query("a35_top_values", " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{c}' AS "column", (row_number() OVER (ORDER BY count(*) DESC, v))::INTEGER - 1 AS place, v AS value, count(*) AS n FROM (SELECT {e} AS v FROM lineitem) WHERE v IS NOT NULL GROUP BY v) WHERE place < 8"""
+    for c, e in (("l_suppkey", "CAST(l_suppkey AS VARCHAR)"), ("l_returnflag", "l_returnflag"), ("odd", "CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_linenumber AS VARCHAR) END"))))
+def _(spark, sf):
+    d = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", F.when(F.col("l_linenumber") % 2 == 1, F.col("l_linenumber")).alias("odd"))
+    return E.column_profile(d).select("column", F.posexplode("top_values").alias("place", "v")).select("column", "place", "v.value", "v.n")
 
 
 @query("a36_small_category_values", """

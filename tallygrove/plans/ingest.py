@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import shape as S
 from ..operators import write as K
+from ..operators.write import file_listing
 from ..session import scratch_path
 from ..sources import files as FL
 from ..sources import jdbc as DB
@@ -138,6 +139,29 @@ def _(spark, sf):
     return FL.new_files(p, seen.drop("page_id")).select("path")
 
 
+@query("s09_read_changed_files", "SELECT c_custkey, c_name, true AS named FROM customer WHERE c_custkey % 3 > 0")
+def _(spark, sf):
+    path = scratch_path(spark, "collection")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 3).alias("third"))
+    c.where("third = 0").repartition(3).write.json(path)
+    seen = file_listing(spark, path, "*.json")
+    log = scratch_path(spark, "log")
+    seen.write.parquet(log)
+    c.where("third > 0").repartition(4).write.mode("append").json(path)
+    new = FL.read_new(spark, path, "json", "*.json", spark.read.parquet(log))
+    return new.select("c_custkey", "c_name", F.col("_source_file").endswith(".json").alias("named"))
+
+
+@query("s05_delimiters_of_all_files", "SELECT part, CASE WHEN part = 0 THEN ';' ELSE '|' END AS delimiter, CAST(3 AS INTEGER) AS fields, count(*) + 1 AS lines FROM (SELECT CAST(c_custkey % 2 AS INTEGER) AS part FROM customer) GROUP BY 1")
+def _(spark, sf):
+    path = scratch_path(spark, "layouts")
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("a, b, c "), "c_nationkey").alias("note"))
+    for part, sep in enumerate(";|"):
+        c.where(f"c_custkey % 2 = {part}").coalesce(1).write.mode("append").option("header", True).option("sep", sep).option("quoteAll", part == 1).csv(f"{path}/part={part}")
+    d = FL.delimiters(spark, f"{path}/*")
+    return d.select(F.regexp_extract("file", "part=([0-9])", 1).cast("int").alias("part"), "delimiter", "fields", "lines")
+
+
 @query("s10_paged_source", "SELECT c_custkey, c_name FROM customer")
 def _(spark, sf):
     """Customers written as a folder of JSON pages, read back page by page in parallel."""
@@ -469,6 +493,15 @@ def _(spark, sf):
     return S.flatten(_nested_orders(spark, sf), "all").drop("lines")
 
 
+@query("p05_flatten_deep", "SELECT n_nationkey, n_name AS a_b_c_d_e_f_g_h_i_j_k_l, n_regionkey AS a_b_zone FROM nation")
+def _(spark, sf):
+    n = table(spark, sf, "nation")
+    deep = F.col("n_name")
+    for letter in "lkjihgfedc":
+        deep = F.struct(deep.alias(letter))
+    return S.flatten(n.select("n_nationkey", F.struct(F.struct(deep["c"].alias("c"), F.col("n_regionkey").alias("zone")).alias("b")).alias("a")))
+
+
 @query("p06_explode_keep", """
 SELECT o_orderkey AS id, l_partkey AS part FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 25""")
 def _(spark, sf):

@@ -89,6 +89,13 @@ def _(spark, sf):
     return L.impact(_graph(spark, sf), "table:p5", 10)
 
 
+@query("l04_impact_of_a_long_chain", "SELECT 'table' AS kind, count(*) - 1 AS nodes FROM nation")
+def _(spark, sf):
+    t = lambda n: F.concat(F.lit("table:t"), n.cast("string"))
+    chain = table(spark, sf, "nation").where("n_nationkey > 0").select(t(F.col("n_nationkey") - 1).alias("src"), t(F.col("n_nationkey")).alias("dst"))
+    return L.impact(chain, "table:t0")
+
+
 @query("l05_column_mentions", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT doc_id, trim(ln, ' ') AS ln, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM l WHERE regexp_matches(ln, '(?i)(^|[^a-zA-Z0-9_.])the([^a-zA-Z0-9_]|$)'))
 SELECT doc_id, count(*) AS n, string_agg(ln, '|' ORDER BY rn) AS mentions FROM h GROUP BY 1""")

@@ -4,7 +4,8 @@ A window without PARTITION BY sends every row to one task, and a window over a h
 group does the same for that group.  Here rows are range-partitioned on the full sort
 key (so equal leading values can still be split by the later keys), numbered inside
 each range partition, and shifted by the row counts of the earlier partitions - a
-list as long as the number of partitions.
+list as long as the number of partitions.  Counted values and rows with a number that
+follows the order need no stored set: approximate quantiles cut them into ranges.
 """
 
 from __future__ import annotations
@@ -65,18 +66,53 @@ def running_total(df: DataFrame, order: Sequence[Column], amount: str, name: str
     )
 
 
+def _bucketed(df: DataFrame, groups: Sequence[str], value: Column, buckets: int) -> DataFrame:
+    """``df`` with ``_bucket``, the range of values a row lies in: 0 for null, then by approximate quantiles of its group, rising with the value."""
+    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts")
+    if groups:
+        cut = join_on(df, df.groupBy(*groups).agg(cuts), list(groups))
+    else:
+        cut = df.withColumn("_cuts", df.agg(cuts).scalar())
+    # null sorts first
+    at = F.when(value.isNull(), 0).otherwise(1 + F.coalesce(F.size(F.filter("_cuts", lambda e: e < value)), F.lit(0)))
+    return cut.withColumn("_bucket", at).drop("_cuts")
+
+
+def running_in_groups(counts: DataFrame, groups: Sequence[str], value: str, amounts: Sequence[str], buckets: int = 64) -> DataFrame:
+    """``counts`` with ``<amount>_below`` (sum over smaller values of the group) and ``<amount>_all`` (sum over the group).
+
+    One row per (groups, value), null values first.  A group is summed up in ranges of its values and the ranges' sums
+    are joined back, so a large group is many tasks; nothing runs before the result is asked for.
+    """
+    groups = list(groups)
+    cut = _bucketed(counts, groups, F.col(value), buckets)
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumns({f"_in_{a}": F.coalesce(F.sum(a).over(inside), F.lit(0)) for a in amounts})
+    sums = cut.groupBy(*groups, "_bucket").agg(*[F.sum(a).alias(f"_s_{a}") for a in amounts])
+    # as many rows per group as there are ranges
+    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    sums = sums.select(*groups, "_bucket", *[F.coalesce(F.sum(f"_s_{a}").over(earlier), F.lit(0)).alias(f"_b_{a}") for a in amounts], *[F.sum(f"_s_{a}").over(whole).alias(f"{a}_all") for a in amounts])
+    out = join_on(rows, sums, [*groups, "_bucket"]).withColumns({f"{a}_below": F.col(f"_in_{a}") + F.col(f"_b_{a}") for a in amounts})
+    return out.drop("_bucket", *[f"_in_{a}" for a in amounts], *[f"_b_{a}" for a in amounts])
+
+
+def bucketed_row_number(df: DataFrame, near: Column, order: Sequence[Column], name: str = "row_number", buckets: int = 64) -> DataFrame:
+    """1-based position of every row in a total order, without storing anything; ``near`` is a number that never falls along the order."""
+    cut = _bucketed(df.withColumn("_near", near), [], F.col("_near"), buckets).drop("_near")
+    rows = cut.withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return join_on(rows, sizes, ["_bucket"]).withColumn(name, F.col("_before") + F.col("_place")).drop("_bucket", "_place", "_before")
+
+
 def positions(counts: DataFrame, groups: list[str], value: str, n: str = "_n") -> DataFrame:
     """For counted values: rows of the group with a smaller value (``_smaller``), with this value (``_n``), in all (``_size``).
 
     ``counts`` holds one row per (groups, value) with its row count, so equal values never travel as single rows.
     """
-    order = [F.col(g).asc_nulls_first() for g in groups] + [F.col(value).asc_nulls_first()]
-    run = running_total(counts.select(*groups, value, F.col(n).alias("_n")), order, "_n", "_cum")
-    run = run.withColumn("_low", F.col("_cum") - F.col("_n"))
-    if not groups:
-        return run.select(value, F.col("_low").alias("_smaller"), "_n", run.agg(F.sum("_n")).scalar().alias("_size"))
-    sums = run.groupBy(*groups).agg(F.min("_low").alias("_start"), F.sum("_n").alias("_size"))
-    return join_on(run, sums, groups).select(*groups, value, (F.col("_low") - F.col("_start")).alias("_smaller"), "_n", "_size")
+    run = running_in_groups(counts.select(*groups, value, F.col(n).alias("_n")), groups, value, ["_n"])
+    return run.select(*groups, value, F.col("_n_below").alias("_smaller"), "_n", F.col("_n_all").alias("_size"))
 
 
 def _value_positions(df: DataFrame, groups: list[str], value: str) -> DataFrame:

@@ -37,36 +37,31 @@ def read_staged(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 DELIMITERS = [",", ";", "\t", "|"]
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """(delimiter, encoding) from the first bytes of a file."""
-    if head.startswith(b"\xef\xbb\xbf"):
-        encoding, text = "UTF-8", head[3:].decode("utf-8", "ignore")
-    else:
-        try:
-            # the head may end inside a character
-            encoding, text = "UTF-8", head[: max(1, len(head) - 3)].decode("utf-8")
-        except UnicodeDecodeError:
-            encoding, text = "ISO-8859-1", head.decode("latin-1")
-    lines = [x for x in text.splitlines() if x.strip()][:20]
-    # the delimiter that splits most lines, and splits them into equally many fields
-    def score(d):
-        counts = [x.count(d) for x in lines]
-        steady = sum(c == counts[0] for c in counts) if counts else 0
-        return (counts[0] > 0 if counts else False, steady, min(counts, default=0))
-
-    return max(DELIMITERS, key=score), encoding
-
-
-def read_head(spark: SparkSession, path: str, size: int = 65536) -> bytes:
-    """The first bytes of the first file: enough to sniff, whatever the file's length."""
-    jvm = spark._jvm
-    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
-    p = jvm.org.apache.hadoop.fs.Path(files[0]["path"])
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
-    finally:
-        stream.close()
+def delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: its ``delimiter``, ``fields``, ``lines`` and ``steady``, the share of lines with that many fields.
+
+    All lines of all files count, in one aggregate by number of fields: the delimiter is the one that splits most lines
+    into equally many fields (more fields, then the fixed order, on ties).  Quoted text is passed over; a file whose
+    lines no delimiter splits has none.
+    """
+    plain = F.regexp_replace("value", '"[^"]*"', "")
+    marks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("d"), (F.length("plain") - F.length(F.replace("plain", F.lit(d), F.lit("")))).alias("cuts")) for i, d in enumerate(DELIMITERS)])).alias("m")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), plain.alias("plain")).where(F.trim("plain") != "")
+    by_width = lines.select("file", marks).groupBy("file", "m.i", "m.d", "m.cuts").agg(F.count(F.lit(1)).alias("n"))
+    per = by_width.groupBy("file", "i", "d").agg(F.max(F.struct("n", "cuts")).alias("most"), F.sum("n").alias("lines"))
+    best = F.max_by(F.struct("d", "most", "lines"), F.struct(F.when(F.col("most.cuts") > 0, F.col("most.n")).otherwise(0), F.col("most.cuts"), -F.col("i")))
+    return per.groupBy("file").agg(best.alias("b")).select(
+        "file", F.when(F.col("b.most.cuts") > 0, F.col("b.d")).alias("delimiter"), (F.col("b.most.cuts") + 1).alias("fields"), "b.lines", (F.col("b.most.n") / F.col("b.lines")).alias("steady"))
+
+
+def layout(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(delimiter, encoding) of all files; an error if files differ in their delimiter."""
+    found = delimiters(spark, path).where("delimiter is not null").groupBy("delimiter").agg(F.count(F.lit(1)).alias("n"))
+    kinds = found.agg(F.array_sort(F.collect_list(F.struct("delimiter", "n"))).alias("k")).first()["k"]  # at most one entry per delimiter
+    if len(kinds) > 1:
+        raise ValueError(f"{path} mixes delimiters: " + ", ".join(f"{k['delimiter']!r} in {k['n']} files" for k in kinds))
+    utf8 = spark.read.text(path).agg(F.min(F.is_valid_utf8("value"))).first()[0]
+    return kinds[0]["delimiter"] if kinds else DELIMITERS[0], "ISO-8859-1" if utf8 is False else "UTF-8"
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None, header: bool = True,
@@ -76,9 +71,7 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     ``bad_lines`` names a column that keeps the raw text of lines that did not fit.
     """
     if delimiter is None or encoding is None:
-        d, e = sniff(read_head(spark, path))
-        if encoding is None and e == "UTF-8" and spark.read.text(path).agg(F.min(F.is_valid_utf8("value"))).first()[0] is False:
-            e = "ISO-8859-1"  # beyond the head, or in another file
+        d, e = layout(spark, path)
         delimiter, encoding = delimiter or d, encoding or e
     r = (spark.read.option("sep", delimiter).option("encoding", encoding).option("header", header).option("nullValue", "")
          .option("mode", "PERMISSIVE").option("escape", '"').option("enforceSchema", True))
@@ -146,15 +139,20 @@ def new_files(listing: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def read_new(spark: SparkSession, path: str, fmt: str, pattern: str, seen: DataFrame, **options) -> DataFrame:
-    """Rows of the changed files only, with the file they came from; the list of paths decides the scan."""
-    paths = [r["path"] for r in new_files(file_listing(spark, path, pattern), seen).select("path").collect()]
-    if not paths:
-        return spark.createDataFrame([], "_source_file string")
-    r = spark.read.format(fmt)
+    """Rows of the changed files only, with the file they came from (``_source_file``).
+
+    The list of changed files stays a table.  The driver learns one time, the earliest change among them, which keeps
+    older files from being opened; the join on the file's path drops what did not change since.
+    """
+    changed = new_files(file_listing(spark, path, pattern), seen)
+    since = changed.agg(F.min("modificationTime").alias("t")).first()["t"]
+    r = spark.read.format(fmt).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     for k, v in options.items():
         r = r.option(k, v)
-    df = r.load(paths)
-    return df.withColumn("_source_file", F.col("_metadata.file_name"))
+    df = r.load(path)
+    rows = df.select(*df.columns, F.col("_metadata.file_name").alias("_source_file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_modification_time").alias("_time"))
+    rows = rows.where(F.col("_time") >= F.lit(since)) if since else rows.where("false")
+    return rows.join(changed.select(F.col("path").alias("_path")), "_path", "left_semi").drop("_path", "_time")
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:

@@ -212,9 +212,64 @@ def test_statements_split_outside_quotes_and_comments():
     assert TB.statements("select ';' -- a;b\n; /* ; */ select 2;;") == ["select ';' -- a;b", "/* ; */ select 2"]
 
 
-def test_sniff():
-    assert FL.sniff(b"a;b;c\n1;2,5;3\n") == (";", "UTF-8")
-    assert FL.sniff("a|b\nM\xfcller|x\n".encode("latin-1") * 3) == ("|", "ISO-8859-1")
+def test_the_delimiter_is_that_of_all_lines(spark, tmp_path):
+    put = lambda name, raw: (tmp_path / name).write_bytes(raw)
+    (tmp_path / "x").mkdir()
+    put("x/one.csv", b"a;b;c\n" + b"1;2,5;\"3;4\"\n" * 30 + b"a,b,c,d,e\n")
+    put("x/two.csv", "a;b;c\nM\xfcller;x;y\n".encode("latin-1") * 3)
+    assert FL.layout(spark, str(tmp_path / "x")) == (";", "ISO-8859-1")
+    got = {r["file"].rsplit("/", 1)[1]: tuple(r)[1:] for r in FL.delimiters(spark, str(tmp_path / "x")).collect()}
+    assert got == {"one.csv": (";", 3, 32, 31 / 32), "two.csv": (";", 3, 6, 1.0)}
+    put("x/three.csv", b"a|b\n1|2\n")
+    with pytest.raises(ValueError, match="mixes delimiters"):
+        FL.read_delimited(spark, str(tmp_path / "x"))
+    put("plain.csv", b"only\none\n")
+    assert FL.layout(spark, str(tmp_path / "plain.csv")) == (",", "UTF-8")
+
+
+def test_changed_files_are_read_alone(spark, tmp_path):
+    from tallygrove.operators.write import file_listing
+
+    folder = str(tmp_path / "in")
+    spark.range(3).coalesce(1).write.json(folder)
+    seen = spark.createDataFrame(file_listing(spark, folder, "*.json").collect())
+    assert FL.read_new(spark, folder, "json", "*.json", seen).count() == 0
+    (tmp_path / "in" / "a new é.json").write_text('{"id": 7}\n')
+    got = FL.read_new(spark, folder, "json", "*.json", seen).collect()
+    assert [(r["id"], r["_source_file"].replace("%20", " ")) for r in got] == [(7, "a new é.json")]
+
+
+def test_flatten_goes_as_deep_as_asked(spark):
+    d = spark.sql("select named_struct('x', named_struct('y', named_struct('Z z', 1)), 'w', array(2)) as a, 3 as b")
+    assert S.flatten(d).columns == ["a_x_y_z_z", "a_w", "b"] and S.flatten(d, 1).columns == ["a_x", "a_w", "b"] and S.flatten(d, 0).columns == ["a", "b"]
+    assert tuple(S.flatten(d).first()) == (1, [2], 3)
+
+
+def test_ranges_of_a_hot_group_sum_up_like_one_window(spark):
+    import random
+
+    from tallygrove import ranking as R
+
+    rng = random.Random(4)
+    rows_ = [(g, None if v is None else float(v), rng.randint(1, 5), rng.randint(0, 2)) for g in ("hot", None, "b") for v in [None, *rng.sample(range(1000), 300 if g == "hot" else 3)]]
+    df = spark.createDataFrame(rows_, "g string, v double, n long, k long")
+    got = {(r["g"], r["v"]): (r["n_below"], r["n_all"], r["k_below"], r["k_all"]) for r in R.running_in_groups(df, ["g"], "v", ["n", "k"], 8).collect()}
+    low = lambda v: -1 if v is None else v
+    assert got == {(g, v): tuple(x for i in (2, 3) for x in (sum(r[i] for r in rows_ if r[0] == g and low(r[1]) < low(v)), sum(r[i] for r in rows_ if r[0] == g))) for g, v, _, _ in rows_}
+    placed = R.bucketed_row_number(df, -F.col("v"), [F.col("v").desc_nulls_last(), F.col("n"), F.col("k"), F.col("g")], buckets=5)
+    assert sorted(r["row_number"] for r in placed.collect()) == list(range(1, len(rows_) + 1))
+
+
+def test_quartiles_are_exact_when_the_sketch_is_wrong(spark, monkeypatch):
+    from tallygrove.operators import explore as E
+
+    d = spark.range(1, 5001).select((F.col("id") * F.col("id") % 977).cast("double").alias("v"), F.lit(None).cast("int").alias("none"), F.lit("t").alias("t"))
+    want = [float(x) for x in d.selectExpr("percentile(v, array(0.25, 0.5, 0.75)) as p").first()["p"]]
+    for error in (0.03, -0.2):
+        monkeypatch.setattr(E, "SKETCH_ERROR", error)
+        got = {r["column"]: r for r in E.column_profile(d).collect()}
+        assert [got["v"][c] for c in ("q1", "median", "q3")] == want and got["none"]["missing"] == 5000 and got["t"]["top_value"] == "t"
+
 
 
 def test_numbered_lines_cover_blocks(spark, tmp_path):

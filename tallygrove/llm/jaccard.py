@@ -4,8 +4,8 @@ A document is the sorted array of its shingle hashes and a bitmap of 512 bits (p
 bitmaps that differ in x bits prove that at least x shingles are in one set only, which bounds the overlap from above.
 Pairs that pass are tried again with a bitmap of four bits for each shingle, as long as the size band asks for.
 Documents meet in tiles: a tile holds the documents with one shingle in the part of their set that two similar
-documents must share (the first fifth, common shingles last), ordered by set size so that only sizes within the
-threshold are paired.  What size, position and bitmap leave is decided by intersecting the sorted arrays.
+documents must share (the first fifth, rare shingles first).  Tiles are cut in blocks, and a pair of blocks writes only
+the pairs that size, position and bitmap leave open; what is left is decided by intersecting the sorted arrays.
 
 Groups of near copies never become all pairs: equal sets are one class from the start; each of four pairs of minimum
 hashes links its classes to one of them (checked exactly); and tiles hold the linked groups instead of their members,
@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
+from .pairs import open_pairs
 from .store import stored
 from .text import LOWER, flat, mix, prefix_hash, slices, span_hash, word_spans
 
 BITS, KEYS = 512, 4
 _WORDS = [f"b{i}" for i in range(BITS // 64)]
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-#: rows looked at, and entries kept, to find out which shingles are common; this only orders shingles, it drops none
-SAMPLE, COMMON = 4000, 100_000
+#: one row in so many is looked at, and entries kept, to find out which shingles are common; this only orders shingles, it drops none
+SAMPLE, COMMON = 32, 500_000
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -62,39 +63,42 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(rows) if rows else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _common_shingles(docs: DataFrame, text_col: str, id_col: str, width: int) -> np.ndarray:
-    """The most common shingles by a sample, at most ``COMMON`` of them."""
-    rows = docs.count()
-    part = docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(max(1, rows // SAMPLE))) == 0).select(F.col(text_col).alias("_text"))
+def _common_shingles(docs: DataFrame, text_col: str, id_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles by a sample, at most ``COMMON`` of them, and how common: the logarithm of their count.
+
+    A fixed share of the rows is looked at, so that what counts as rare is in as many rows at any size of the table.
+    """
+    part = docs.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(piece.column("_text"), width)[0].view(np.int64))], names=["h"])
 
-    counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(3, SAMPLE // 1000))
-    got = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
+    counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    got = counts.orderBy(F.col("n").desc(), "h").limit(COMMON).select("h", F.floor(F.log2("n")).cast("byte").alias("level")).toPandas()
+    h, level = got["h"].to_numpy(np.int64).view(np.uint64), got["level"].to_numpy(np.uint8)
+    order = np.argsort(h)
+    return h[order], level[order]
 
 
-def _features(docs: DataFrame, common: np.ndarray, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def _features(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Per row: id, hash of the text, class (hash of the whole set, null without words), size, first part of the set, bitmap, minimum hashes."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     longs = [*_WORDS, *[f"k{i}" for i in range(KEYS)]]
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("head", T.BinaryType()), T.StructField("sig", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in longs]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.append(shared.value, np.uint64((1 << 64) - 1))
+        often, level = np.append(shared.value[0], np.uint64((1 << 64) - 1)), np.append(shared.value[1], np.uint8(0))
         for piece in slices(batches, "_text"):
             h, first = shingle_sets(piece.column("_text"), width)
             sizes = np.diff(first)
-            late = often[np.searchsorted(often[:-1], h)] == h
+            at = np.searchsorted(often[:-1], h)
+            late = np.where(often[at] == h, level[at], 0)
             heads, classes, signatures = [], [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 own, last, n = h[a:b], late[a:b], b - a
                 need = n - -(-n * percent // 100) + 1 if n else 0
-                front = own[~last][:need] if last.any() else own[:need]
-                if len(front) < need:
-                    front = np.concatenate([front, own[last][: need - len(front)]])
+                front = own[np.argsort(last, kind="stable")[:need]] if last.any() else own[:need]  # rarer ones first
                 heads.append(front.tobytes())
                 signatures.append(_signature(own))
                 classes.append(int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) if n else None)
@@ -178,7 +182,7 @@ def _near_copies(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _tile_rows(heads: DataFrame) -> DataFrame:
-    """One row per shingle of the first parts and group: token, group, smallest and largest size, first position."""
+    """One row per shingle of the first parts and group: token, group, first position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "head", 1 << 22):
@@ -186,55 +190,57 @@ def _tile_rows(heads: DataFrame) -> DataFrame:
             token = data.view(np.int64)
             each = np.diff(offsets) // 8
             group = np.repeat(piece.column("grp").to_numpy(zero_copy_only=False), each)
-            n = np.repeat(piece.column("n").to_numpy(zero_copy_only=False), each)
             place = (np.arange(len(token)) - np.repeat(offsets[:-1] // 8, each)).astype(np.int32)
-            order = np.lexsort((token, group))
-            token, group, n, place = token[order], group[order], n[order], place[order]
-            begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))) if len(token) else np.zeros(0, np.int64)
-            if len(begin):
-                yield pa.RecordBatch.from_arrays([pa.array(token[begin]), pa.array(group[begin]), pa.array(np.minimum.reduceat(n, begin)), pa.array(np.maximum.reduceat(n, begin)), pa.array(np.minimum.reduceat(place, begin))], names=["token", "grp", "lo", "hi", "pos"])
-
-    return heads.mapInArrow(run, "token long, grp long, lo int, hi int, pos int")
-
-
-def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups that meet in a tile and that sizes and positions leave open."""
-
-    def pairs_of(token, group, lo, hi, pos):
-        found = []
-        step = 1
-        while step < len(token) and (same := token[step:] == token[:-step]).any():
-            i = np.flatnonzero(same)
-            j = i + step
-            rest = np.minimum(hi[i] - pos[i], hi[j] - pos[j])
-            ok = (group[i] != group[j]) & (hi[i] * 100 >= lo[j] * percent) & (rest * (100 + percent) >= (lo[i] + lo[j]) * percent)
-            i, j = i[ok], j[ok]
-            found.append(np.stack([np.minimum(group[i], group[j]), np.maximum(group[i], group[j])], axis=1))
-            step += 1
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            if len(token):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _each_once(token, group, place, np.lexsort((token, group)))], names=["token", "grp", "pos"])
+
+    return heads.mapInArrow(run, "token long, grp long, pos int")
+
+
+def _each_once(token: np.ndarray, group: np.ndarray, place: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each run of equal (token, group), with its smallest place."""
+    if order is not None:
+        token, group, place = token[order], group[order], place[order]
+    begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1])))
+    return token[begin], group[begin], np.minimum.reduceat(place, begin)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def out(columns):
-            pairs = pairs_of(*columns)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["ga", "gb"])
+def _shared_tokens(tiles: DataFrame) -> DataFrame:
+    """The tile rows of tokens that more than one group has, once each; a task holds one row of a tile at a time, however large it is."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again = None, False  # the last row, which may go on; whether its token was there before it
         for batch in batches:
-            if batch.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            if held:
-                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = int(np.searchsorted(new[0], new[0][-1]))  # the last tile may go on in the next batch
-            yield out([x[:last] for x in new])
-            held = [x[last:] for x in new]
-        if held:
-            yield out(held)
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                columns = [np.append(h, c) for h, c in zip(held, columns, strict=True)]
+            token, group, place = _each_once(*columns)
+            same = token[1:] == token[:-1]
+            keep = np.append(same, False) | np.append(again, same)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (token, group, place)], names=["token", "grp", "pos"])
+            held, again = [x[-1:] for x in (token, group, place)], bool(keep[-1])
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["token", "grp", "pos"])
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles.repartition(n, "token").sortWithinPartitions("token", "lo")
-    return dealt.mapInArrow(run, "ga long, gb long").distinct()
+    return tiles.repartition(n, "token").sortWithinPartitions("token", "grp").mapInArrow(run, "token long, grp long, pos int")
+
+
+def _group_facts(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per group: smallest and largest size, its root's bitmap, and in how many bits members differ from that at most."""
+    placed = members.select("cls", "n", *_WORDS).join(groups, "cls", "left").withColumn("grp", F.coalesce("root", "cls"))
+    roots = placed.where("cls = grp").select(F.col("grp").alias("_grp"), *[F.col(w).alias(f"r_{w}") for w in _WORDS])
+    far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"r_{w}"))) for w in _WORDS), F.lit(0))
+    sums = placed.join(roots, F.col("grp") == F.col("_grp")).groupBy("grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(far).alias("slack"))
+    return sums.join(roots, F.col("grp") == F.col("_grp")).select("grp", "lo", "hi", "slack", *[F.col(f"r_{w}").alias(w) for w in _WORDS])
+
+
+def _tile_pairs(tiles: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (``ga``, ``gb``) that meet in a tile and that sizes, positions and bitmaps leave open; large tiles are cut in blocks."""
+    met = _shared_tokens(tiles).join(facts.withColumnRenamed("grp", "id"), F.col("grp") == F.col("id")).withColumnRenamed("token", "key")
+    return open_pairs(met, _WORDS, percent).toDF("ga", "gb")
 
 
 def _smaller_first(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -256,13 +262,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = _common_shingles(docs, text_col, id_col, width)
     rows = stored(_features(docs, common, id_col, text_col, width, percent), "shingles")
     full = rows.where("n > 0")
-    members = stored(full.select("cls", "n", "sig", *_WORDS, *[f"k{i}" for i in range(KEYS)]).dropDuplicates(["cls"]), "classes")
+    members = stored(full.select("cls", "n", "head", "sig", *_WORDS, *[f"k{i}" for i in range(KEYS)]).dropDuplicates(["cls"]), "classes")
     reps = full.groupBy("cls").agg(F.min(F.struct("th", "id")).alias("rep"))
     check = lambda pairs: stored(_verified(stored(_sieved(pairs, members, percent), "pairs"), docs, reps, id_col, text_col, width, percent), "links")
     first = check(_near_copies(members, percent))
     groups = components(first, "a", "b").withColumnRenamed("node", "cls")
-    grouped = full.select("cls", "n", "head").join(groups, "cls", "left").select(F.coalesce("root", "cls").alias("grp"), "n", "head")
-    met = _smaller_first(stored(_tile_pairs(_tile_rows(grouped), percent), "tiles"), groups)
+    heads = members.select("cls", "head").join(groups, "cls", "left").select(F.coalesce("root", "cls").alias("grp"), "head")
+    met = _smaller_first(stored(_tile_pairs(_tile_rows(heads), _group_facts(members, groups), percent), "tiles"), groups)
     slim = members.join(groups, "cls", "left").select(F.coalesce("root", "cls").alias("grp"), "cls", "n", *_WORDS)
     side = lambda p: slim.select([F.col(c).alias(p + c) for c in slim.columns])
     left = met.join(side("x_"), F.col("ga") == F.col("x_grp"))

@@ -134,7 +134,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more = stored(_sieved(met.join(tried, ["a", "b"], "left_anti"), members, percent), "pairs")
         tried, links = tried.union(more), links.union(stored(confirm(more, sets, percent), "links"))
     marks = [[f"{c}{i}" for i in range(side)] for c in "xy"]
-    flat = members.select(F.col("cls").alias("id"), "n", *_WORDS, *[F.col(c)[i].alias(f"{c}{i}") for c in "xy" for i in range(side)])
+    none = F.lit(0)
+    flat = members.select(F.col("cls").alias("id"), F.col("n").alias("lo"), F.col("n").alias("hi"), none.alias("slack"), none.alias("pos"), *_WORDS, *[F.col(c)[i].alias(f"{c}{i}") for c in "xy" for i in range(side)])
     rest = mixed.select("key", "slot", "cls", "grp").join(flat, F.col("cls") == F.col("id")).drop("cls")
     left = stored(open_pairs(rest, _WORDS, percent, tuple(marks)).join(tried, ["a", "b"], "left_anti"), "pairs")
     roots = components(links.union(confirm(left, sets, percent)), "a", "b")

@@ -40,10 +40,12 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
 
 
 def open_pairs(rows: DataFrame, words: list[str], percent: int, tensor: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
-    """Distinct pairs (``a`` < ``b``) of sets that share a bucket, differ in group, and that sizes and bitmaps leave open.
+    """Distinct pairs (``a`` < ``b``) of entries that share a bucket, differ in group, and that sizes and bitmaps leave open.
 
-    ``rows``: ``key`` (bucket), ``grp``, ``id`` (the set), ``n`` (its size) and the bitmap's ``words``.  Two bitmaps that
-    differ in x bits prove x elements that are in one set only: overlap <= (n_a + n_b - x) / 2.  With ``tensor``, the
+    ``rows``: ``key`` (bucket), ``grp``, ``id``, ``lo`` and ``hi`` (sizes of the sets it stands for), ``slack`` and the
+    bitmap's ``words``: every set it stands for differs from that bitmap in at most ``slack`` bits.  Two bitmaps that
+    differ in x bits prove x elements that are in one set only: overlap <= (n_a + n_b - x) / 2, for x less both slacks.
+    ``pos`` elements of the sets come before what the bucket stands for, and are not shared.  With ``tensor``, the
     columns of two collections whose combinations the buckets stand for (``slot``: which one), a pair is looked at in
     the first bucket that both share, and in no other.
     """
@@ -52,10 +54,10 @@ def open_pairs(rows: DataFrame, words: list[str], percent: int, tensor: tuple[li
     sizes = rows.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     cut = rows.join(sizes, rows["key"] == sizes["_key"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     dealt = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("_own", "_with").alias("p"), F.greatest("_own", "_with").alias("q"), F.col("_own").alias("own"), "grp", "id", F.col("n").cast("long").alias("n"), *words, *([F.col("slot").cast("long").alias("slot"), *marks] if marks else []))
+    dealt = dealt.select("key", F.least("_own", "_with").alias("p"), F.greatest("_own", "_with").alias("q"), F.col("_own").alias("own"), "grp", "id", *[F.col(c).cast("long").alias(c) for c in ("lo", "hi", "slack", "pos")], *words, *([F.col("slot").cast("long").alias("slot"), *marks] if marks else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p, q, own, grp, ident, size, *rest in runs(batches, 3):
+        for _, p, q, own, grp, ident, lo, hi, slack, pos, *rest in runs(batches, 3):
             if len(ident) < 2 or (grp == grp[0]).all():
                 continue
             bits = np.stack(rest[: len(words)], axis=1).view(np.uint64)
@@ -65,13 +67,14 @@ def open_pairs(rows: DataFrame, words: list[str], percent: int, tensor: tuple[li
             there = np.arange(len(ident)) if p[0] == q[0] else np.flatnonzero(~first)
             for i in np.flatnonzero(first):
                 j = there[there > i] if p[0] == q[0] else there
-                j = j[(grp[j] != grp[i]) & (np.minimum(size[j], size[i]) * 100 >= np.maximum(size[j], size[i]) * percent)]
+                sizes = (hi[i] * 100 >= lo[j] * percent) & (hi[j] * 100 >= lo[i] * percent)
+                j = j[(grp[j] != grp[i]) & sizes & (np.minimum(hi[i] - pos[i], hi[j] - pos[j]) * (100 + percent) >= (lo[i] + lo[j]) * percent)]
                 if marks and len(j):
                     one, two = ((side[j] == side[i]).argmax(1) for side in sides)
                     j = j[one * len(tensor[1]) + two == rest[len(words)][0]]
                 if len(j):
-                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                    both = size[j] + size[i]
+                    differ = np.maximum(np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64) - slack[i] - slack[j], 0)
+                    both = hi[j] + hi[i]
                     j = j[(both - differ) * (100 + percent) >= both * (2 * percent)]
                     left.append(np.full(len(j), ident[i]))
                     right.append(ident[j])

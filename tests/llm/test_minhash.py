@@ -83,9 +83,9 @@ def test_tables_need_far_fewer_minimum_hashes_than_keys():
 
 def test_blocks_find_what_whole_buckets_find(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    rows = [(int(k), int(g), i, 40, *[int(x) * -3 for x in rng.integers(0, 4, 2)]) for i, (k, g) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300), strict=True))]
-    want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[1] != b[1] and (80 - sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[4:], b[4:], strict=True))) * 180 >= 80 * 160}
-    df = spark.createDataFrame(rows, "key long, grp long, id long, n long, w0 long, w1 long")
+    rows = [(int(k), int(g), i, 40, 40, 0, 0, *[int(x) * -3 for x in rng.integers(0, 4, 2)]) for i, (k, g) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300), strict=True))]
+    want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[1] != b[1] and (80 - sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a[7:], b[7:], strict=True))) * 180 >= 80 * 160}
+    df = spark.createDataFrame(rows, "key long, grp long, id long, lo long, hi long, slack long, pos long, w0 long, w1 long")
     for block in (pairs.BLOCK, 7):
         monkeypatch.setattr(pairs, "BLOCK", block)
         assert {tuple(r) for r in pairs.open_pairs(df, ["w0", "w1"], 80).collect()} == want
@@ -94,9 +94,9 @@ def test_blocks_find_what_whole_buckets_find(spark, monkeypatch):
 def test_a_pair_is_looked_at_in_its_first_shared_bucket_alone(spark):
     rng = np.random.default_rng(8)
     x, y = rng.integers(0, 3, (2, 60, 3)).tolist()
-    rows = [(hash((i, j, x[r][i], y[r][j])) % (1 << 62), i * 3 + j, r, r, 10, 0, *x[r], *y[r]) for r in range(60) for i in range(3) for j in range(3)]
+    rows = [(hash((i, j, x[r][i], y[r][j])) % (1 << 62), i * 3 + j, r, r, 10, 10, 0, 0, 0, *x[r], *y[r]) for r in range(60) for i in range(3) for j in range(3)]
     names = ["x0", "x1", "x2", "y0", "y1", "y2"]
-    df = spark.createDataFrame(rows, "key long, slot int, grp long, id long, n long, w0 long" + "".join(f", {n} long" for n in names))
+    df = spark.createDataFrame(rows, "key long, slot int, grp long, id long, lo long, hi long, slack long, pos long, w0 long" + "".join(f", {n} long" for n in names))
     got = [tuple(r) for r in pairs.open_pairs(df, ["w0"], 80, (names[:3], names[3:])).collect()]
     meet = lambda a, b: any(p == q for p, q in zip(a, b, strict=True))
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(60) for b in range(a + 1, 60) if meet(x[a], x[b]) and meet(y[a], y[b])}

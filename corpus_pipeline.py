@@ -1,11 +1,15 @@
 """The corpus pipeline: language ID, near duplicates, repeated passages, mixing, encoding; each stage written as Parquet.
 
-Columns of ``documents`` pass through; ``n_chars`` stays as it was read.  Rows are
-judged one by one, those with a null or a repeated id like any others.
+Columns of ``documents`` pass through; ``n_chars`` stays as it was read, and columns that are not part of the table
+travel as one struct, so that their names meet no other.  Rows are judged one by one, those with a null or a repeated
+id like any others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +21,26 @@ from tallygrove.llm.store import stored
 from tallygrove.session import scratch_path
 
 
+#: columns that the stages know
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def carrying_others(stage: Stage) -> Stage:
+    """A stage that returns its input's columns, whatever further columns there are and however they are named."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in DOCUMENT]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("other_columns")
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in DOCUMENT], packed), sf_dir)
+        return out.select(*[F.col(c) if c in DOCUMENT else F.col("other_columns")[f"c{others.index(c)}"].alias(c) for c in docs.columns])
+
+    return run
+
+
+@carrying_others
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go: null text, or no letter.  The model learns from all labelled rows."""
     langs, model = langid.train(docs)
@@ -30,6 +54,7 @@ def _key(docs: DataFrame) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), whole.alias("row"))
 
 
+@carrying_others
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one stays, that with the smallest id (null ids last; then by hashes of text and row); rows that link with nothing stay.
 
@@ -45,6 +70,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return marked.where("_first is null").unionByName(once).select(*docs.columns)
 
 
+@carrying_others
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that stand elsewhere too are cut out; a document of which nothing visible is left goes.
 
@@ -57,6 +83,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.where(F.length(F.trim("text")) > 0).select(*docs.columns)
 
 
+@carrying_others
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the mix, each as often as it is taken; documents weigh by their labels, or alike where there is no such table."""
     try:

@@ -79,3 +79,17 @@ def test_mix_stage_weighs_by_quality(spark, make, tmp_path):
     weighed, alike = takes(quality=mixing.quality_weights(labels)), takes()
     assert got == weighed != alike
     assert Counter(map(key, corpus_pipeline.mix(spark, docs, f"{tmp_path}/none").collect())) == alike
+
+
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    names = ["score", "lang_pred", "_first", "_of", "_key", "n_bytes", "kept", "_words", "_copies", "_rank", "_drawn", "_copy", "_text", "spans", "rid", "other_columns", "odd name.x"]
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    twin = text()
+    rows = [(i, t, "en", rng.choice("ab"), i, *[f"{n}{i}" for n in names]) for i, t in enumerate([twin, twin, *[text() for _ in range(6)]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        assert docs.count() and all(r[n] == f"{n}{r['doc_id']}" for r in docs.collect() for n in names)
+    assert 1 not in [r["doc_id"] for r in docs.collect()]
+    assert {r["doc_id"] for r in corpus_pipeline.tokenise(spark, docs, "").collect()} == {r["doc_id"] for r in docs.collect()}

@@ -176,6 +176,31 @@ def test_toxicity_learns_words(spark, make):
     assert none.empty and {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_on_a_wide_vocabulary(spark, make):
+    """A thousand toxic words, most of them rare, that share beginnings; long ordinary texts round a few of them."""
+    rng = random.Random(12)
+    part = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    plain = [part() + part() for _ in range(3000)]
+    stems = [rng.choice("xqz") + part() + "sch" for _ in range(50)]
+    bad = [s + part() for s in stems for _ in range(20)]
+    text = lambda toxic: " ".join(rng.choice(bad) if toxic and rng.random() < 0.03 else rng.choice(plain) for _ in range(rng.randint(60, 500)))
+    rows = [(i, text(i % 5 == 0), "x", "y", 1) for i in range(1500)] + [(9000, text(True) * 40, "x", "y", 1), (9001, text(False) * 40, "x", "y", 1)]
+    docs = make(rows)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels.where(fold("doc_id", 3) != 1))
+    got = toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 3) == 1).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 1500]
+    caught, wrong = ([r["predicted"] for r in held if (r["doc_id"] % 5 == 0) == y] for y in (True, False))
+    assert np.mean(caught) >= 0.9 and np.mean(wrong) <= 0.05
+    assert {r["doc_id"]: r["predicted"] for r in got if r["doc_id"] >= 9000} == {9000: 1, 9001: 0}
+    # the store of distances changes nothing: every word is compared anew
+    m = model.ready()
+    cell, first = m.cells(pa.array([rows[0][1], None, "", rows[1][1]]))
+    sizes = [[len(c(b" " + w.encode() + m.tail)) for c in m.compress] for w in f"{rows[0][1]} {rows[1][1]}".split()]
+    assert cell.tolist() == [(min(max(o - t, -3), 9) + 3) * 17 + min(len(w), 16) for (t, o), w in zip(sizes, f"{rows[0][1]} {rows[1][1]}".split(), strict=True)]
+    assert np.diff(first).tolist() == [len(rows[0][1].split()), 0, 0, len(rows[1][1].split())]
+
+
 def test_attention_gradient_and_distribution():
     rng = np.random.default_rng(0)
     ids, first = rng.integers(0, lm.IDS - 1, 75).astype(np.int32), np.array([0, 40, 40, 75])

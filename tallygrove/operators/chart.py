@@ -15,10 +15,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..ranking import quantiles
+from ..ranking import global_row_number, quantiles
 from ..semantics import MISSING, OTHER, RATE_LIKE, aggregate, change, col, label, natural_key, total
-from .filters import Days, bucket, split_periods
+from .filters import Days, bucket, overview_grain, split_periods
 
 
 @dataclass(frozen=True)
@@ -154,12 +155,19 @@ def plan_summary(columns: Sequence[ProfiledColumn], days: int, limit: int | None
     return kept, [c.name for c in columns if c.kind == "num"][:measures], size
 
 
-def summary_grain(days: int, groups: int, limit: int = 60_000) -> str:
-    """Day, week or month: the finest grain whose periods x groups fit."""
-    for grain, per in (("day", 1.0), ("week", 7.0), ("month", 30.4)):
-        if days / per * max(1, groups) <= limit:
-            return grain
-    return "month"
+def planned_summary(df: DataFrame, day: str, grain: str | None = None, **limits) -> DataFrame:
+    """The summary table of a fact: its text and boolean columns as categories, its numbers as measures, by day, week or month.
+
+    ``limits`` go to ``plan_summary``; without them every category stays.  Without ``grain`` the calendar span decides
+    (``overview_grain``), never the size of the table.
+    """
+    span = df.agg(F.datediff(F.max(day), F.min(day)).alias("d")).first()["d"]
+    days = 1 + (span or 0)
+    kinds = {f.name: "num" if isinstance(f.dataType, T.NumericType) else "cat" for f in df.schema if f.name != day and isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType))}
+    cats = [c for c, kind in kinds.items() if kind == "cat"]
+    sizes = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c) for c in cats]).first().asDict() if cats else {}  # one row
+    kept, nums, _ = plan_summary([ProfiledColumn(c, kind, sizes.get(c, 0)) for c, kind in kinds.items()], days, **limits)
+    return summary(df, day, kept, nums, grain or overview_grain(days))
 
 
 def summary(df: DataFrame, day: str, cats: Sequence[str], nums: Sequence[str], grain: str = "day") -> DataFrame:
@@ -238,24 +246,28 @@ def top_list(df: DataFrame, day: str, x: str, y: str, agg: str, cur: Days, prev:
     return out.withColumn("tone", tone)
 
 
-def funnel(df: DataFrame, stage: str, y: str | None, agg: str = "sum", top: int = 8, sort: str = "value") -> DataFrame:
-    """Stages with their share of the first and of the previous stage."""
+def funnel(df: DataFrame, stage: str, y: str | None, agg: str = "sum", top: int | None = None, sort: str = "value") -> DataFrame:
+    """All stages, or the first ``top``, with their share of the first and of the previous stage."""
     g = df.groupBy(label(stage).alias("stage")).agg(aggregate(agg, y).cast("double").alias("value")).where("value is not null")
     order = natural_key("stage") if sort == "label" else [F.col("value").desc(), F.col("stage").asc()]
-    w = Window.orderBy(*order)  # at most ``top`` rows
-    kept = g.orderBy(*order).limit(top)
-    return kept.select(
-        F.row_number().over(w).alias("position"), "stage", "value",
-        (F.col("value") / F.first("value").over(w)).alias("of_first"),
-        (F.col("value") / F.nullif(F.lag("value").over(w), F.lit(0.0))).alias("of_previous"),
-    )
+    placed = global_row_number(g.orderBy(*order).limit(top) if top else g, order, "position")
+    before = placed.select((F.col("position") + 1).alias("position"), F.col("value").alias("_before"))
+    first = placed.where("position = 1").agg(F.max("value")).scalar()
+    return placed.join(before, "position", "left").select(
+        "position", "stage", "value", (F.col("value") / first).alias("of_first"), (F.col("value") / F.nullif("_before", F.lit(0.0))).alias("of_previous"))
 
 
 def heatmap(df: DataFrame, x: Column | str, y: Column | str, value: str | None, agg: str = "sum", max_x: int | None = None, max_y: int | None = None) -> DataFrame:
-    """The matrix of all axis values (the first ``max_x`` by ``max_y`` in calendar or natural order if given), zero where a cell has no value."""
+    """The cells that have a value; with both ``max_x`` and ``max_y`` the whole matrix of so many axis values at most, first ones in calendar or natural order, zero where a cell has none.
+
+    Only a matrix whose sides are bounded is filled: without bounds, cells that are not listed are zero.
+    """
     cells = df.groupBy(label(x).alias("x"), label(y).alias("y")).agg(aggregate(agg, value).cast("double").alias("value"))
     axis = lambda c, n: (lambda d: d.orderBy(*natural_key(c)).limit(n) if n else d)(cells.select(c).distinct())
-    # every row label gets the column labels as one array: the matrix asked for, not a join of rows
+    if not (max_x and max_y):
+        kept = cells.join(axis("x", max_x), "x", "left_semi") if max_x else cells
+        return kept.join(axis("y", max_y), "y", "left_semi").select("x", "y", "value") if max_y else kept.select("x", "y", "value")
+    # every row label gets the column labels as one array of ``max_y``: the matrix asked for, not a join of rows
     columns = axis("y", max_y).agg(F.collect_list("y").alias("ys")).scalar()
     grid = axis("x", max_x).select("x", F.explode(columns).alias("y"))
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -190,6 +190,8 @@ def table_profile(df: DataFrame, exact: bool = False, examples: int = 3, order:
                         (F.min(f"`{f.name}`").cast("string") if spread(f.dataType) else none).alias("min"),
                         (F.max(f"`{f.name}`").cast("string") if spread(f.dataType) else none).alias("max")) for f in df.schema]
     out = df.agg(F.array(*entries).alias("r")).select(F.inline("r"))
+    if not examples:
+        return out.drop("approx_distinct").join(distinct, "column") if exact else out.withColumnRenamed("approx_distinct", "distinct")
     shown = [f.name for f in df.schema if order or not isinstance(f.dataType, (T.MapType, T.VariantType))]
     first = df.orderBy(*[F.col(f"`{c}`") for c in order or shown]).limit(examples).withColumn("_no", F.monotonically_increasing_id())
     cells = first.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("_no").alias("no"), F.col(f"`{c}`").cast("string").alias("v")) for c in shown])).alias("e")).select("e.*")

@@ -117,6 +117,28 @@ def _(spark, sf):
     return out.select(F.col("o_orderdate").cast("string").alias("day"), "o_orderstatus", "o_orderpriority", rnd("o_totalprice", 6, "o_totalprice"), "records")
 
 
+@query("a06_planned_summary", """
+SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS day, o_orderpriority, o_orderstatus, round(avg(o_totalprice), 6) AS o_totalprice, sum(o_custkey)::BIGINT AS o_custkey, count(*) AS records
+FROM orders GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_custkey")
+    return C.planned_summary(o, "o_orderdate").select(F.col("o_orderdate").cast("string").alias("day"), "o_orderpriority", "o_orderstatus", rnd("o_totalprice", 6, "o_totalprice"), "o_custkey", "records")
+
+
+@query("a24_heatmap_cells", """
+SELECT l_returnflag AS x, CAST(l_suppkey AS VARCHAR) AS y, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2""")
+def _(spark, sf):
+    return C.heatmap(table(spark, sf, "lineitem"), "l_returnflag", "l_suppkey", None, "count")
+
+
+@query("a28_race_all_steps", f"""
+WITH {FACT}, s AS (SELECT DISTINCT strftime(day, '%Y-%m') AS step FROM fact), l AS (SELECT DISTINCT segment AS label FROM fact),
+c AS (SELECT strftime(day, '%Y-%m') AS step, segment AS label, sum(qty) AS q FROM fact GROUP BY 1, 2)
+SELECT step, label, coalesce(sum(q) OVER (PARTITION BY label ORDER BY step), 0) AS value FROM s CROSS JOIN l LEFT JOIN c USING (step, label)""")
+def _(spark, sf):
+    return C.play_frames(fact(spark, sf), "day", "segment", "qty")
+
+
 @query("a20_donut_top_other", f"""
 WITH {FACT}, g AS (SELECT site AS label, sum(amount) AS value FROM fact GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY value DESC, label) AS rn, count(*) OVER () AS n FROM g WHERE value > 0)
@@ -158,7 +180,7 @@ def _(spark, sf):
 WITH c AS (SELECT p_brand AS x, CAST(p_size AS VARCHAR) AS y, CAST(count(p_retailprice) AS DOUBLE) AS value FROM part GROUP BY 1, 2)
 SELECT x, y, coalesce(value, 0) AS value FROM (SELECT DISTINCT x FROM c) CROSS JOIN (SELECT DISTINCT y FROM c) LEFT JOIN c USING (x, y)""")
 def _(spark, sf):
-    return C.heatmap(table(spark, sf, "part"), "p_brand", "p_size", "p_retailprice", "count")
+    return C.heatmap(table(spark, sf, "part"), "p_brand", "p_size", "p_retailprice", "count", max_x=1000, max_y=1000)
 
 
 @query("a03_viewer_median_series", """
@@ -173,7 +195,7 @@ WITH c AS (SELECT strftime(ts, '%a') AS x, CAST(hour(ts) AS VARCHAR) AS y, round
 SELECT x, y, coalesce(value, 0) AS value FROM (SELECT DISTINCT x FROM c) CROSS JOIN (SELECT DISTINCT y FROM c) LEFT JOIN c USING (x, y)""")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    out = C.heatmap(e, F.date_format("ts", "E"), F.hour("ts"), "value")
+    out = C.heatmap(e, F.date_format("ts", "E"), F.hour("ts"), "value", max_x=7, max_y=24)
     return out.select("x", "y", rnd("value", 2, "value"))
 
 

@@ -110,7 +110,7 @@ def _profile(spark, sf, prefix="shop."):
     for t, cols in TYPES.items():
         df = table(spark, sf, t)
         pos = F.coalesce(*[F.when(F.col("column") == c.split(":")[0], F.lit(i)) for i, c in enumerate(cols)])
-        one.append(E.table_profile(df, exact=True).select(F.lit(prefix + t).alias("table"), "column", pos.alias("position"), "type", "rows", "distinct", "min", "max", F.lit(None).cast("string").alias("sample")))
+        one.append(E.table_profile(df, exact=True, examples=0).select(F.lit(prefix + t).alias("table"), "column", pos.alias("position"), "type", "rows", "distinct", "min", "max", F.lit(None).cast("string").alias("sample")))
     return cut_lineage(reduce(lambda a, b: a.unionByName(b), one))  # the stored profile: one row per column
 
 

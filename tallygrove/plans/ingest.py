@@ -260,14 +260,13 @@ def _(spark, sf):
     return d.select(F.col("rate_date").cast("string").alias("rate_date"), "pair", "currency", rnd("rate", 4, "rate"))
 
 
-@query("s16_demo_sales_daily", """
-WITH d AS (SELECT CAST(DATE '2024-01-01' + CAST(o_orderkey * 31 % 365 AS INTEGER) AS VARCHAR) AS order_date, (['North','South','East','West'])[o_orderkey * 3 % 4 + 1] AS region,
-  (o_orderkey * 7 % 5 + 1) AS q, 50 + o_orderkey * 13 % 950 AS p, o_orderkey AS i FROM orders)
-SELECT order_date, region, count(*) AS orders, round(sum(round(q * p - round(CAST((i % 4) * 5 * q * p AS DOUBLE) / 100, 2), 2)), 2) AS net_sales FROM d GROUP BY 1, 2""")
-def _(spark, sf):
-    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    d = TB.sales_daily(TB.demo_sales(ids)).groupBy("order_date", "region").agg(F.sum("orders").alias("orders"), F.round(F.sum("net_sales"), 2).alias("net_sales"))
-    return d.withColumn("order_date", F.col("order_date").cast("string"))
+@query("s16_sales_daily", f"""
+WITH {FACT} SELECT CAST(day AS VARCHAR) AS order_date, zone AS region, status AS channel, category, round(sum(net), 2)::DOUBLE AS net_sales, count(*) AS orders, round(sum(CAST(amount AS DECIMAL(12,2)) * CAST(rate AS DECIMAL(4,2))), 2)::DOUBLE AS discount FROM fact GROUP BY 1, 2, 3, 4""")
+def _(spark, sf):
+    f = fact(spark, sf)
+    sales = f.select(F.col("day").alias("order_date"), F.col("zone").alias("region"), F.col("status").alias("channel"), "category", F.col("net").alias("net_sales"),
+                     (F.col("amount").cast("decimal(12,2)") * F.col("rate").cast("decimal(4,2)")).alias("discount"), F.col("amount").alias("cost"))
+    return TB.sales_daily(sales).drop("cost").withColumns({"order_date": F.col("order_date").cast("string"), **{c: F.col(c).cast("double") for c in ("net_sales", "discount")}})
 
 
 @query("s17_catalog_columns", """

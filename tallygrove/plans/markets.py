@@ -147,6 +147,36 @@ def _(spark, sf):
     return M.breadth(_ind(spark, sf), _scores(spark, sf).where("eligible")).select(_day(), "advancing", "declining", "pct_above_200dma")
 
 
+@query("m19_index_latest", EOD + """, two AS (SELECT 'ALL' AS index_name, trade_date, close FROM idx UNION ALL SELECT 'HALF', trade_date, close / 2 FROM idx WHERE trade_date < (SELECT max(trade_date) FROM idx)
+ UNION ALL SELECT 'TWICE', trade_date, close * 2 FROM idx),
+ p AS (SELECT *, avg(close) OVER (w ROWS 49 PRECEDING) AS sma50, avg(close) OVER (w ROWS 199 PRECEDING) AS sma200, close / lag(close, 252) OVER w - 1 AS ret_1y FROM two WINDOW w AS (PARTITION BY index_name ORDER BY trade_date))
+SELECT index_name, CAST(trade_date AS VARCHAR) AS trade_date, close, round(sma50, 6) AS sma50, round(sma200, 6) AS sma200, round(ret_1y, 8) AS ret_1y FROM p WHERE trade_date = (SELECT max(trade_date) FROM idx)""")
+def _(spark, sf):
+    one = _index(spark, sf).select("index_name", "trade_date", "close")
+    last = one.agg(F.max("trade_date")).scalar()
+    half = one.where(F.col("trade_date") < last).select(F.lit("half ").alias("index_name"), "trade_date", (F.col("close") / 2).alias("close"))
+    two = one.unionByName(half).unionByName(one.select(F.lit("Twice").alias("index_name"), "trade_date", (F.col("close") * 2).alias("close")))
+    return M.index_latest(M.index_prices(two)).select("index_name", _day(), "close", rnd("sma50", 6, "sma50"), rnd("sma200", 6, "sma200"), rnd("ret_1y", 8, "ret_1y"))
+
+
+@query("m18_one_listing", """
+WITH l AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS trade_date, (['EQ', 'BE', 'SM'])[l_linenumber % 3 + 1] AS series, max(l_extendedprice) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)
+SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, series, close FROM l WHERE series <> 'SM' QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY CASE series WHEN 'EQ' THEN 0 ELSE 1 END) = 1""")
+def _(spark, sf):
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    series = F.element_at(F.array(*map(F.lit, ["EQ ", "BE", "SM"])), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    eod = li.groupBy(F.concat(F.lit(" "), "p_brand").alias("symbol"), F.col("l_shipdate").cast("date").alias("trade_date"), series.alias("series")).agg(F.max("l_extendedprice").alias("close"))
+    return M.one_listing(eod).select("symbol", _day(), "series", "close")
+
+
+@query("w12_fx_of_several_rates", """
+WITH r AS (SELECT o_orderpriority AS pair, CAST(o_orderdate AS DATE) AS rate_date, max(o_totalprice) AS rate FROM orders GROUP BY 1, 2)
+SELECT pair, CAST(rate_date AS VARCHAR) AS rate_date, rate, round(rate / lag(rate) OVER (PARTITION BY pair ORDER BY rate_date) - 1, 8) AS chg_1d FROM r""")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("pair"), F.col("o_orderdate").cast("date").alias("rate_date"), F.col("o_totalprice").alias("rate"), "o_orderkey")
+    return M.fx_daily(o).select("pair", _day("rate_date"), "rate", rnd("chg_1d", 8, "chg_1d"))
+
+
 @query("m21_screener", SCORES + " SELECT symbol, industry, CAST(rank AS BIGINT) AS rank, score, round(ret_1y * 100, 1) AS ret_1y_pct FROM scores WHERE eligible AND score >= 50 AND rsi_14 <= 70")
 def _(spark, sf):
     return run_with_params(spark, """SELECT symbol, industry, rank, score, round(ret_1y * 100, 1) AS ret_1y_pct FROM {scores}

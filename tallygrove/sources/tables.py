@@ -41,22 +41,8 @@ def lookup(df: DataFrame, order: Sequence[str | Column], first_row_only: bool =
     return rows.limit(1) if first_row_only else rows.limit(limit) if limit else rows
 
 
-def demo_sales(ids: DataFrame, start: str = "2024-01-01") -> DataFrame:
-    """A repeatable order table from a column ``id`` (such as ``spark.range(n)``), made on the executors."""
-    i = F.col("id")
-    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (F.pmod(i * k, F.lit(len(names))) + 1).cast("int"))
-    qty = (F.pmod(i * 7, F.lit(5)) + 1).cast("int")
-    price = F.round(50 + F.pmod(i * 13, F.lit(950)) / 1.0, 2)
-    disc = F.round(F.pmod(i, F.lit(4)) * 0.05 * qty * price, 2)
-    return ids.select(
-        i.alias("order_id"), F.date_add(F.lit(start).cast("date"), F.pmod(i * 31, F.lit(365)).cast("int")).alias("order_date"),
-        pick(["North", "South", "East", "West"], 3).alias("region"), pick(["Store", "Online", "Partner"], 5).alias("channel"),
-        pick(["Grocery", "Home", "Fashion", "Toys", "Books"], 11).alias("category"),
-        F.pmod(i * 17, F.lit(900)).cast("int").alias("customer_id"), qty.alias("quantity"), price.alias("unit_price"),
-        disc.alias("discount"), F.round(qty * price - disc, 2).alias("net_sales"), F.round(qty * price * 0.6, 2).alias("cost"))
-
-
 def sales_daily(sales: DataFrame) -> DataFrame:
+    """Daily sales by region, channel and category of an order table."""
     return sales.groupBy("order_date", "region", "channel", "category").agg(
         F.round(F.sum("net_sales"), 2).alias("net_sales"), F.count(F.lit(1)).alias("orders"),
         F.round(F.sum("discount"), 2).alias("discount"), F.round(F.sum("cost"), 2).alias("cost"))

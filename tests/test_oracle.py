@@ -9,7 +9,9 @@ NAMES = """entry_nation_month_growth a01_chart_countd_series_top a20_donut_top_o
 a35_column_profile a37_spearman_matrix q09_run_rules q12_reconciliation p09_convert_rejects k05_tenant_slices k07_compare_versions j07_backward_asof_stale j11_geocode_places w01_keep_latest_line
 a14_roll_up_levels a15_zones_states m13_sip_xirr w16_weekday_baseline m08_driver_insights l01_sql_refs l03_neighbourhood p24_grants q21_throttled_audit a46_usage_invoice w20_i10_alert_transitions
 f03_date_functions f05_logic_and_numbers t01_feed_page p12_bound_parameters s05_delimited_skip_rows i06_tumbling_backfill i06_tumbling_stream i05_session_stream i04_stream_upsert_late_files
-a24_heatmap_empty_cells a03_viewer_median_series p09_convert_large_integers l01_sql_refs_quotes_in_comments q18_business_roles m18_stock_scores""".split()
+a24_heatmap_empty_cells a03_viewer_median_series p09_convert_large_integers l01_sql_refs_quotes_in_comments q18_business_roles m18_stock_scores
+a35_top_values a36_table_profile_examples a36_table_profile_approx a12_range_distinct a12_range_distinct_texts a06_planned_summary a24_heatmap_cells a28_race_all_steps m19_index_latest m18_one_listing
+w12_fx_of_several_rates i07_late_rows s05_delimiters_of_all_files s09_read_changed_files p05_flatten_deep l04_impact_of_a_long_chain s16_sales_daily s19_save_modes""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)

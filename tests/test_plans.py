@@ -23,12 +23,26 @@ def test_source_has_no_row_collection_in_operators():
         assert found == ([".collect()"] if p.name == "shape.py" else []), p.name
 
 
-@pytest.mark.parametrize("name", ["a01_chart_sum_by_site", "entry_nation_month_growth", "a22_top_list_growth", "q09_run_rules", "k01_upsert_orders", "j10_days_in_windows", "p24_grants", "a45_budget_status"])
+@pytest.mark.parametrize("name", ["a01_chart_sum_by_site", "entry_nation_month_growth", "a22_top_list_growth", "q09_run_rules", "k01_upsert_orders", "j10_days_in_windows", "p24_grants", "a45_budget_status", "a09_board_cube_nation_day", "a35_column_profile", "a37_spearman_matrix", "m18_stock_scores", "a23_funnel_event_types"])
 def test_no_cartesian_product(spark, sf, name):
     text = plan(QUERIES[name](spark, sf))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["a09_board_cube_nation_day", "a10_board_split_category", "a12_range_distinct"])
+def test_distinct_sets_multiply_no_rows(spark, sf, name):
+    assert "Expand" not in plan(QUERIES[name](spark, sf))
+
+
+def test_spearman_melts_columns_not_pairs(spark, sf):
+    from tallygrove.operators.explore import correlations
+
+    d = spark.range(50).select(*[(F.col("id") * k % 17).cast("double").alias(f"c{k}") for k in range(1, 7)])
+    text = plan(correlations(d, d.columns, "spearman"))
+    melts = re.findall(r"explode\(array\((.*)", text)
+    assert melts and all(x.count("struct(") == 6 for x in melts) and correlations(d, d.columns, "spearman").count() == 15
+
+
 def test_one_row_per_key_is_limited_before_the_shuffle(spark, sf):
     text = plan(QUERIES["w01_keep_latest_line"](spark, sf))
     assert text.count("WindowGroupLimit") >= 2

@@ -398,3 +398,29 @@ def test_encoding_is_checked_beyond_the_first_head(spark, tmp_path):
         for file, data in last:
             (tmp_path / name / file).write_bytes(data)
         assert {r["v"] for r in FL.read_delimited(spark, str(tmp_path / name)).where("k = 'y'").collect()} == {"M\xfcller"}
+
+
+def test_all_stages_of_a_funnel_are_kept(spark):
+    d = spark.createDataFrame([(f"s{i:02d}", 20.0 - i) for i in range(12)], "s string, v double")
+    got = C.funnel(d, "s", "v").orderBy("position").collect()
+    assert [(r["stage"], r["value"]) for r in got] == [(f"s{i:02d}", 20.0 - i) for i in range(12)] and got[0]["of_previous"] is None
+    assert got[11]["of_first"] == 9 / 20 and got[11]["of_previous"] == 9 / 10 and C.funnel(d, "s", "v", top=3).count() == 3
+
+
+def test_a_heat_map_is_filled_only_within_bounds(spark):
+    d = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], "a string, b string, v double")
+    assert rows(C.heatmap(d, "a", "b", "v")) == [("a", "x", 1.0), ("b", "y", 2.0)] and rows(C.heatmap(d, "a", "b", "v", max_y=1)) == [("a", "x", 1.0)]
+    assert rows(C.heatmap(d, "a", "b", "v", max_x=5, max_y=5)) == [("a", "x", 1.0), ("a", "y", 0.0), ("b", "x", 0.0), ("b", "y", 2.0)]
+
+
+def test_the_grain_of_a_planned_summary_follows_the_calendar(spark):
+    day = lambda n, c: F.date_add(F.lit("2024-01-01"), (F.col(c) % n).cast("int"))
+    few = spark.range(300).select(day(30, "id").alias("d"), (F.col("id") % 3).cast("string").alias("c"), F.col("id").alias("n"))
+    assert C.planned_summary(few, "d").columns == ["d", "c", "n", "records"] and C.planned_summary(few, "d").count() == 30
+    assert C.planned_summary(few.withColumn("d", day(300, "n")), "d").select("d").distinct().count() == 10
+    assert C.planned_summary(few, "d", "week", categories=0).columns == ["d", "n", "records"]
+
+
+def test_clustering_by_too_many_columns_is_refused(spark):
+    with pytest.raises(ValueError, match="four columns"):
+        K.compact(spark.range(3), list("abcde"), 2)

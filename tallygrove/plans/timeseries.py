@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -77,9 +78,22 @@ def _(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("m01_holt")
+def _holt_sql() -> str:
+    """One fold of each series per grid point, over a list of states that begins with the first two values."""
+    fits = []
+    for a, b in itertools.product(TS.ALPHAS, TS.BETAS):
+        level = f"({a}::DOUBLE * x.l + {1 - a}::DOUBLE * (s.l + s.b))"
+        step = f"{{'l': {level}, 'b': {b}::DOUBLE * ({level} - s.l) + {1 - b}::DOUBLE * s.b, 'e': s.e + (x.l - (s.l + s.b)) * (x.l - (s.l + s.b))}}"
+        fits.append(f"SELECT k, n, {a}::DOUBLE AS alpha, {b}::DOUBLE AS beta, list_reduce(ys, lambda s, x: {step}) AS f FROM y")
+    return f"""SELECT k, n, alpha, beta, round(f.e, 2) AS sse, round(f.l, 4) AS level, round(f.b, 6) AS slope FROM ({" UNION ALL ".join(fits)}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY f.e, alpha, beta) = 1"""
+
+
+@query("m01_holt", f"""WITH {DAILY}, l AS (SELECT k, list(coalesce(v, 0)::DOUBLE ORDER BY d) AS v, count(*)::INTEGER AS n FROM daily GROUP BY k),
+y AS (SELECT k, n, list_prepend({{'l': v[1], 'b': v[2] - v[1], 'e': 0::DOUBLE}}, [{{'l': q, 'b': 0::DOUBLE, 'e': 0::DOUBLE}} FOR q IN v[2:]]) AS ys FROM l WHERE n >= 2)
+{_holt_sql()}""")
 def _(spark, sf):
-    return TS.holt(_daily(spark, sf), ["k"], "d", "v")
+    fit = TS.holt(_daily(spark, sf), ["k"], "d", "v")
+    return fit.select("k", "n", "alpha", "beta", rnd("sse", 2, "sse"), rnd("level", 4, "level"), rnd("slope", 6, "slope"))
 
 
 @query("m02_m03_forecast")

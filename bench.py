@@ -16,6 +16,7 @@ HEADLINE = [
     "a09_board_cube_nation_day", "a10_board_split_category", "a14_roll_up_levels", "w01_keep_latest_line", "k01_upsert_orders", "k07_compare_versions", "p07_infer_type_counts", "p09_convert_rejects",
     "w03_adjusted_prices", "w05_rsi", "m18_stock_scores", "m15_m16_fund_metrics", "m13_sip_xirr", "w16_weekday_baseline", "m04_weekday_forecast", "m06_city_anomalies", "m02_m03_forecast",
     "j07_backward_asof_stale", "t01_feed_page", "l02_a47_edge_table", "l05_column_mentions", "p22_mask_customer", "a44_j14_usage_rows", "i06_tumbling_backfill",
+    "a12_range_distinct", "a35_top_values", "a37_spearman_matrix", "s19_save_modes", "w10_percent_ranks",
 ]
 
 

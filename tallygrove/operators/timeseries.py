@@ -131,7 +131,9 @@ def outliers(ys: np.ndarray, season: int = 0, limit: float = 3.5, most: int | No
     """(position, z, expected) of robust outliers, most extreme first, all of them unless ``most`` is given.
 
     Residuals are scored by median and MAD; the strongest one that is also large against its level is taken out (its
-    value becomes the expectation) before the series is judged again.
+    value becomes the expectation) before the series is judged again.  A series is one row per calendar step, so the work
+    of a call (series length times outliers) is bounded by the calendar, not by the table: some thousand days, or a few
+    ten thousand hours.
     """
     y = np.array(ys, dtype=float)
     if len(y) < 7:

@@ -21,6 +21,8 @@ def get_spark(app: str = "tallygrove", master: str | None = None, **conf) -> Spa
         # small but CPU-heavy stages (long window frames) keep their parallelism
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints go when nothing refers to them any more
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():

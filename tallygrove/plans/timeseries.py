@@ -297,7 +297,10 @@ def _(spark, sf):
     return d.select("tag", "good", "subject", rnd("number", 4, "number"))
 
 
-@query("m12_story_facts")
+@query("m12_story_facts", f"""WITH {DRV}, {KPI}, u AS (SELECT * FROM ki UNION ALL SELECT * FROM dr), p AS (SELECT tag, score + CASE WHEN good THEN 0 ELSE 0.12 END AS score, good, subject, number FROM u),
+i AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY subject ORDER BY score DESC, tag) = 1)
+SELECT 'lead' AS part, 1 AS position, title, round(cur, 4)::DOUBLE AS number FROM kp WHERE title = 'qty' UNION ALL SELECT 'biggest move', 1, title, round(ch, 4) FROM (SELECT title, (cur - prev) / abs(prev) AS ch FROM kp ORDER BY abs(ch) DESC, title LIMIT 1)
+UNION ALL SELECT 'watch', 1, subject, round(number, 4) FROM (SELECT * FROM i WHERE NOT good ORDER BY score DESC, subject LIMIT 1) UNION ALL SELECT 'closing', (row_number() OVER (ORDER BY score DESC, subject))::INTEGER, subject, round(number, 4) FROM i""")
 def _(spark, sf):
     k = _kpis(spark, sf)
-    return I.story_facts(k, I.rank_insights(I.kpi_insights(k).unionByName(_drivers(spark, sf))))
+    return I.story_facts(k, I.rank_insights(I.kpi_insights(k).unionByName(_drivers(spark, sf)))).withColumn("number", F.round("number", 4))

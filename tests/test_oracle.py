@@ -1,5 +1,9 @@
 """Queries against DuckDB on the smallest tables: a spread over all families (tests/oracle.py runs every one)."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import oracle
 import pytest
 
@@ -26,3 +30,9 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_other_queries_import_when_a_package_of_the_corpus_operators_is_missing():
+    code = "import sys, warnings; sys.modules['zstandard'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); print(len(q) > 250, 'pipeline' in q, 'a01_chart_sum_by_site' in q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "False", "True"], done.stderr[-500:]

@@ -126,9 +126,23 @@ def _(spark, sf):
     return c.select(rnd("total", 2, "total"), rnd("last_total", 2, "last_total"), rnd("change", 8, "change"))
 
 
-@query("m05_anomalies")
+# one row per round: the strongest outlier of every series is found, and its value becomes the expectation
+ROUNDS = """l AS (SELECT k, list(v ORDER BY d) AS y, list(d ORDER BY d) AS ds FROM od GROUP BY k HAVING count(*) >= 16),
+a AS (SELECT k, 0 AS i, y, [true FOR v IN y] AS free, coalesce(nullif(list_aggregate([abs(v) FOR v IN y], 'median'), 0), 1) AS size, CAST(greatest(3, least(7, len(y) // 4)) AS INTEGER) AS reach, NULL::BIGINT AS hit, NULL::DOUBLE AS z, NULL::DOUBLE AS expected FROM l
+ UNION ALL SELECT k, i + 1, [CASE WHEN j = hit THEN guess[hit] ELSE y[j] END FOR j IN range(1, len(y) + 1)], [free[j] AND j <> hit FOR j IN range(1, len(y) + 1)], size, reach, hit, zs[hit], guess[hit] FROM
+ (SELECT *, list_position([abs(v) FOR v IN zs], list_max([abs(v) FOR v IN zs])) AS hit FROM
+  (SELECT *, [CASE WHEN free[j] THEN 0.6745::DOUBLE * dev[j] / greatest(list_aggregate([abs(v) FOR v IN dev], 'median'), 0.03::DOUBLE * size) ELSE 0 END FOR j IN range(1, len(y) + 1)] AS zs FROM
+   (SELECT *, [v - list_aggregate(off, 'median') FOR v IN off] AS dev FROM
+    (SELECT *, [y[j] - guess[j] FOR j IN range(1, len(y) + 1)] AS off FROM
+     (SELECT *, [base[j] + phase[(j - 1) % 7 + 1] FOR j IN range(1, len(y) + 1)] AS guess FROM
+      (SELECT *, [list_aggregate([y[j] - base[j] FOR j IN range(q, len(y) + 1, 7)], 'median') FOR q IN range(1, 8)] AS phase FROM
+       (SELECT k, i, y, free, size, reach, [list_aggregate(y[greatest(1, j - reach):j + reach], 'median') FOR j IN range(1, len(y) + 1)] AS base FROM a)))))))
+ WHERE abs(zs[hit]) >= 3.5 AND abs(off[hit]) >= 0.12::DOUBLE * greatest(abs(guess[hit]), 0.5::DOUBLE * size))"""
+
+
+@query("m05_anomalies", f"""WITH RECURSIVE {ORDERS}, {ROUNDS} SELECT a.k, l.ds[hit] AS d, CAST(i AS INTEGER) AS rank, l.y[hit] AS value, round(z, 6) AS z, round(expected, 4) AS expected FROM a JOIN l ON a.k = l.k WHERE i > 0""")
 def _(spark, sf):
-    return TS.anomalies(_od(spark, sf), ["k"], "d", "v")
+    return TS.anomalies(_od(spark, sf), ["k"], "d", "v").withColumns({"z": F.round("z", 6), "expected": F.round("expected", 4)})
 
 
 @query("m05_first_pass_scores", f"""WITH {ORDERS}, a AS (SELECT *, median(v) OVER (PARTITION BY k ORDER BY d ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS base, (row_number() OVER (PARTITION BY k ORDER BY d) - 1) % 7 AS ph FROM od),

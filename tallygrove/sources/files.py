@@ -132,9 +132,9 @@ def read_json_any(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def new_files(listing: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files that are new or whose size or modification time changed since they were seen."""
+    """Files that are new or whose size or modification time changed since they were seen; ``path`` names one file, an unknown size or time equals itself."""
     s = seen.select(F.col("path").alias("_p"), F.col("length").alias("_l"), F.col("modificationTime").alias("_m"))
-    same = (F.col("path") == F.col("_p")) & (F.col("length") == F.col("_l")) & (F.col("modificationTime") == F.col("_m"))
+    same = (F.col("path") == F.col("_p")) & F.col("length").eqNullSafe(F.col("_l")) & F.col("modificationTime").eqNullSafe(F.col("_m"))
     return listing.join(s, same, "left_anti")
 
 

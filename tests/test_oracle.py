@@ -36,3 +36,14 @@ def test_other_queries_import_when_a_package_of_the_corpus_operators_is_missing(
     code = "import sys, warnings; sys.modules['zstandard'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); print(len(q) > 250, 'pipeline' in q, 'a01_chart_sum_by_site' in q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
     assert done.stdout.split() == ["True", "False", "True"], done.stderr[-500:]
+
+
+def test_changed_files_of_one_url_are_told_apart(spark, tmp_path):
+    import duckdb
+
+    pages = [(i, f"http://a/{i // 7}", "x" * (i % 2) if i % 5 else None) for i in range(84)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    res = oracle.compare(spark, con, entry.queries()["s09_changed_files"], entry.oracle_sql()["s09_changed_files"], str(tmp_path))
+    assert res.startswith("ok"), res

@@ -151,6 +151,20 @@ def test_kneser_ney_equals_brute_force(spark, make):
     assert quality.classify(make([]), ids).collect() == []
 
 
+@pytest.mark.parametrize("frequent", [0, 8, 1 << 19])
+def test_every_code_point_is_a_symbol_and_unknown_contexts_are_joined(spark, make, monkeypatch, frequent):
+    monkeypatch.setattr(quality, "FREQUENT", frequent)
+    trusted = ["привет мир 12", "привет мир 13", "漢字漢字かな", "漢字 漢字", "🙂🙂 a\tb", "the the the tee"]
+    docs = make([(i, t, "x", "s", 1) for i, t in enumerate([*trusted, "приват мар 77", "字漢漢字", "🙁 b a", "", None])])
+    table, p = quality._symbol_table(), brute_kneser_ney(trusted, quality.ORDER)
+    assert len({int(table[ord(c)]) for t in trusted for c in t if not c.isspace()}) == len({c for t in trusted for c in t if not c.isspace()})
+    got = {r["doc_id"]: r["bits"] for r in quality.perplexity(docs, quality.train(docs.where("doc_id < 6")), ["doc_id"]).collect()}
+    for r in docs.collect():
+        s = [0] * (quality.ORDER - 1) + [int(table[ord(c)]) for c in r["text"] or ""]
+        want = [-math.log2(p(tuple(s[i : i + quality.ORDER]))) for i in range(len(r["text"] or ""))]
+        assert got[r["doc_id"]] == (pytest.approx(sum(want) / len(want), abs=1e-9) if want else None)
+
+
 def test_quality_keeps_good_text(spark, sf):
     labels = queries.table(spark, sf, "labels")
     got = queries.op3_kneser_ney_quality(spark, sf).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("double")).alias("k"))

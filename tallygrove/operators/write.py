@@ -216,12 +216,19 @@ def remove_unused(spark: SparkSession, path: str, keep: int = 1) -> int:
 # ---------------------------------------------------------------- file layout
 
 
+#: rows that one task sorts for one file
+ROWS_PER_FILE = 1_000_000
+
+
 def compact(df: DataFrame, cluster_by: Sequence[str], files: int) -> DataFrame:
-    """Fewer, clustered files: range partitions on up to four columns, sorted inside."""
+    """Fewer, clustered files: range partitions on up to four columns, sorted inside.
+
+    ``files`` is the least number: it rises with the rows, so that what a task sorts does not.
+    """
     cols = list(cluster_by)
     if len(cols) > 4:
         raise ValueError("at most four columns to cluster by")
-    return df.repartitionByRange(files, *cols).sortWithinPartitions(*cols)
+    return df.repartitionByRange(max(files, -(-df.count() // ROWS_PER_FILE)), *cols).sortWithinPartitions(*cols)
 
 
 def file_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -424,3 +424,11 @@ def test_the_grain_of_a_planned_summary_follows_the_calendar(spark):
 def test_clustering_by_too_many_columns_is_refused(spark):
     with pytest.raises(ValueError, match="four columns"):
         K.compact(spark.range(3), list("abcde"), 2)
+
+
+def test_compacted_files_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(K, "ROWS_PER_FILE", 1000, raising=False)
+    d = K.compact(spark.range(10_000).withColumn("k", F.col("id") * 7919 % 10_007), ["k"], 2)
+    parts = d.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
+    assert sum(r["n"] for r in parts) == 10_000 and max(r["n"] for r in parts) < 2500
+    assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:], strict=False))

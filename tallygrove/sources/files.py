@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -118,12 +119,23 @@ def number_lines(lines: DataFrame) -> DataFrame:
             .withColumn("_line", F.col("_before") + F.col("_mid") - F.col("_first") + 1).drop("_mid", "_first", "_before"))
 
 
+def _documents_schema(spark: SparkSession, path: str) -> T.StructType:
+    """The schema of all JSON documents below ``path``, one document a file.
+
+    Spark's own inference deals files to tasks by their bytes alone, so that thousands of small files land in one task.
+    The scan of whole files counts what opening a file costs, too.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+    texts = files.rdd.map(lambda r: bytes(r.content).decode(json.detect_encoding(r.content), "replace"))
+    return spark.read.json(texts).schema
+
+
 def read_json_any(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A JSON document, JSON Lines, or an envelope with exactly one array of objects, as flat columns.
 
     Nested objects become ``parent_child`` columns; lists stay as JSON text.
     """
-    df = spark.read.option("multiLine", not lines).json(path)
+    df = spark.read.json(path) if lines else spark.read.schema(_documents_schema(spark, path)).option("multiLine", True).json(path)
     arrays = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
     if not lines and len(arrays) == 1:
         df = df.select(F.explode(F.col(arrays[0])).alias("r")).select("r.*")

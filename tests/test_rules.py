@@ -432,3 +432,17 @@ def test_compacted_files_do_not_grow_with_the_table(spark, monkeypatch):
     parts = d.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("lo").collect()
     assert sum(r["n"] for r in parts) == 10_000 and max(r["n"] for r in parts) < 2500
     assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_the_schema_of_many_documents_is_inferred_by_many_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.json").write_bytes(f'{{"items": [{{"id": {i}{", " + chr(34) + "late" + chr(34) + ": 1.5" if i == 299 else ""}}}]}}'.encode("utf-16" if i == 7 else "utf-8"))
+    spark.sparkContext.setJobGroup("documents", "schema")
+    try:
+        d = FL.read_json_any(spark, str(tmp_path))
+        track = spark.sparkContext.statusTracker()
+        stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup("documents") for s in track.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(s.numTasks for s in stages if s) > 4
+    assert sorted(map(tuple, d.select("id", "late").collect()), key=lambda r: r[0]) == [(i, 1.5 if i == 299 else None) for i in range(300)]

@@ -262,13 +262,13 @@ x{years} AS (SELECT scheme_code, (lo + hi) / 2 AS sip_xirr_{years}y FROM b{years
 
 @query("m14_sip_flows", f"WITH {NAV}, {_sip(3)} SELECT scheme_code, flows, round(units, 6) AS units, days[len(days)] AS last_day, round(amounts[len(amounts)], 4) AS final_value FROM sip3")
 def _(spark, sf):
-    f = M.sip_flows(M.one_nav(_nav(spark, sf)), 3)
+    f = M.sip_flows(_nav(spark, sf), 3)
     return f.select("scheme_code", "flows", rnd("units", 6, "units"), F.element_at("days", -1).cast("double").alias("last_day"), F.round(F.element_at("amounts", -1), 4).alias("final_value"))
 
 
 @query("m13_sip_xirr", f"WITH RECURSIVE {NAV}, {_sip(3)}, {_xirr(3)} SELECT scheme_code, round(sip_xirr_3y, 6) AS sip_xirr_3y FROM x3")
 def _(spark, sf):
-    return M.sip_xirr(M.one_nav(_nav(spark, sf)), 3).where("sip_xirr_3y is not null").select("scheme_code", rnd("sip_xirr_3y", 6, "sip_xirr_3y"))
+    return M.sip_xirr(_nav(spark, sf), 3).where("sip_xirr_3y is not null").select("scheme_code", rnd("sip_xirr_3y", 6, "sip_xirr_3y"))
 
 
 @query("m17_fund_scores", f"""WITH RECURSIVE {MET}, {_sip(3)}, {_xirr(3)},

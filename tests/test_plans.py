@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import pathlib
+import random
 import re
 
 import pytest
@@ -87,3 +88,30 @@ def test_stream_restart_adds_nothing(spark, sf, tmp_path):
     assert run() == n == e.where("event_id % 2 = 0").count()
     e.where("event_id % 2 = 1").write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == e.count()
+
+
+def test_sip_flows_read_the_prices_once(spark, sf):
+    for name in ("m13_sip_xirr", "m14_sip_flows"):
+        assert plan(QUERIES[name](spark, sf)).count("FileScan") == 1
+
+
+def test_sip_flows_buy_with_the_next_price(spark):
+    import datetime as dt
+
+    from tallygrove.operators.markets import sip_flows
+
+    rng = random.Random(5)
+    days = [dt.date(2020, 1, 5) + dt.timedelta(days=i) for i in range(1200)]
+    gap = lambda f, d: f == 1 and d.year == 2021 and d.month in (4, 5, 6)
+    rows = [(f, d, 5 + rng.random()) for f in range(3) for d in days if rng.random() < 0.1 and not gap(f, d) or d == days[0]]
+    rows += [(f, d, v / 2) for f, d, v in rows[::9]]  # of two prices of a day the larger counts
+    got = {r["scheme_code"]: r for r in sip_flows(spark.createDataFrame(rows, "scheme_code int, nav_date date, nav double"), 2).collect()}
+    for f in range(3):
+        own = {}
+        for _, d, v in (r for r in rows if r[0] == f):
+            own[d] = max(v, own.get(d, v))
+        end = max(own)
+        starts = [s for y in range(2020, 2024) for m in range(1, 13) if dt.date(end.year - 2, end.month, 28) < (s := dt.date(y, m, 1)) <= end]
+        bought = [min(d for d in own if d >= s) for s in starts]
+        assert got[f]["flows"] == len(bought) and got[f]["days"] == [(d - bought[0]).days for d in [*bought, end]]
+        assert abs(got[f]["units"] - sum(1e4 / own[d] for d in bought)) < 1e-6 and abs(got[f]["amounts"][-1] - got[f]["units"] * own[end]) < 1e-6

@@ -115,3 +115,15 @@ def test_sip_flows_buy_with_the_next_price(spark):
         bought = [min(d for d in own if d >= s) for s in starts]
         assert got[f]["flows"] == len(bought) and got[f]["days"] == [(d - bought[0]).days for d in [*bought, end]]
         assert abs(got[f]["units"] - sum(1e4 / own[d] for d in bought)) < 1e-6 and abs(got[f]["amounts"][-1] - got[f]["units"] * own[end]) < 1e-6
+
+
+def test_fund_metrics_read_the_prices_once_and_once_for_each_plan(spark, sf):
+    assert plan(QUERIES["m15_m16_fund_metrics"](spark, sf)).count("FileScan") == 1
+
+
+def test_fund_metrics_leave_out_what_has_no_fund(spark):
+    from tallygrove.operators.markets import fund_metrics
+
+    rows = [(f, f"2024-01-{d:02d}", float(d)) for f in (1, None) for d in range(1, 9)]
+    got = fund_metrics(spark.createDataFrame(rows, "scheme_code int, nav_date string, nav double").withColumn("nav_date", F.col("nav_date").cast("date")), sip_years=()).collect()
+    assert [(r["scheme_code"], r["history_days"], r["nav"], r["max_drawdown_3y"]) for r in got] == [(1, 8, 8.0, 0.0)]

@@ -181,23 +181,29 @@ def table_profile(df: DataFrame, exact: bool = False, examples: int = 3, order:
     Examples are the values that are set in the first ``examples`` rows by ``order`` (all columns unless given).
     """
     if exact:
-        counts = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])).alias("e")).select("e.*")
-        distinct = counts.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.count("v").alias("distinct"))
+        whole, real = (T.ByteType, T.ShortType, T.IntegerType, T.LongType), (T.FloatType, T.DoubleType)
+        slot = lambda f, types, to: F.col(f"`{f.name}`").cast(to) if isinstance(f.dataType, types) else F.lit(None).cast(to)
+        text = lambda f: F.lit(None).cast("string") if isinstance(f.dataType, whole + real) else F.col(f"`{f.name}`").cast("string")
+        # numbers stay numbers: a text for each would cost more than the rest
+        cells = F.array(*[F.struct(F.lit(i).alias("no"), slot(f, whole, "long").alias("w"), slot(f, real, "double").alias("r"), text(f).alias("t")) for i, f in enumerate(df.schema)])
+        values = df.select(F.explode(cells).alias("e")).select("e.*").groupBy("no", "w", "r", "t").agg(F.count(F.lit(1)).alias("n"))
+        names = F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("no") + 1)
+        distinct = values.groupBy("no").agg(F.count(F.when(F.col("w").isNotNull() | F.col("r").isNotNull() | F.col("t").isNotNull(), 1)).alias("distinct")).select(names.alias("column"), "distinct")
     spread = lambda t: isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
     none = F.lit(None).cast("string")
     entries = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"),
-                        F.approx_count_distinct(f"`{f.name}`", 0.01).alias("approx_distinct"),
+                        *([] if exact else [F.approx_count_distinct(f"`{f.name}`", 0.01).alias("distinct")]),
                         (F.min(f"`{f.name}`").cast("string") if spread(f.dataType) else none).alias("min"),
                         (F.max(f"`{f.name}`").cast("string") if spread(f.dataType) else none).alias("max")) for f in df.schema]
     out = df.agg(F.array(*entries).alias("r")).select(F.inline("r"))
     if not examples:
-        return out.drop("approx_distinct").join(distinct, "column") if exact else out.withColumnRenamed("approx_distinct", "distinct")
+        return out.join(distinct, "column") if exact else out
     shown = [f.name for f in df.schema if order or not isinstance(f.dataType, (T.MapType, T.VariantType))]
     first = df.orderBy(*[F.col(f"`{c}`") for c in order or shown]).limit(examples).withColumn("_no", F.monotonically_increasing_id())
     cells = first.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col("_no").alias("no"), F.col(f"`{c}`").cast("string").alias("v")) for c in shown])).alias("e")).select("e.*")
     some = cells.where("v is not null").groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "v"))), lambda x: x["v"]).alias("examples"))
     out = join_on(out, some, ["column"], "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
-    return out.drop("approx_distinct").join(distinct, "column") if exact else out.withColumnRenamed("approx_distinct", "distinct")
+    return out.join(distinct, "column") if exact else out
 
 
 def small_category_values(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:

@@ -270,7 +270,7 @@ def _(spark, sf):
         F.col("order_id"), F.col("customer_id"), F.col("day").alias("order_date"), F.col("site").alias("store_name"), F.col("amount").alias("net_sales"), F.col("qty").alias("units"),
         (F.col("rate") * 100).alias("discount_pct"), F.col("category"), F.col("segment").alias("channel"))
     pos = F.coalesce(*[F.when(F.col("column") == c, F.lit(i)) for i, c in enumerate(f.columns)])
-    prof = E.table_profile(f, exact=True).select(F.lit("shop.orders").alias("table"), "column", pos.alias("position"), "type", "rows", "distinct", "min", "max", F.lit(None).cast("string").alias("sample"))
+    prof = E.table_profile(f, exact=True, examples=0).select(F.lit("shop.orders").alias("table"), "column", pos.alias("position"), "type", "rows", "distinct", "min", "max", F.lit(None).cast("string").alias("sample"))
     r = P.pick_roles(prof)
     return r.select("table", "date", "site", "measure", "orders", "orders_mode", "customers", "customers_mode", "category", "segment", "rate", "rate_scale")
 

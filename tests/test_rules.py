@@ -446,3 +446,10 @@ def test_the_schema_of_many_documents_is_inferred_by_many_tasks(spark, tmp_path)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(s.numTasks for s in stages if s) > 4
     assert sorted(map(tuple, d.select("id", "late").collect()), key=lambda r: r[0]) == [(i, 1.5 if i == 299 else None) for i in range(300)]
+
+
+def test_the_exact_profile_counts_numbers_as_numbers(spark):
+    d = spark.createDataFrame([(0.0, 1, "a"), (-0.0, None, ""), (float("nan"), 1, None), (float("nan"), 2, "a"), (None, 3, None)], "`x.y` double, n int, s string")
+    p = E.table_profile(d, exact=True, examples=0)
+    assert rows(p.select("column", "distinct")) == [("n", 3), ("s", 2), ("x.y", 2)]
+    assert "approx_count_distinct" not in p._jdf.queryExecution().toString()

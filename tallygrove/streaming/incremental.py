@@ -98,11 +98,11 @@ def stream_upsert(stream: DataFrame, target: str, keys: Sequence[str], order: st
     """
     def batch(df: DataFrame, _: int) -> None:
         ties = [c for c in df.columns if c not in (*keys, order)]
-        new = keep_latest(df, keys, order, ties)
+        new = cut_lineage(keep_latest(df, keys, order, ties))  # the files of a batch are read once, whatever the branches of the save
         if versions(df.sparkSession, target):
             touched = new.select(*keys)
             stored = join_on(read_parts(df.sparkSession, target, touched), touched, list(keys), "left_semi")
-            new = keep_latest(new.unionByName(stored, allowMissingColumns=True), keys, order, ties)
+            new = cut_lineage(keep_latest(new.unionByName(stored, allowMissingColumns=True), keys, order, ties))
         save(new, target, "merge", keys=keys, by=list(keys), parts=parts)
 
     return _start(stream, checkpoint, batch, every)

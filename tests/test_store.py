@@ -111,3 +111,24 @@ def test_sessions_grow_and_join_across_runs(spark, tmp_path):
     run()
     got = sorted((r["who"] or "", (r["start"] - T0).total_seconds() / 3600, (r["last"] - T0).total_seconds() / 3600, r["n"]) for r in K.read_version(spark, target).collect())
     assert got == [("", 5.0, 6.9, 2), ("a", -1.0, 5.0, 5), ("a", 20.0, 20.0, 1), ("b", 50.0, 50.0, 1)]
+
+
+def test_an_upsert_reads_the_rows_of_a_batch_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallygrove.streaming import incremental as I
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(k):
+        seen.add(1)
+        return k
+
+    see = F.udf(look, "long").asNondeterministic()
+    for run in range(2):  # into a new table, and into one that is there
+        files = str(tmp_path / f"in{run}")
+        spark.range(40).selectExpr("id % 10 as k", f"id + {run} as t").coalesce(1).write.parquet(files)
+        stream = I.stream_files(spark, files, "parquet", "k long, t long").withColumn("k", see("k"))
+        I.stream_upsert(stream, str(tmp_path / "t"), ["k"], "t", str(tmp_path / f"c{run}")).awaitTermination()
+    assert sorted(map(tuple, I.read_version(spark, str(tmp_path / "t")).select("k", "t").collect())) == [(k, 31 + k) for k in range(10)]
+    assert seen.value == 80

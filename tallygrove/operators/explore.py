@@ -222,17 +222,21 @@ def rank_table(df: DataFrame, columns: Sequence[str], key: Sequence[str] | None
     sums of these counts are the ranks for all missing patterns.
     """
     cols = list(columns)
-    keyed = df if key else df.withColumn("_id", F.monotonically_increasing_id())
-    keys = list(key or ["_id"])
+    own = df.select(*(key or []), *cols)
     present = F.array(*[F.col(c).isNotNull() for c in cols])
-    long = keyed.select(*keys, present.alias("_with"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("e")).select(*keys, "_with", "e.c", "e.v").where("v is not null")
+    long = own.select(present.alias("_with"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in cols])).alias("e")).select("_with", "e.c", "e.v").where("v is not null")
     amounts = [f"_n{i}" for i in range(len(cols))]
     counts = long.groupBy("c", "v").agg(*[F.count_if(F.col("_with")[i]).alias(a) for i, a in enumerate(amounts)])
     run = running_in_groups(counts, ["c"], "v", amounts)
     ranks = run.select("c", "v", F.array(*[F.when(F.col(a) > 0, F.col(f"{a}_below") + (F.col(a) + 1) / 2) for a in amounts]).alias("r"))
-    placed = join_on(long.drop("_with"), ranks, ["c", "v"])
+    # rows find the ranks column by column and stay rows: few values are sent to all tasks, many are spread; rows without a value are dealt out
+    out = own
+    for i, c in enumerate(cols):
+        of = ranks.where(F.col("c") == c).select(F.col("v").alias(f"_v{i}"), F.lit(0).alias(f"_z{i}"), F.col("r").alias(f"_r{i}"))
+        deal = F.when(F.col(c).isNull(), F.pmod(F.xxhash64(*cols), F.lit(1024)).cast("int")).otherwise(0)
+        out = out.join(of, (F.col(c) == F.col(f"_v{i}")) & (deal == F.col(f"_z{i}")), "left")
     # null where the row misses the other column
-    return placed.groupBy(*keys).agg(*[F.max(F.when(F.col("c") == c, F.col("r"))).alias(c) for c in cols])
+    return out.select(*(key or []), *[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson", key: Sequence[str] | None = None, min_rows: int = 3) -> DataFrame:

@@ -127,3 +127,17 @@ def test_fund_metrics_leave_out_what_has_no_fund(spark):
     rows = [(f, f"2024-01-{d:02d}", float(d)) for f in (1, None) for d in range(1, 9)]
     got = fund_metrics(spark.createDataFrame(rows, "scheme_code int, nav_date string, nav double").withColumn("nav_date", F.col("nav_date").cast("date")), sip_years=()).collect()
     assert [(r["scheme_code"], r["history_days"], r["nav"], r["max_drawdown_3y"]) for r in got] == [(1, 8, 8.0, 0.0)]
+
+
+def test_spearman_keeps_rows_together(spark):
+    from tallygrove.operators.explore import correlations
+
+    rng = random.Random(3)
+    rows = [(float(rng.randint(0, 3)), rng.random() if i % 2 else None, None if i % 5 == 0 else rng.gauss(0, 1)) for i in range(400)]
+    d = spark.createDataFrame(rows, "a double, b double, c double")
+    got = correlations(d, d.columns, "spearman")
+    assert "monotonically_increasing_id" not in plan(got)  # melted rows were gathered again by a number
+    p = d.toPandas()
+    for r in got.collect():
+        both = p[[r["a"], r["b"]]].dropna().rank()
+        assert abs(both.corr().iloc[0, 1] - r["r"]) < 1e-9

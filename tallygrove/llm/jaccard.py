@@ -239,7 +239,8 @@ def _group_facts(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _tile_pairs(tiles: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups (``ga``, ``gb``) that meet in a tile and that sizes, positions and bitmaps leave open; large tiles are cut in blocks."""
-    met = _shared_tokens(tiles).join(facts.withColumnRenamed("grp", "id"), F.col("grp") == F.col("id")).withColumnRenamed("token", "key")
+    shared = stored(_shared_tokens(tiles), "shared")
+    met = shared.join(facts.withColumnRenamed("grp", "id"), F.col("grp") == F.col("id")).withColumnRenamed("token", "key")
     return open_pairs(met, _WORDS, percent).toDF("ga", "gb")
 
 

@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tallygrove.llm import graph, jaccard, suffixes
+from tallygrove.llm import graph, jaccard, suffixes, text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +73,23 @@ def test_jaccard_empty(make):
     assert jaccard.jaccard_join(make([])).collect() == []
 
 
+def test_shared_tokens_are_found_once(spark):
+    tiles = spark.createDataFrame([(t, g, 0) for t in range(9) for g in range(t % 3 + 1)], "token long, grp long, pos int")
+    facts = spark.range(3).select(F.col("id").alias("grp"), *[F.lit(9).alias(c) for c in ("lo", "hi")], F.lit(0).alias("slack"), *[F.lit(5).cast("long").alias(w) for w in jaccard._WORDS])
+    found = jaccard._tile_pairs(tiles, facts, 80)
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (1, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_slices_give_memory_back_at_their_end(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(text, "give_back", lambda: calls.append(1), raising=False)
+    pieces = text.slices([pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b"]})] * 2, limit=4)
+    assert sum(p.num_rows for p in pieces) == 6 and calls == [1]
+
+
 def test_shingles_ignore_batch_position():
     import pyarrow as pa
 

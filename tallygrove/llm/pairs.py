@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: rows of a bucket that are compared in one go; larger buckets are cut
 BLOCK = 2048
+#: rows of a bucket for each task that buckets with the same smallest entry may be dealt to
+SHARE = 64
+#: pairs that a task holds before it writes each of them once
+HELD = 1 << 17
 #: shares of a set's partners that are dealt to different tasks
 SALTS = 16
 
@@ -40,29 +44,44 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarr
 
 
 def open_pairs(rows: DataFrame, words: list[str], percent: int, tensor: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
-    """Distinct pairs (``a`` < ``b``) of entries that share a bucket, differ in group, and that sizes and bitmaps leave open.
+    """Distinct pairs (``a`` < ``b``) of entries that share a bucket, differ in group, and that sizes and bitmaps leave open (see ``_met``)."""
+    return _met(rows, words, percent, tensor).distinct()
+
+
+def _met(rows: DataFrame, words: list[str], percent: int, tensor: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """The pairs of ``open_pairs`` as tasks write them; a pair may be written by several tasks.
 
     ``rows``: ``key`` (bucket), ``grp``, ``id``, ``lo`` and ``hi`` (sizes of the sets it stands for), ``slack`` and the
     bitmap's ``words``: every set it stands for differs from that bitmap in at most ``slack`` bits.  Two bitmaps that
     differ in x bits prove x elements that are in one set only: overlap <= (n_a + n_b - x) / 2, for x less both slacks.
     ``pos`` elements of the sets come before what the bucket stands for, and are not shared.  With ``tensor``, the
     columns of two collections whose combinations the buckets stand for (``slot``: which one), a pair is looked at in
-    the first bucket that both share, and in no other.
+    the first bucket that both share, and in no other.  Without, buckets with the same smallest entry go to one task one
+    after the other, which writes a pair once and not for every bucket that it shares; large buckets are dealt by ``SHARE``.
     """
     marks = [*tensor[0], *tensor[1]]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = rows.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    deal = F.xxhash64(F.min("id"), F.pmod(F.xxhash64("_key"), F.ceil(F.count(F.lit(1)) / SHARE))).alias("deal")
+    by = ["key"] if marks else ["deal", "key"]
+    sizes = rows.withColumnRenamed("key", "_key").groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"), *([] if marks else [deal]))
     cut = rows.join(sizes, rows["key"] == sizes["_key"]).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     dealt = cut.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("_own", "_with").alias("p"), F.greatest("_own", "_with").alias("q"), F.col("_own").alias("own"), "grp", "id", *[F.col(c).cast("long").alias(c) for c in ("lo", "hi", "slack", "pos")], *words, *([F.col("slot").cast("long").alias("slot"), *marks] if marks else []))
+    dealt = dealt.select(*by, F.least("_own", "_with").alias("p"), F.greatest("_own", "_with").alias("q"), F.col("_own").alias("own"), "grp", "id", *[F.col(c).cast("long").alias(c) for c in ("lo", "hi", "slack", "pos")], *words, *([F.col("slot").cast("long").alias("slot"), *marks] if marks else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p, q, own, grp, ident, lo, hi, slack, pos, *rest in runs(batches, 3):
+        left, right, held = [], [], 0
+
+        def once() -> pa.RecordBatch:
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+
+        for entries in runs(batches, len(by) + 2):
+            p, q, own, grp, ident, lo, hi, slack, pos, *rest = entries[len(by) :]
             if len(ident) < 2 or (grp == grp[0]).all():
                 continue
             bits = np.stack(rest[: len(words)], axis=1).view(np.uint64)
             sides = [np.stack(rest[len(words) + 1 :][a:b], axis=1) for a, b in ((0, len(tensor[0])), (len(tensor[0]), len(marks)))] if marks else None
-            left, right = [], []
             first = own == p[0]
             there = np.arange(len(ident)) if p[0] == q[0] else np.flatnonzero(~first)
             for i in np.flatnonzero(first):
@@ -78,12 +97,14 @@ def open_pairs(rows: DataFrame, words: list[str], percent: int, tensor: tuple[li
                     j = j[(both - differ) * (100 + percent) >= both * (2 * percent)]
                     left.append(np.full(len(j), ident[i]))
                     right.append(ident[j])
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+                    held += len(j)
+                    if held >= HELD:
+                        yield once()
+                        left, right, held = [], [], 0
+        if held:
+            yield once()
 
-    return dealt.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "grp").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(n, by[0], "p", "q").sortWithinPartitions(*by, "p", "q", "grp").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -91,6 +91,15 @@ def test_blocks_find_what_whole_buckets_find(spark, monkeypatch):
         assert {tuple(r) for r in pairs.open_pairs(df, ["w0", "w1"], 80).collect()} == want
 
 
+def test_a_pair_is_not_written_for_every_bucket_it_shares(spark):
+    """Families of 6 sets that share 200 buckets, each bucket without one of them: 15 pairs a family, not 15 for each bucket."""
+    rows = [(f * 1000 + k, f * 10 + i, f * 10 + i, 300, 300, 0, 0, 5) for f in range(20) for k in range(200) for i in range(6) if i != k % 6]
+    df = spark.createDataFrame(rows, "key long, grp long, id long, lo long, hi long, slack long, pos long, w0 long")
+    want = {(f * 10 + i, f * 10 + j) for f in range(20) for i in range(6) for j in range(i + 1, 6)}
+    assert {tuple(r) for r in pairs.open_pairs(df, ["w0"], 80).collect()} == want
+    assert pairs._met(df, ["w0"], 80).count() <= 3 * len(want)
+
+
 def test_a_pair_is_looked_at_in_its_first_shared_bucket_alone(spark):
     rng = np.random.default_rng(8)
     x, y = rng.integers(0, 3, (2, 60, 3)).tolist()

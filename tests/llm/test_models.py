@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -241,6 +242,47 @@ def test_causal_windows_do_not_see_ahead():
     assert np.allclose(a[:41], b[:41]) and not np.allclose(a[41:], b[41:])
 
 
+def test_text_scores_equal_a_plain_forward_pass_in_little_memory():
+    rng = np.random.default_rng(4)
+    first = np.concatenate([[0], np.cumsum([40, 0, 1, 16, 15, 17, 300, *[900] * 90])])
+    x, y, row = lm.windows(rng.integers(0, lm.IDS - 1, first[-1]).astype(np.int32), first)
+    weights = lm.fit(lm.initial(), x[:640], y[:640], rate=0.02)
+    w, wide = lm.unpack(weights), lm.unpack(weights.astype(np.float64))
+    tracemalloc.start()
+    got = lm.text_scores(w, x, y, row, len(first) - 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) > 5000 and peak < 8e6  # all windows are scored, a few of them at once
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for r in range(7):
+        want = 0.0
+        for ids, targets in zip(x[row == r], y[row == r], strict=True):
+            h = [wide["emb"][i] + wide["pos"][p] for p, i in enumerate(ids)]
+            for j, t in enumerate(targets):
+                if t >= 0:
+                    own = h[lm.STRIDE + j]
+                    seen = [p for p in range(lm.STRIDE + j + 1) if ids[p] >= 0]
+                    a = softmax(np.array([(own @ wide["wq"]) @ (h[p] @ wide["wk"]) / lm.WIDTH**0.5 for p in seen]))
+                    out = own + sum(c * (h[p] @ wide["wv"]) for c, p in zip(a, seen, strict=True))
+                    c, i = divmod(t, lm.IDS // lm.GROUPS)
+                    want += np.log(softmax(out @ wide["wg"] + wide["bg"])[c]) + np.log(softmax(out @ wide["wi"][c] + wide["bi"][c])[i])
+        assert got[r] == pytest.approx(want, rel=1e-5)
+    assert lm.text_scores(w, x[:0], y[:0], row[:0], 2).tolist() == [0, 0]
+
+
+def test_attention_steps_equal_plain_adam():
+    rng = np.random.default_rng(5)
+    x, y, _ = lm.windows(rng.integers(0, lm.IDS - 1, 3000).astype(np.int32), np.array([0, 1000, 3000]))
+    want, m, v, total = lm.initial(), 0.0, 0.0, -(-len(x) // 64)
+    order = np.random.default_rng(len(x)).permutation(len(x))
+    for step in range(1, total + 1):
+        own = order[64 * (step - 1) : 64 * step]
+        grad = lm.gradient(lm.unpack(want), x[own], y[own])
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        want = want - 0.02 * (1 - 0.9 * step / total) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    assert np.allclose(lm.fit(lm.initial(), x, y, rate=0.02), want, rtol=0, atol=1e-5)
+
+
 def test_word_base_equals_brute_force(make, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 5)  # most words take the joined path
     rng = random.Random(6)
